@@ -116,8 +116,8 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     Rows that share doc_id, source and number of words are taken alike. Documents without words are kept once.
     """
     taken = mix(docs, **options).where(F.col("size") > 0).withColumn("times", F.floor(F.col("taken") / F.col("size") + 0.5)).where(F.col("times") > 0)
-    taken = taken.groupBy("doc_id", "source", "size").agg(F.max("times").cast("int").alias("times")).toDF("of_id", "of_source", "of_size", "times")
-    rows = docs.withColumn("of_words", words())
-    same = F.col("doc_id").eqNullSafe(F.col("of_id")) & F.col("source").eqNullSafe(F.col("of_source")) & (F.col("of_words") == F.col("of_size"))
-    some = rows.join(taken, same, "left").withColumn("times", F.when(F.col("of_words") == 0, F.lit(1)).otherwise(F.coalesce("times", F.lit(0))))
-    return some.where("times > 0").withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    taken = taken.groupBy("doc_id", "source", "size").agg(F.max("times").cast("int").alias("times")).toDF("_hl_id", "_hl_source", "_hl_size", "_hl_times")
+    rows = docs.withColumn("_hl_words", words())
+    same = F.col("doc_id").eqNullSafe(F.col("_hl_id")) & F.col("source").eqNullSafe(F.col("_hl_source")) & (F.col("_hl_words") == F.col("_hl_size"))
+    some = rows.join(taken, same, "left").withColumn("_hl_times", F.when(F.col("_hl_words") == 0, F.lit(1)).otherwise(F.coalesce("_hl_times", F.lit(0))))
+    return some.where("_hl_times > 0").withColumn("_hl_time", F.explode(F.sequence(F.lit(1), F.col("_hl_times")))).select(*[F.col(f"`{c}`") for c in docs.columns])

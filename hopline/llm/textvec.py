@@ -119,6 +119,42 @@ class Prefix:
         return mix((self.sums[ends] - self.sums[starts]) * self.inverse[starts])
 
 
+class Words:
+    """The words of a chunk's documents, each followed by one space, and their hashes."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        starts, ends, self.pointer = words(data, offsets)
+        lengths = ends - starts + 1
+        self.starts = np.cumsum(lengths) - lengths
+        self.ends = self.starts + lengths - 1
+        self.data = np.full(int(lengths.sum()), 32, np.uint8)
+        letters = np.ones(len(self.data), bool)
+        letters[self.ends] = False
+        self.data[letters] = data[~SPACES[data]]
+        self.hash = Prefix(self.data)
+        self.counts = np.diff(self.pointer)
+
+    def runs(self, at: np.ndarray, n: int) -> np.ndarray:
+        """Hashes of the n words from each word of ``at``."""
+        return self.hash(self.starts[at], self.ends[at + n - 1])
+
+    def windows(self, n: int) -> np.ndarray:
+        """First words of all windows of n words."""
+        last = np.repeat(self.pointer[1:], self.counts)
+        return np.flatnonzero(np.arange(len(self.starts)) + n <= last)
+
+    def prints(self) -> np.ndarray:
+        """32 bits of each document's words, to tell rows with one doc_id apart."""
+        out = np.zeros(len(self.counts), np.uint64)
+        full = np.flatnonzero(self.counts)
+        out[full] = self.hash(self.starts[self.pointer[full]], self.ends[self.pointer[full + 1] - 1])
+        return (out >> np.uint64(32)).astype(np.int64)
+
+    def text(self, d: int) -> memoryview:
+        a, b = self.pointer[d], self.pointer[d + 1]
+        return memoryview(self.data[self.starts[a] : self.ends[b - 1]]) if b > a else memoryview(b"")
+
+
 def gather(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The byte ranges, one after the other."""
     total = int(lengths.sum())
