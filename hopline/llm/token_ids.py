@@ -29,8 +29,8 @@ from hopline.llm._shared import blank, partitions, scratch
 
 END_ID = 2
 LENGTH = 2048
-#: Pieces whose ids a worker keeps, at most.
-MEMO = 400_000
+#: Pieces whose ids a worker keeps, about 170 bytes each; beyond, it starts anew.
+MEMO = 1_200_000
 ROWS = 64
 
 # Letters, digits and white space up to U+024F, for the splitting pattern of byte-level BPE. Other texts go to the library whole.
@@ -44,7 +44,7 @@ class Encoder:
     """Ids of whole texts by the tokenizers library.
 
     For byte-level BPE without a normaliser, a text's ids are those of its pieces, so each distinct piece goes
-    through the library once and is remembered (at most MEMO of them). All else is encoded as it is.
+    through the library once and is remembered (about MEMO of them). All else is encoded as it is.
     """
 
     def __init__(self, path: str):
@@ -63,8 +63,6 @@ class Encoder:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, pieces: list[str]) -> None:
-        if len(self.memo) + len(pieces) > MEMO:
-            self.memo.clear()
         spaced = [p for p in pieces if _SPACED(p)]
         for i in range(0, len(spaced), 256):  # a row of such pieces is split again as it was put together
             part = spaced[i : i + 256]
@@ -78,21 +76,20 @@ class Encoder:
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.by_piece:
             return self.whole(texts)
-        out: list[bytes] = []
-        for text in texts:
-            if _OTHER.search(text):
+        pieces = [None if _OTHER.search(t) else _PIECES.findall(t) for t in texts]
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        found = [p and list(map(self.memo.get, p)) for p in pieces]
+        self.learn(list({p for ps, fs in zip(pieces, found) if ps and None in fs for p, f in zip(ps, fs) if f is None}))
+        memo = self.memo
+        out = []
+        for text, ps, fs in zip(texts, pieces, found):
+            if ps is None:
                 out += self.whole([text])
-                continue
-            pieces = _PIECES.findall(text)
-            memo = self.memo
-            try:
-                out.append(b"".join(map(memo.__getitem__, pieces)))
-            except KeyError:
-                self.learn(list({p for p in pieces if p not in memo}))
-                lost = {p for p in pieces if p not in memo}  # the memo was emptied on the way
-                if lost:
-                    self.learn(list(lost))
-                out.append(b"".join(map(memo.__getitem__, pieces)))
+            elif ps and None in fs:
+                out.append(b"".join([memo[p] if f is None else f for p, f in zip(ps, fs)]))
+            else:
+                out.append(b"".join(fs or ()))
         return out
 
 
