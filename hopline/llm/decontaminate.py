@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hopline.llm._shared import written
-from hopline.llm.textvec import LOWER, Prefix, Words, chunks, flatten, groups
+from hopline.llm.textvec import LOWER, Words, chunks, flatten, groups
 
 SEGMENT, STRIDE = 100, 50
 Q = 8
@@ -28,7 +28,25 @@ RATE = 0.1
 LEAST = 40
 #: Characters of benchmark text that are broadcast at once; a larger benchmark is held against the documents block by block.
 BLOCK_CHARS = 8 << 20
-TABLE_BITS = 22
+SIEVE_BITS, SLOT_BITS = 20, 22
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def qgrams(data: np.ndarray, q: int) -> np.ndarray:
+    """The q bytes from each place as a number, q at most 8."""
+    n = len(data) - q + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    padded = np.zeros(len(data) + 16, np.uint8)
+    padded[: len(data)] = data
+    out = np.empty(-(-n // 8) * 8, np.uint64)
+    for r in range(8):
+        out[r::8] = padded[r : r + len(out)].view("<u8")
+    return out[:n] & np.uint64((1 << (8 * q)) - 1)
+
+
+def _spread(grams: np.ndarray, bits: int) -> np.ndarray:
+    return ((grams * _SPREAD) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _edits(m: int, rate: float, q: int) -> int:
@@ -60,13 +78,29 @@ class Segments:
         owner = np.searchsorted(offsets, place, "right") - 1
         inside = place + q <= offsets[owner + 1] if len(place) else np.zeros(0, bool)
         place, owner = place[inside], owner[inside]
-        grams = Prefix(data)(place, place + q) if len(place) else np.zeros(0, np.uint64)
+        grams = qgrams(data, q)[place]
         order = np.argsort(grams, kind="stable")
         cut = groups(grams[order])
         self.grams, self.cut = grams[order][cut[:-1]], cut
         self.owner, self.place = owner[order].astype(np.int32), (place - offsets[owner])[order].astype(np.int32)
-        self.seen = np.zeros(1 << TABLE_BITS, bool)
-        self.seen[(self.grams >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
+        self.sieve = np.zeros(1 << SIEVE_BITS, bool)
+        self.sieve[_spread(self.grams, SIEVE_BITS)] = True
+        at = _spread(self.grams, SLOT_BITS)
+        self.slot = np.full(1 << SLOT_BITS, -1, np.int32)
+        self.slot[at] = np.arange(len(at))
+        shared = np.bincount(at, minlength=1)
+        self.slot[np.flatnonzero(shared > 1)] = -2  # several grams: looked up by search
+
+    def find(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places in ``grams`` of those of the segments, their numbers)."""
+        spread = grams * _SPREAD
+        at = np.flatnonzero(self.sieve[(spread >> np.uint64(64 - SIEVE_BITS)).astype(np.int32)])
+        found = grams[at]
+        k = self.slot[(spread[at] >> np.uint64(64 - SLOT_BITS)).astype(np.int32)]
+        search = np.flatnonzero(k == -2)
+        k[search] = np.minimum(np.searchsorted(self.grams, found[search]), len(self.grams) - 1)
+        same = (k >= 0) & (self.grams[k] == found)
+        return at[same], k[same].astype(np.int64)
 
 
 def clean(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -77,47 +111,72 @@ def clean(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return w.data, starts[w.pointer]
 
 
-def distance(pattern: bytes, text: bytes, most: int) -> tuple[int, int]:
-    """(least edit distance of ``pattern`` to a part of ``text``, where that part ends), or ``most + 1``. Rows beyond ``most`` end the search."""
-    p, t = np.frombuffer(pattern, np.uint8), np.frombuffer(text, np.uint8)
-    n = len(t)
-    row = np.zeros(n + 1, np.int32)
-    along = np.arange(n + 1, dtype=np.int32)
-    for i, c in enumerate(p, 1):
-        new = np.empty(n + 1, np.int32)
-        new[0] = i
-        new[1:] = np.minimum(row[:-1] + (t != c), row[1:] + 1)
-        row = np.minimum.accumulate(new - along) + along  # insertions
-        if row.min() > most:
-            return most + 1, 0
-    end = int(row.argmin())
-    return int(row[end]), end
+def banded(patterns: np.ndarray, texts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row: (least edit distance of the pattern to a part of the text, where that part ends), or ``most + 1``.
+
+    A part may begin on any diagonal of the band, from 0 to the difference in length, and stays within it. Rows that are beyond
+    ``most`` everywhere are dropped on the way.
+    """
+    n, m = patterns.shape
+    width = texts.shape[1] - m + 1
+    along = np.arange(width, dtype=np.int16)
+    rows = np.zeros((n, width), np.int16)
+    alive = np.arange(n)
+    for i in range(m):
+        new = rows + (texts[:, i : i + width] != patterns[:, i : i + 1])
+        np.minimum(new[:, :-1], rows[:, 1:] + 1, out=new[:, :-1])
+        rows = np.minimum.accumulate(new - along, 1) + along  # a text character more
+        if i % 16 == 15 or i + 1 == m:
+            good = rows.min(1) <= most
+            if not good.all():
+                rows, patterns, texts, alive = rows[good], patterns[good], texts[good], alive[good]
+    out, end = np.full(n, most + 1), np.zeros(n, np.int64)
+    if len(alive):
+        out[alive], end[alive] = rows.min(1), m + rows.argmin(1)
+    return out, end
+
+
+def _verified(segs: Segments, data: np.ndarray, offsets: np.ndarray, found: tuple) -> list[tuple[int, int, int, int]]:
+    """(document, segment, edits, place in the document) of the regions that hold their segment."""
+    doc, seg, low = found
+    out = []
+    shape = segs.lengths[seg] * 1000 + segs.edits[seg]
+    for key in np.unique(shape):
+        of = np.flatnonzero(shape == key)
+        m, e = int(key // 1000), int(key % 1000)
+        span = m + 4 * e + 2
+        for a in range(0, len(of), 2048):
+            part = of[a : a + 2048]
+            at = low[part][:, None] + np.arange(span)
+            inside = (at >= offsets[doc[part]][:, None]) & (at < offsets[doc[part] + 1][:, None])
+            texts = np.where(inside, data[np.clip(at, 0, len(data) - 1)], 0)
+            patterns = np.stack([np.frombuffer(segs.text[s], np.uint8) for s in seg[part]])
+            edits, end = banded(patterns, texts, e)
+            for x in np.flatnonzero(edits <= e).tolist():
+                d = int(doc[part[x]])
+                out.append((d, int(seg[part[x]]), int(edits[x]), int(low[part[x]] + end[x] - offsets[d])))
+    return out
 
 
 def _candidates(segs: Segments, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(document, segment, low, high): regions of documents, by bytes, that reach the lemma's bound."""
-    none = (np.zeros(0, np.int64),) * 4
+    """(document, segment, first place): regions of documents, by bytes, that reach the lemma's bound."""
+    none = (np.zeros(0, np.int64),) * 3
     q = segs.q
     if len(data) < q or not len(segs.grams):
         return none
-    grams = Prefix(data)(np.arange(len(data) - q + 1), np.arange(q, len(data) + 1))
-    at = np.flatnonzero(segs.seen[(grams >> np.uint64(64 - TABLE_BITS)).astype(np.int64)])
-    k = np.minimum(np.searchsorted(segs.grams, grams[at]), len(segs.grams) - 1)
-    same = segs.grams[k] == grams[at]
-    at, k = at[same], k[same]
-    doc = np.searchsorted(offsets, at, "right") - 1
-    inside = at + q <= offsets[doc + 1]
-    at, k, doc = at[inside], k[inside], doc[inside]
+    at, k = segs.find(qgrams(data, q))
     # a region of any segment needs the least bound of shared grams within a segment's length and edits
-    if not len(at):
-        return none
     need, reach = int(segs.bound.min()), int((segs.lengths + segs.edits).max())
-    near = np.searchsorted(at, at + reach, "left") - np.arange(len(at)) >= need
-    cover = np.zeros(len(at) + 1, np.int32)
-    first = np.flatnonzero(near)
-    cover[first] += 1
-    np.subtract.at(cover, np.searchsorted(at, at[first] + reach, "left"), 1)
+    if len(at) < need:
+        return none
+    first = np.flatnonzero(at[need - 1 :] - at[: len(at) - need + 1] < reach)
+    cover = np.zeros(len(at) + 1, np.int64)
+    cover[: len(at)] += np.bincount(first, minlength=len(at))[: len(at)]
+    cover -= np.bincount(np.searchsorted(at, at[first] + reach), minlength=len(at) + 1)
     dense = np.cumsum(cover[:-1]) > 0
+    at, k = at[dense], k[dense]
+    doc = np.searchsorted(offsets, at, "right") - 1
+    dense = at + q <= offsets[doc + 1]
     at, k, doc = at[dense], k[dense], doc[dense]
     out = []
     step = 200_000
@@ -133,24 +192,24 @@ def _candidates(segs: Segments, data: np.ndarray, offsets: np.ndarray) -> tuple[
         n = sizes[a:b]
         total = int(n.sum())
         entry = np.arange(total) + np.repeat(segs.cut[k[a:b]] - (np.cumsum(n) - n), n)
-        seg, pos, d = segs.owner[entry].astype(np.int64), np.repeat(at[a:b], n), np.repeat(doc[a:b], n)
-        diagonal = pos - segs.place[entry] - offsets[d] + int(segs.lengths.max())
+        seg, place, d = segs.owner[entry].astype(np.int64), segs.place[entry].astype(np.int64), np.repeat(doc[a:b], n)
+        longest = int(segs.lengths.max())
+        diagonal = np.repeat(at[a:b], n) - place - offsets[d] + longest
         width = segs.edits[seg] + 1
+        bands = int(diagonal.max(initial=0)) // 2 + 2
+        pair = ((d - d[0]) * len(segs.text) + seg) * bands if total else d
         for shift in (0, 1):  # overlapping bands of twice the width
-            band = (diagonal + shift * width) // (2 * width)
-            order = np.lexsort((pos, band, seg, d))
-            ds, ss, bs, ps = d[order], seg[order], band[order], pos[order]
-            fresh = np.ones(len(order), bool)
-            fresh[1:] = (ds[1:] != ds[:-1]) | (ss[1:] != ss[:-1]) | (bs[1:] != bs[:-1])
-            starts = np.flatnonzero(fresh)
-            counts = np.diff(np.append(starts, len(order)))
-            good = counts >= segs.bound[ss[starts]]
-            s = starts[good]
-            if len(s):
-                seg_of, e = ss[s], segs.edits[ss[s]]
-                low = (2 * bs[s] - shift) * (e + 1) - int(segs.lengths.max()) + offsets[ds[s]]
-                low, high = low - e, low + 2 * (e + 1) + segs.lengths[seg_of] + e
-                out.append((ds[s], seg_of, np.maximum(low, offsets[ds[s]]), np.minimum(high, offsets[ds[s] + 1])))
+            key = (pair + (diagonal + shift * width) // (2 * width)) * longest + place
+            key.sort()
+            band = key[np.append(True, key[1:] != key[:-1])] // longest  # each Q-gram of the segment counts once
+            starts = groups(band)
+            band, counts = band[starts[:-1]], np.diff(starts)
+            ss = band // bands % len(segs.text)
+            good = counts >= segs.bound[ss]
+            if good.any():
+                ss, band = ss[good], band[good]
+                ds, e = band // bands // len(segs.text) + d[0], segs.edits[ss]
+                out.append((ds, ss, (2 * (band % bands) - shift) * (e + 1) - longest + offsets[ds] - e))
     if not out:
         return none
     return tuple(np.concatenate(x) for x in zip(*out))
@@ -168,12 +227,9 @@ def _block_hits(docs: DataFrame, items: list, options: dict) -> DataFrame:
             data, offsets = clean(batch.column("text"))
             ids = batch.column("doc_id").to_pylist()
             best: dict = {}
-            for d, s, low, high in zip(*(x.tolist() for x in _candidates(segs, data, offsets))):
-                e = int(segs.edits[s])
-                got, end = distance(segs.text[s], data[low:high].tobytes(), e)
-                if got <= e:
-                    key, hit = (d, segs.item[s]), (got, segs.at[s], len(segs.text[s]), low + end - int(offsets[d]))
-                    best[key] = min(best.get(key, hit), hit)
+            for d, s, e, end in _verified(segs, data, offsets, _candidates(segs, data, offsets)):
+                key, hit = (d, segs.item[s]), (e, segs.at[s], len(segs.text[s]), end)
+                best[key] = min(best.get(key, hit), hit)
             rows = [(ids[d], item, e, at, n, max(0, end - n), n) for (d, item), (e, at, n, end) in best.items()]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64()] * 2 + [pa.int32()] * 5)], [x.split()[0] for x in HITS.split(", ")])

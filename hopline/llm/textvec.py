@@ -8,6 +8,7 @@ bounded by the chunk and the longest single document, never by the partition.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -131,9 +132,12 @@ class Words:
         letters = np.ones(len(self.data), bool)
         letters[self.ends] = False
         self.data[letters] = data[~SPACES[data]]
-        self.hash = Prefix(self.data)
         self.counts = np.diff(self.pointer)
 
+    @cached_property
+    def hash(self) -> Prefix:
+        return Prefix(self.data)
+
     def runs(self, at: np.ndarray, n: int) -> np.ndarray:
         """Hashes of the n words from each word of ``at``."""
         return self.hash(self.starts[at], self.ends[at + n - 1])
