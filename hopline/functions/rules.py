@@ -168,3 +168,45 @@ def allowed(processes: DataFrame, name: str = "name") -> DataFrame:
     """The processes that are known players (FL5): a semi join with the list, which is fixed and small."""
     players = processes.sparkSession.createDataFrame([(p,) for p in PLAYERS], "player string")
     return processes.withColumn("_hl_stem", file_stem(F.trim(F.col(name)))).join(F.broadcast(players), F.col("_hl_stem") == F.col("player"), "left_semi").drop("_hl_stem")
+
+
+#: Display names of the stems, in order (PJ4).
+LABELS = {"vocals": "人声", "instrumental": "伴奏（去人声）", "drums": "鼓", "bass": "贝斯", "guitar": "吉他", "piano": "钢琴", "other": "其他"}
+
+
+def labels() -> Column:
+    """The display names as a map (PJ4)."""
+    return F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv])
+
+
+def visible(stems: Column) -> Column:
+    """For each known stem whether it is among ``stems`` (PJ4)."""
+    return F.map_from_arrays(F.array(*[F.lit(s) for s in LABELS]), F.array(*[F.array_contains(stems, s) for s in LABELS]))
+
+
+def absolute(path: Column, folder: Column) -> Column:
+    """A path, below ``folder`` unless it is absolute, with single slashes and no ``.`` parts (PJ7); keep those that exist by a semi join with the listing."""
+    full = F.when(path.rlike(r"^([A-Za-z]:)?[\\/]"), path).otherwise(F.concat_ws("/", folder, path))
+    return F.regexp_replace(F.regexp_replace(full, r"[\\/]+", "/"), r"(/\.)+(?=/|$)", "")
+
+
+def start_plan() -> list[Column]:
+    """What has to start anew (PJ8). Columns: receiver_running, playback_running and current_ and requested_ profile, endpoint and hop_seconds."""
+    receiver = ~F.col("receiver_running")
+    changed = [~F.col(f"current_{c}").eqNullSafe(F.col(f"requested_{c}")) for c in ("profile", "endpoint", "hop_seconds")]
+    return [receiver.alias("restart_receiver"), (receiver | ~F.col("playback_running") | changed[0] | changed[1] | changed[2]).alias("restart_playback")]
+
+
+def age_seconds(now: Column, then: Column) -> Column:
+    """Seconds between two timestamps, 0 at least, to microseconds (SF9)."""
+    return F.greatest(F.lit(0.0), (F.unix_micros(now) - F.unix_micros(then)) / 1e6)
+
+
+def of_epoch_ns(ns: Column) -> Column:
+    """A timestamp of nanoseconds since 1970, cut to microseconds (SF9)."""
+    return F.timestamp_micros(F.floor(ns / 1000).cast("long"))
+
+
+def heartbeat(text: Column) -> Column:
+    """A timestamp of ISO 8601 text, null if it is none (SF9)."""
+    return F.try_to_timestamp(text)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from hopline.functions import binary, identity, numeric, rules, text
 from hopline.model import mid_side, separated
-from hopline.operators import cache, framing, joins, lyrics, signal, telemetry, timeline
+from hopline.operators import cache, framing, joins, lyrics, publication, signal, telemetry, timeline
 from hopline.sources.tables import table
 from hopline.streaming import machines, run
 
@@ -627,6 +627,58 @@ def json_props(spark, d):
     return table(spark, d, "events").select("event_id", telemetry.count_of(F.col("props"), "$.k").alias("k"), telemetry.metric_of(F.col("props"), "$.k", most=50.0).alias("capped"))
 
 
+@query("""
+with p as (select user_id, ['sent', 'dropped', 'failed'][event_id % 3 + 1] as state, event_id % 9 as f, event_id % 100 as b from events)
+select user_id, count(*) filter (state <> 'dropped') as enqueued_packets, count(*) filter (state = 'dropped') as dropped_packets, coalesce(sum(f) filter (state = 'dropped'), 0)::bigint as dropped_frames,
+  count(*) filter (state = 'sent') as sent_packets, coalesce(sum(b) filter (state = 'sent'), 0)::bigint as sent_bytes, count(*) filter (state = 'failed') as send_errors from p group by user_id
+""")
+def send_counters(spark, d):
+    """AG15."""
+    n = F.col("event_id")
+    names = F.array(*[F.lit(x) for x in ("sent", "dropped", "failed")])
+    return publication.send_counters(table(spark, d, "events").select("user_id", F.get(names, (n % 3).cast("int")).alias("state"), (n % 9).alias("frame_count"), (n % 100).alias("bytes")), ["user_id"])
+
+
+@query(f"""
+with recursive {_NUMBERED}, n as (select user_id, frame, event_id * 7919 % 50 as now from numbered),
+r as (select user_id, frame, now as id from n where frame = 0 union all select n.user_id, n.frame, greatest(n.now, r.id + 1) from r join n on n.user_id = r.user_id and n.frame = r.frame + 1)
+select * from r
+""")
+def increasing_ids(spark, d):
+    """SF25: max(now, previous + 1) along each user's events."""
+    e = _numbered_events(spark, d).select("user_id", "frame", (F.col("event_id") * 7919 % 50).alias("now"))
+    return publication.increasing_ids(e, ["user_id"], "frame", "now").drop("now")
+
+
+@query("select user_id, arg_min(event_id, (-value, event_id)) as event_id, max(value) as value from events group by user_id")
+def loudest_probe(spark, d):
+    """AG17: where the greatest value is, the first of equal ones."""
+    return publication.loudest(table(spark, d, "events"), ["user_id"], "value", "event_id").select("user_id", "event_id", "value")
+
+
+@query("""
+with c as (select l_orderkey, l_linenumber - 1 as i, ['drums', 'vocals'] as stems from (select distinct l_orderkey, l_linenumber from lineitem) where l_linenumber % 7 <> 0),
+r as (select l_orderkey, min(i) = 0 and max(i) = count(*) - 1 as ready from c group by l_orderkey)
+select o_orderkey, case when o_orderkey % 5 = 0 or coalesce(ready, false) then 'complete' else 'building' end as state from orders left join r on l_orderkey = o_orderkey
+""")
+def cache_finalize(spark, d):
+    """SK19: entries whose chunks are dense and whole become complete."""
+    entries = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 5 == 0, "complete").otherwise("building").alias("state"))
+    l = table(spark, d, "lineitem").where("l_linenumber % 7 <> 0").select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_linenumber") - 1).alias("i")).distinct()
+    stems = F.array(F.lit("drums"), F.lit("vocals"))
+    return publication.finalized(entries, l.withColumn("stems", stems), ["o_orderkey"], "i", "stems", stems)
+
+
+@query("""
+select event_id, not (event_id % 2 = 0) as restart_receiver, not (event_id % 2 = 0) or not (event_id % 3 = 0) or event_type <> 'view' or event_id % 5 = 0 as restart_playback from events
+""")
+def start_plan(spark, d):
+    """PJ8."""
+    n = F.col("event_id")
+    e = table(spark, d, "events").select("event_id", (n % 2 == 0).alias("receiver_running"), (n % 3 == 0).alias("playback_running"), F.col("event_type").alias("current_profile"), F.lit("view").alias("requested_profile"), F.lit("").alias("current_endpoint"), F.lit("").alias("requested_endpoint"), F.when(n % 5 == 0, 3).otherwise(6).alias("current_hop_seconds"), F.lit(6).alias("requested_hop_seconds"))
+    return e.select("event_id", *rules.start_plan())
+
+
 # --- sets, selections, closure
 
 

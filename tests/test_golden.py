@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hopline.functions import binary, identity, numeric, rules, text
-from hopline.operators import cache, framing, joins, lyrics, signal, telemetry, timeline
+from hopline.operators import cache, framing, joins, lyrics, publication, signal, telemetry, timeline
 from hopline.schemas import ANCHOR, schema
 from hopline.sources import documents, wav
 from hopline.streaming import machines, run
@@ -471,3 +471,29 @@ def test_machines_on_streams(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/good").count() == 5 and spark.read.parquet(f"{tmp_path}/bad").count() == 1
     run.published(src, f"{tmp_path}/out", f"{tmp_path}/cp2", lambda df: df.groupBy("k").count()).awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out/stems").count() == 6 and spark.read.json(f"{tmp_path}/out/manifests").count() == 2
+
+
+# --- publication
+
+
+def test_publication(spark):
+    entries = one(spark, "k int, state string", (1, "building"), (2, "building"), (3, "complete"))
+    chunks = one(spark, "k int, i int, at int, stems array<string>", (1, 0, 1, ["b", "a"]), (1, 1, 1, ["a", "b"]), (1, 1, 2, ["a", "b"]), (2, 1, 1, ["a", "b"]), (3, 0, 1, ["a"]))
+    kept = publication.stored(entries, chunks, ["k"], "i", "at")
+    assert sorted((r.k, r.i, r.at) for r in kept.collect()) == [(1, 0, 1), (1, 1, 2), (2, 1, 1)]
+    done = publication.finalized(entries, kept, ["k"], "i", "stems", F.array(F.lit("a"), F.lit("b")))
+    assert {r.k: r.state for r in done.collect()} == {1: "complete", 2: "building", 3: "complete"}
+    m = publication.manifests(one(spark, "q int, stem string, filename string", (1, "b", "y"), (1, "a", "x")), ["q"], sample_rate=F.lit(10)).first()
+    assert (m.version, m.sample_rate, m.stems) == (2, 10, {"a": "x", "b": "y"})
+    parts = one(spark, "q int, ordinal int, cache_key string, cached_start_frame long, frame_count long, profile string", (1, 1, "B", 0, 13, "p"), (1, 0, "A", 52, 8, "p"), (2, 0, "A", 0, 8, "p"))
+    c = publication.composites(parts, ["q"], F.lit(21)).collect()
+    assert [(r.q, r.cache_part_count, [p.cache_key for p in r.cache_parts]) for r in c] == [(1, 2, ["A", "B"])]
+
+
+def test_small_rules(spark):
+    check = lambda c: value(spark, c)
+    assert check(rules.absolute(F.lit("a//./b.wav"), F.lit("/out"))) == "/out/a/b.wav" and check(rules.absolute(F.lit("/x/y"), F.lit("/out"))) == "/x/y"
+    assert check(rules.visible(F.array(F.lit("drums"))))["drums"] is True and check(rules.labels())["vocals"]
+    assert check(rules.of_epoch_ns(F.lit(1704067200123456789)).cast("string")) == "2024-01-01 00:00:00.123456"
+    assert check(rules.heartbeat(F.lit("2024-01-01T00:00:00Z")).cast("string")) == "2024-01-01 00:00:00" and check(rules.heartbeat(F.lit("x"))) is None
+    assert check(rules.age_seconds(F.lit("2024-01-01 00:00:05").cast("timestamp"), F.lit("2024-01-01 00:00:02.5").cast("timestamp"))) == 2.5
