@@ -7,6 +7,7 @@ bounded by the chunk and the longest single document, never by the partition.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import cached_property
 
@@ -82,6 +83,17 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
                 kept, held = [], 0
     if kept:
         yield joined(kept)
+    kept = []
+    release_memory()
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system, so that a worker that waits for its next task does not hold it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:

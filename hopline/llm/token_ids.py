@@ -18,6 +18,7 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,25 +27,35 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hopline.llm._shared import blank, partitions, scratch
+from hopline.llm.textvec import release_memory
 
 END_ID = 2
 LENGTH = 2048
 #: Pieces whose ids a worker keeps, about 170 bytes each; beyond, it starts anew.
-MEMO = 1_200_000
+MEMO = 900_000
 ROWS = 64
 
 # Letters, digits and white space up to U+024F, for the splitting pattern of byte-level BPE. Other texts go to the library whole.
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", "\\t\\n\\r \\xa0"
 _PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 _OTHER = re.compile("[^\\t\\n\\r -~\\xa0-ɏ‐-‧€]")
-_SPACED = re.compile(rf" [{_L}]+").fullmatch
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter for each byte that byte-level BPE works on: printable bytes are themselves, the others follow from U+0100."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_BYTES = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
 
 
 class Encoder:
     """Ids of whole texts by the tokenizers library.
 
     For byte-level BPE without a normaliser, a text's ids are those of its pieces, so each distinct piece goes
-    through the library once and is remembered (about MEMO of them). All else is encoded as it is.
+    through the library's model once and is remembered (about MEMO of them). All else is encoded as it is.
     """
 
     def __init__(self, path: str):
@@ -55,7 +66,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         spec = json.loads(self.tokenizer.to_str())
         pre = spec.get("pre_tokenizer") or {}
-        self.by_piece = not spec.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+        self.by_piece = not spec.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and all(t["special"] for t in spec.get("added_tokens") or [])
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() < 1 << 16 else np.uint32
         self.memo: dict[str, bytes] = {}
 
@@ -63,15 +74,9 @@ class Encoder:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, pieces: list[str]) -> None:
-        spaced = [p for p in pieces if _SPACED(p)]
-        for i in range(0, len(spaced), 256):  # a row of such pieces is split again as it was put together
-            part = spaced[i : i + 256]
-            e = self.tokenizer.encode("".join(part), add_special_tokens=False)
-            at = np.array(e.word_ids, np.int64)
-            ids, cuts = np.array(e.ids, self.dtype), np.searchsorted(at, np.arange(len(part) + 1))
-            self.memo.update((p, ids[a:b].tobytes()) for p, a, b in zip(part, cuts, cuts[1:]))
-        rest = [p for p in pieces if p not in self.memo]
-        self.memo.update(zip(rest, self.whole(rest)))
+        tokenize, memo, kind = self.tokenizer.model.tokenize, self.memo, self.dtype().dtype.char
+        for p in pieces:
+            memo[p] = array(kind, [t.id for t in tokenize(p.encode("utf-8", "surrogatepass").decode("latin-1").translate(_BYTES))]).tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.by_piece:
@@ -170,6 +175,7 @@ def write(docs: DataFrame, out: str, tokenizer: str, end_id: int = END_ID, lengt
                     for i in range(0, full, length * ROWS):
                         seqs.write_batch(rows(left[i : i + length * ROWS], length * ROWS))
                     left = left[full:]
+            release_memory()
             if len(left):
                 padded = np.zeros(-(-len(left) // length) * length, enc.dtype)
                 padded[: len(left)] = left
