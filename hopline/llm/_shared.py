@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 
 #: At most so many bits, 8 MB, are broadcast for a Bloom filter. A fuller filter lets more rows through; none is lost.
 BLOOM_BITS = 1 << 26
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -21,14 +24,25 @@ def shared_dir(spark: SparkSession) -> str:
     if not at:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
-        at = "file://" + tempfile.mkdtemp(prefix="hopline-")
+        own = tempfile.mkdtemp(prefix="hopline-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        at = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    """A new path in the shared folder; clean() takes it away."""
+    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _made.append(at)
+    return at
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete the scratch tables that this driver has made. Results that still read them must be written before."""
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from hopline.llm import components, decontaminate, line_dedup, minhash
+from hopline.llm import components, decontaminate, line_dedup, minhash, textvec
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -25,7 +25,7 @@ def brute_lines(rows):
     import xxhash
 
     lines = sorted({(i, xxhash.xxh32_intdigest(t.encode()), p, tuple(x.encode().split())) for i, t in docs for p, x in enumerate(t.split("\n")) if x.encode().split()})
-    kept, seen = {}, []
+    kept = {}
     first = {}
     for i, h, p, w in lines:
         first.setdefault(w, (i, h, p))
@@ -42,11 +42,19 @@ def brute_lines(rows):
         n = sum(bool(x.encode().split()) for x in t.split("\n"))
         k = sorted(kept.get((i, xxhash.xxh32_intdigest(t.encode())), []))
         out.append((doc_id, n, n - len(k), ",".join(map(str, k))))
-    del seen
     return sorted(out, key=str)
 
 
-def test_lines(spark):
+def test_lines_of_documents(spark):
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    got = sorted((tuple(r) for r in line_dedup.deduplicated(frame(spark, rows)).collect()), key=str)
+    assert got == brute_lines(rows)
+
+
+@pytest.mark.parametrize("limit", [None, 100])
+def test_lines(spark, monkeypatch, limit):
+    if limit:
+        monkeypatch.setattr(line_dedup, "chunks", lambda batches: textvec.chunks(batches, limit=limit))
     rng = random.Random(3)
     vocab = [f"w{i}" for i in range(30)] + ["é", "aa"]
     base = [[rng.choice(vocab) for _ in range(rng.randint(1, 14))] for _ in range(25)]

@@ -147,3 +147,27 @@ def test_fingerprints_extend_collided_digests(spark, monkeypatch):
     assert [(r.n_chars, r.near_edited, r.near_next) for r in one] == [(9, 0.0, 1.0)]
     assert fingerprints.compared(docs.where("false")).count() == 0
     assert oracles.licenses()
+
+
+def test_scratch_tables_are_cleaned(spark):
+    from pathlib import Path
+
+    from hopline.llm import _shared
+
+    at = _shared.scratch(spark, "try")
+    spark.range(3).write.parquet(at)
+    assert _shared.written(spark.range(3), "try").count() == 3
+    _shared.clean(spark)
+    assert not Path(at.removeprefix("file://")).exists()
+
+
+def test_bloom_loses_nothing(spark):
+    import numpy as np
+
+    from hopline.llm import _shared
+
+    keys = spark.range(5000).selectExpr("xxhash64(id) as k")
+    bits = _shared.bloom(keys, 5000)
+    own = keys.toPandas()["k"].to_numpy()
+    assert _shared.in_bloom(bits, own).all() and _shared.in_bloom(bits, own + 1).mean() < 0.1
+    assert not _shared.in_bloom(_shared.bloom(keys.where("false"), 0), np.arange(9)).any()
