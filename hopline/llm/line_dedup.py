@@ -8,7 +8,8 @@ verified on the words. A line goes if an earlier line, by doc_id and place, is e
 
 Equal lines are one class from the start (128-bit hash, earliest place kept by partial aggregation). Only classes
 that can have a neighbour emit variants: an edit leaves the first or the last half of the words as it was, so a class
-that shares neither half with another has none.
+that shares neither half with another has none. A chunk of documents settles what it can by itself and sends each variant
+from its earliest line only, so a variant that very many lines share sends a row from each chunk.
 
 Lines are cut at line feeds; words are runs of anything but ASCII white space. Lines without words are never removed and don't
 count; lines under LEAST words go only if equal to an earlier one. Null text has no lines. Null doc_ids come
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hopline.llm._shared import bloom, in_bloom, written
-from hopline.llm.textvec import Words, chunks, flatten
+from hopline.llm.textvec import Words, chunks, flatten, groups
 
 LEAST = 6
 LAST_ID = 2**63 - 1
@@ -140,8 +141,21 @@ def _variants(x: Lines, u: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
     slot = np.repeat(np.arange(len(u)), n + 1)
     q = np.arange(len(slot)) - np.repeat(np.cumsum(n + 1) - n - 1, n + 1)
     put = _blend(x.part(u[slot], np.zeros(len(slot), np.int64), q), x.part(u[slot], q, n[slot] - q), q)
-    of = np.concatenate([line, slot])
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([gone, put]).view(np.int64)), pa.array(ids[of]), pa.array(x.prints[x.doc[u]][of]), pa.array(x.place[u][of].astype(np.int32))], ["variant", "id", "print", "place"])
+    of, variant = np.concatenate([line, slot]), np.concatenate([gone, put])
+    spot = [ids, x.prints[x.doc[u]], x.place[u].astype(np.int32)]
+    rank = np.empty(len(u), np.int64)
+    rank[np.lexsort(spot[::-1])] = np.arange(len(u))
+    order = np.lexsort((rank[of], variant))
+    of, variant = of[order], variant[order]
+    cut = groups(variant)
+    first = np.repeat(of[cut[:-1]], np.diff(cut))
+    known = rank[first] < rank[of]  # an earlier line of this chunk has the variant: settled here, and not sent to the variant's group
+    local, at = np.unique(of[known], return_index=True)
+    sent = ~known
+    rows = [np.concatenate([variant[sent], variant[known][at] ^ _blend(local + 1, rank[local])]), *[np.concatenate([c[of[sent]], c[local]]) for c in spot]]
+    none, partner = int(sent.sum()), first[known][at]
+    other = [pa.concat_arrays([pa.nulls(none, pa.array(c).type), pa.array(c[partner])]) for c in spot]
+    return pa.RecordBatch.from_arrays([pa.array(rows[0].view(np.int64)), *[pa.array(c) for c in rows[1:]], *other], ["variant", "id", "print", "place", "o_id", "o_print", "o_place"])
 
 
 def _texts(x: Lines, u: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
@@ -172,9 +186,10 @@ def neighbours(docs: DataFrame, table: DataFrame) -> DataFrame:
     halves = long_enough.select("first", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.min("first").alias("x"), F.max("first").alias("y")).where("x <> y").select("half")
     near = written(halves.join(shared, "half", "left_semi").select("first.*").distinct(), "line-candidates")
-    variants = _at(docs, near, _variants, f"variant long, {SPOT}").join(near, ["id", "print", "place"], "left_semi").distinct()
-    me = F.struct("id", "print", "place")
-    first = variants.withColumn("least", F.min(me).over(Window.partitionBy("variant"))).where(F.col("least") < me)
+    variants = _at(docs, near, _variants, f"variant long, {SPOT}, o_id long, o_print long, o_place int")
+    me, other = F.struct("id", "print", "place"), F.struct(F.col("o_id").alias("id"), F.col("o_print").alias("print"), F.col("o_place").alias("place"))
+    least = F.when(F.col("o_id").isNotNull(), other).otherwise(F.min(me).over(Window.partitionBy("variant")))
+    first = variants.withColumn("least", least).where(F.col("least") < me)
     pairs = written(first.groupBy("id", "print", "place").agg(F.min("least").alias("o")).select("id", "print", "place", F.col("o.id").alias("o_id"), F.col("o.print").alias("o_print"), F.col("o.place").alias("o_place")), "line-pairs")
     spots = pairs.select("id", "print", "place").unionByName(pairs.select(F.col("o_id").alias("id"), F.col("o_print").alias("print"), F.col("o_place").alias("place"))).distinct()
     texts = written(_at(docs, spots, _texts, f"{SPOT}, line binary").join(spots, ["id", "print", "place"], "left_semi").dropDuplicates(["id", "print", "place"]), "line-texts")
