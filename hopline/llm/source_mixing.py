@@ -6,7 +6,7 @@ documents put in order by a hash and cut into equal blocks. A source that is tak
 block. So any run of slots holds the sources in close to their target shares.
 
 Ranks and running sums work in two steps, within slices of a source and over the slices' totals, so that no
-task holds a whole source.
+task holds a whole source. There are about as many slices as the square root of all rows, and so as rows in a slice.
 
 Words are runs of anything but ASCII white space; null text has none. The null source is a source and comes last.
 Documents without words are taken 0 times. An empty table gives an empty result. Rows that repeat a
@@ -15,6 +15,8 @@ doc_id count each for itself.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,8 +28,6 @@ SHARE, CAP = 1.5, 2.0
 #: Slots of the smallest target, at least, and of the whole mix, at most; words in a block, at most unless the mix has more slots than that.
 FINE, SLOTS, BLOCK = 256, 1 << 22, 4096
 CELLS = 4096
-#: Documents, or slots, in a slice of a source, about.
-SLICE = 4096
 #: Sources that are broadcast, at most.
 FEW = 20_000
 
@@ -79,7 +79,7 @@ def schedule(sources: DataFrame, slots: int) -> DataFrame:
     points = sources.sparkSession.range(slots).withColumnRenamed("id", "slot").withColumn("u", point - F.floor(point))
     points = points.withColumn("cell", F.floor(F.col("u") * CELLS).cast("long"))
     cells = sources.where((F.col("target") > 0) & (F.col("blocks") > 0)).select("rank", "blocks", "low", "high", F.explode(F.sequence(F.floor(F.col("low") * CELLS), F.least(F.floor(F.col("high") * CELLS), F.lit(CELLS - 1)))).alias("cell"))
-    mapped = points.join(cells, "cell").where((F.col("u") >= F.col("low")) & (F.col("u") < F.col("high"))).select("slot", "rank", "blocks", F.floor(F.col("slot") / SLICE).alias("slice"))
+    mapped = points.join(cells, "cell").where((F.col("u") >= F.col("low")) & (F.col("u") < F.col("high"))).select("slot", "rank", "blocks", F.floor(F.col("slot") / max(1, math.isqrt(slots))).alias("slice"))
     ranked = _sliced(mapped, F.lit(1), ["slot"])
     return ranked.select("slot", "rank", (F.col("before") % F.col("blocks")).alias("block_no"), F.floor(F.col("before") / F.col("blocks")).alias("epoch"))
 
@@ -95,7 +95,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: fl
     of = sources.agg(F.sum("target").alias("total"), F.max("block").alias("block"), F.sum("n_docs").alias("docs"), F.count("*").alias("sources")).first()
     small = F.broadcast if of["sources"] <= FEW else (lambda x: x)
     block = int(of["block"] or 1)
-    bits = max(0, ((of["docs"] or 0) // SLICE).bit_length())
+    bits = (of["docs"] or 0).bit_length() // 2
     place = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long")
     keyed = sizes.withColumn("place_hash", place).withColumn("slice", F.shiftright("place_hash", 32 - bits))
     keys = sources.select(F.col("source").alias("of"), "rank")
