@@ -42,7 +42,7 @@ def directory(sizes: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
         cells = written(rows.groupBy(_cell(depth).alias("cell")).agg(F.sum("n_bytes").alias("n_bytes"), F.count("*").alias("n_docs")), "shard-cells")
         nodes = cells.withColumn("depth", F.explode(F.sequence(F.lit(from_depth), F.lit(depth)))).withColumn("prefix", F.expr(f"shiftright(cell, {depth} - depth)"))
         sums = nodes.groupBy("depth", "prefix").agg(F.sum("n_bytes").alias("shard_bytes"), F.sum("n_docs").alias("shard_docs"))
-        sums = sums.where((F.col("shard_bytes") <= limit) | (F.col("shard_docs") == 1) | (F.col("depth") == BITS))
+        sums = sums.hint("merge").where((F.col("shard_bytes") <= limit) | (F.col("shard_docs") == 1) | (F.col("depth") == BITS))
         fits = nodes.select("cell", "depth", "prefix").join(sums, ["depth", "prefix"])
         best = fits.groupBy("cell").agg(F.min(F.struct("depth", "prefix", "shard_bytes", "shard_docs")).alias("s")).select(F.lit(depth).alias("cell_depth"), "cell", "s.*")
         best = written(best, "shard-directory")
@@ -63,7 +63,7 @@ def shards(docs: DataFrame, limit: int) -> DataFrame:
     _, cells = directory(sizes.select("key", "n_bytes"), limit)
     depths = [r[0] for r in cells.select("cell_depth").distinct().collect()]
     keyed = sizes.withColumn("at", F.explode(F.array(*[F.struct(F.lit(d).alias("cell_depth"), _cell(d).alias("cell")) for d in sorted(depths)]))) if depths else sizes.withColumn("at", F.struct(F.lit(0).alias("cell_depth"), F.lit(0).cast("long").alias("cell"))).where("false")
-    rows = keyed.select("doc_id", "key", "n_bytes", "at.*").join(cells, ["cell_depth", "cell"])
+    rows = keyed.select("doc_id", "key", "n_bytes", "at.*").join(cells.hint("merge"), ["cell_depth", "cell"])
     bits = F.when(F.col("depth") == 0, F.lit("")).otherwise(F.expr("lpad(bin(prefix), depth, '0')"))
     named = rows.select("doc_id", "key", "n_bytes", bits.alias("shard"), "depth", "shard_bytes", "shard_docs")
     heavy = (F.col("depth") == BITS) & (F.col("shard_bytes") > limit) & (F.col("shard_docs") > 1)
