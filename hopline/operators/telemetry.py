@@ -45,41 +45,110 @@ def one_of(payload: Column, path: str, allowed: tuple, default: str, other: str)
     return F.when(v.isin(*allowed), v).otherwise(other)
 
 
-#: PJ1, from the payloads of the status documents: column, kind, document, path.
-SNAPSHOT = [
-    ("streaming", "flag", "input", "$.streaming"), ("input_source", "text", "input", "$.source"), ("captured_sequence", "count", "input", "$.sequence"),
-    ("captured_frames", "count", "input", "$.frames"), ("track_title", "text", "input", "$.track.title"), ("track_artist", "text", "input", "$.track.artist"), ("track_album", "text", "input", "$.track.album"),
-    ("track_revision", "count", "input", "$.track.revision"), ("track_position_seconds", "metric", "input", "$.track.position_seconds"), ("track_duration_seconds", "metric", "input", "$.track.duration_seconds"),
-    ("peak_left", "level", "input", "$.peak_left"), ("peak_right", "level", "input", "$.peak_right"), ("rms_left", "level", "input", "$.rms_left"), ("rms_right", "level", "input", "$.rms_right"),
-    ("model_state", "model", "gpu", "$.model_state"), ("gpu_sequence", "count", "gpu", "$.last_sequence"), ("cache_hits", "count", "gpu", "$.cache_hits"), ("cache_misses", "count", "gpu", "$.cache_misses"), ("songs_cached", "count", "gpu", "$.songs_cached"),
-    ("cache_hit", "flag", "gpu", "$.cache_hit"), ("cache_scope", "text", "gpu", "$.cache_scope"), ("processing_seconds", "metric", "gpu", "$.processing_seconds"), ("fallback_audio", "flag", "gpu", "$.fallback_audio"), ("fallback_error", "text", "gpu", "$.fallback_error"), ("gpu_error", "text", "gpu", "$.error"),
-    ("playback_state", "text", "playback", "$.state"), ("playback_sequence", "count", "playback", "$.sequence"), ("underruns", "count", "playback", "$.underruns"), ("skipped_sequence", "count", "playback", "$.skipped_sequence"), ("device_recoveries", "count", "playback", "$.device_recoveries"),
-    ("device_recovering", "flag", "playback", "$.device_recovering"), ("mixer_updates", "count", "playback", "$.mixer_updates"), ("last_mixer_control_latency_ms", "metric", "playback", "$.last_mixer_control_latency_ms"), ("device_network_enabled", "flag", "playback", "$.device_network_enabled"),
-    ("device_dropped_frames", "count", "playback", "$.device_dropped_frames"), ("device_send_errors", "count", "playback", "$.device_send_errors"), ("device_sent_packets", "count", "playback", "$.device_sent_packets"), ("device_sent_bytes", "count", "playback", "$.device_sent_bytes"),
-    ("controller_state", "text", "controller", "$.state"), ("controller_error", "text", "controller", "$.error"),
-]
+#: AG7: the requirements, in order; the first three of ZERO decide failure.
+ZERO = ("zero_active_underruns", "zero_active_device_recoveries", "zero_active_skipped_sequences")
+
+#: The status documents that a snapshot is made of; ``input`` is the capture's while the controller captures, else the receiver's.
+DOCUMENTS = ("controller", "heartbeat", "receiver", "capture", "inbox", "gpu", "playback", "manifest", "lyrics", "acceptance")
+RATE = 44100
+REQUIREMENTS = ("stream_received", "gpu_first_play", "song_cache_available", "song_cache_replayed", *ZERO, "mixer_adjusted_during_stream", "mixer_latency_below_limit")
+
+#: PJ1: fields that are read as they are, by document and kind; ``column:path`` where the two differ.
+FIELDS = {
+    "input": {
+        "text": "input_scope track_title:track.title track_artist:track.artist track_album:track.album",
+        "count": "source_sessions_tracked source_sessions_isolated track_revision:track.revision",
+        "metric": "track_position_seconds:track.position_seconds track_duration_seconds:track.duration_seconds",
+        "level": "peak_left peak_right rms_left rms_right",
+        "flag": "signal_detected track_playing:track.playing",
+    },
+    "receiver": {"count": "published_windows"},
+    "inbox": {"count": "captured_sequence:sequence"},
+    "gpu": {
+        "count": "gpu_sequence:last_sequence cache_hits cache_misses songs_cached fallback_windows inference_process_pid effective_shifts warmup_windows deadline_windows low_buffer_fallback_windows",
+        "metric": "inference_timeout_seconds model_warmup_seconds shifts_benchmark_seconds continuity_reserve_seconds max_processing_seconds",
+        "text": "inference_error",
+        "flag": "shifts_fallback",
+    },
+    "playback": {
+        "count": "playback_sequence:sequence skipped_sequence underruns last_underrun_system_time_ns device_open_count device_recoveries device_queue_packets device_queue_capacity_packets device_enqueued_packets device_dropped_packets device_dropped_frames device_sent_packets device_sent_bytes device_send_errors device_last_socket_error control_sequence mixer_updates",
+        "metric": "prebuffer_seconds last_mixer_control_latency_ms max_mixer_control_latency_ms gain_smoothing_ms",
+        "flag": "device_recovering device_network_enabled",
+    },
+    "manifest": {"flag": "fallback_audio cache_hit", "text": "fallback_error:error"},
+    "acceptance": {"count": "acceptance_active_samples:metrics.active_samples active_underrun_delta:metrics.active_underrun_delta active_device_recovery_delta:metrics.active_device_recovery_delta active_skipped_sequence_delta:metrics.active_skipped_sequence_delta"},
+}
+
+
+def _frames_as(payload: Column, path: str, places: int, per_second: float = 1.0) -> Column:
+    return F.round(metric_of(payload, path) * per_second / RATE, places)
+
+
+def _lyric_fields(lyrics: Column, revision: Column, title: Column, artist: Column, position: Column) -> list[Column]:
+    """What is shown of the lyrics document if it is that of the present track (JN7): state, source, flags, and the lines around the position (JN6)."""
+    same_text = lambda path, own: F.lower(F.trim(F.coalesce(F.get_json_object(lyrics, path), F.lit("")))) == F.lower(F.trim(own))
+    same = (revision > 0) & (count_of(lyrics, "$.track.revision") == revision) & same_text("$.track.title", title) & same_text("$.track.artist", artist)
+    state = F.when(same, one_of(lyrics, "$.state", ("ready", "not_found", "error"), "waiting", "waiting")).otherwise("waiting")
+    raw = F.slice(F.coalesce(F.from_json(F.get_json_object(lyrics, "$.lines"), "array<struct<time_seconds:double,text:string>>"), F.array().cast("array<struct<time_seconds:double,text:string>>")), 1, 20000)
+    good = F.filter(raw, lambda x: (x["time_seconds"] >= 0) & ~F.isnan(x["time_seconds"]) & (F.trim(x["text"]) != ""))
+    ordered = F.array_sort(F.transform(good, lambda x, i: F.struct(x["time_seconds"].alias("t"), i.alias("i"), F.substr(F.trim(x["text"]), F.lit(1), F.lit(4096)).alias("text"))))
+    lines = F.when(state == "ready", ordered).otherwise(F.slice(ordered, 1, 0))
+    at = F.size(F.filter(lines, lambda x: x["t"] <= position))
+    text = lambda a: F.transform(a, lambda x: x["text"])
+    shown = F.when(same, F.lit(True)).otherwise(False)
+    return [
+        state.alias("lyrics_state"), F.when(shown, one_of(lyrics, "$.source", ("cache", "lrclib"), "", "")).otherwise("").alias("lyrics_source"), (shown & flag_of(lyrics, "$.instrumental")).alias("lyrics_instrumental"),
+        F.when(shown, text_of(lyrics, "$.error")).otherwise("").alias("lyrics_error"), F.coalesce(F.get(lines, at - 1)["text"], F.lit("")).alias("lyrics_current"),
+        text(F.slice(lines, F.greatest(F.lit(1), at - 2), F.greatest(F.lit(0), F.least(F.lit(2), at - 1)))).alias("lyrics_previous"), text(F.slice(lines, at + 1, 2)).alias("lyrics_upcoming"), F.size(lines).cast("long").alias("lyrics_line_count")]
 
 
 def snapshot(status: DataFrame, now: Column) -> DataFrame:
-    """One row of the pipeline's present state, out of status (source, observed_at, payload) (PJ1, JN11, SF27, FL11).
+    """One row of the pipeline's present state, out of status (source, observed_at, payload), sources as in DOCUMENTS (PJ1, JN11, SF27, FL11).
 
-    Sources are input, gpu, playback, controller and manifest; each one's last document counts, and a missing one gives defaults.
+    Each source's last document counts, and a missing one gives defaults. Values are read leniently: counts and metrics below 0 or of
+    another type are 0, texts are trimmed and cut, names that are not known become the default.
     """
-    from hopline.functions.rules import lag_state
-
-    one = status.groupBy().pivot("source", ["input", "gpu", "playback", "controller", "manifest"]).agg(F.max(F.struct("observed_at", "payload")))
-    docs = {k: F.coalesce(F.col(f"{k}.payload"), F.lit("{}")) for k in ("input", "gpu", "playback", "controller", "manifest")}
-    kinds = {"flag": flag_of, "text": text_of, "count": count_of, "metric": metric_of, "level": lambda p, x: metric_of(p, x, most=1.0), "model": lambda p, x: one_of(p, x, ("warming", "ready", "error", "stopped"), "stopped", "error")}
-    cols = [kinds[kind](docs[doc], path).alias(name) for name, kind, doc, path in SNAPSHOT]
-    first = lambda name, default: F.coalesce(*[F.nullif(metric_of(docs[d], f"$.{name}"), F.lit(0.0)) for d in ("playback", "manifest")], F.lit(default))
-    buffered = F.get_json_object(docs["playback"], "$.buffered_seconds").try_cast("double")
-    age = lambda k: F.greatest(F.lit(0.0), (F.unix_micros(now) - F.unix_micros(F.col(f"{k}.observed_at"))) / 1e6)
-    gains = F.map_filter(F.from_json(F.get_json_object(docs["playback"], "$.gains"), "map<string,double>"), lambda k, v: k.isin("vocals", "instrumental", "drums", "bass", "guitar", "piano", "other") & ~F.isnan(v))
-    wave = F.transform(F.slice(F.coalesce(F.from_json(F.get_json_object(docs["input"], "$.waveform"), "array<double>"), F.array().cast("array<double>")), 1, 64), lambda v: F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(v, F.lit(0.0)))))
-    base = one.select(*cols, first("window_seconds", 12.0).alias("window_seconds"), first("hop_seconds", 6.0).alias("hop_seconds"), F.round(first("overlap_frames", 4410.0) * 1000 / 44100, 3).alias("overlap_milliseconds"), buffered.alias("buffered_seconds"), age("input").alias("stream_age_seconds"), age("controller").alias("controller_age_seconds"), F.transform_values(gains, lambda k, v: F.least(F.lit(1.0), F.greatest(F.lit(0.0), v))).alias("gains"), wave.alias("waveform"))
-    derived = base.select("*", *lag_state()).drop("buffered_seconds")
-    known = derived.withColumn("processing_seconds", F.nullif("processing_seconds", F.lit(0.0)))
-    return known.withColumn("sustainable", F.coalesce(F.col("processing_seconds") <= F.col("hop_seconds"), F.lit(False))).withColumn("stream_stalled", F.col("streaming") & F.coalesce(F.col("stream_age_seconds") > 2, F.lit(True))).withColumn("controller_stalled", F.coalesce(F.col("controller_age_seconds") > 6, F.lit(False)))
+    from hopline.functions.rules import LABELS, lag_state
+    from hopline.functions.text import hresult
+
+    latest_of = status.groupBy().pivot("source", list(DOCUMENTS)).agg(F.max(F.struct("observed_at", "payload")))
+    seconds = lambda k: F.round((F.unix_micros(now) - F.unix_micros(F.col(f"{k}.observed_at"))) / 1e6, 3)
+    docs = latest_of.select(*[F.coalesce(F.col(f"{k}.payload"), F.lit("{}")).alias(k) for k in DOCUMENTS], *[F.greatest(F.lit(0.0), seconds(k)).alias(f"{k}_age") for k in ("heartbeat", "receiver", "capture")])
+    capturing = F.coalesce(F.get_json_object("controller", "$.state") == "capturing", F.lit(False))
+    docs = docs.withColumn("capturing", capturing).withColumn("input", F.when(F.col("capturing"), F.col("capture")).otherwise(F.col("receiver"))).withColumn("input_age", F.when(F.col("capturing"), F.col("capture_age")).otherwise(F.col("receiver_age")))
+    c = F.col
+    kinds = {"flag": flag_of, "text": text_of, "count": count_of, "metric": lambda p, x: F.round(metric_of(p, x), 3), "level": lambda p, x: metric_of(p, x, most=1.0)}
+    plain = [kinds[kind](c(doc), "$." + (f.split(":") + f.split(":"))[1]).alias(f.split(":")[0]) for doc, by in FIELDS.items() for kind, fields in by.items() for f in fields.split()]
+    state = F.coalesce(F.get_json_object("controller", "$.state"), F.lit(""))
+    online = F.coalesce(c("heartbeat_age") <= 6, F.lit(False))
+    wanted = F.when(c("capturing"), F.get_json_object("capture", "$.state") == "capturing").otherwise(F.get_json_object("receiver", "$.state") == "streaming")
+    raw, fresh = F.coalesce(wanted, F.lit(False)), F.coalesce(c("input_age") <= 2, F.lit(False))
+    first = lambda name, default: F.coalesce(*[F.nullif(metric_of(c(d), f"$.{name}"), F.lit(0.0)) for d in ("playback", "manifest")], F.lit(default))
+    overlap = F.coalesce(F.nullif(first("overlap_milliseconds", 0.0), F.lit(0.0)), first("overlap_frames", 4410.0) * 1000 / RATE)
+    gains = F.map_filter(F.coalesce(F.from_json(F.get_json_object("playback", "$.gains"), "map<string,double>"), F.create_map().cast("map<string,double>")), lambda k, v: k.isin(*LABELS) & ~F.isnan(v))
+    wave = F.slice(F.coalesce(F.from_json(F.get_json_object("input", "$.waveform"), "array<double>"), F.array().cast("array<double>")), 1, 64)
+    clamp = lambda v: F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(v, F.lit(0.0))))
+    hit, scope = flag_of(c("manifest"), "$.cache_hit"), one_of(c("manifest"), "$.cache_scope", ("song", "song-composite", "window"), "window", "window")
+    taken = F.get_json_object("manifest", "$.processing_seconds").try_cast("double")
+    isolation = F.get_json_object("input", "$.source_isolation_db").try_cast("double")
+    requirements = F.map_from_arrays(F.array(*[F.lit(r) for r in REQUIREMENTS]), F.array(*[flag_of(c("acceptance"), f"$.requirements.{r}") for r in REQUIREMENTS]))
+    accept = one_of(c("acceptance"), "$.state", ("waiting_for_phone", "in_progress", "passed", "failed", "timed_out", "stopped"), "not_running", "not_running")
+    made = [
+        state.alias("controller_state"), online.alias("controller_online"), (state.isin("airplay_waiting", "capturing") & ~online).alias("controller_stalled"), c("heartbeat_age").alias("controller_heartbeat_age_seconds"),
+        (raw & fresh).alias("streaming"), (raw & ~fresh).alias("stream_stalled"), F.when(c("capturing"), "windows").otherwise("airplay").alias("input_source"), c("receiver_age").alias("receiver_status_age_seconds"),
+        F.when(isolation.isNull() | F.isnan(isolation) | (F.abs(isolation) == float("inf")), 0.0).otherwise(isolation).alias("source_isolation_db"),
+        F.when(c("capturing"), "PCM16 · Windows").otherwise(F.coalesce(F.get_json_object("receiver", "$.codec"), F.lit("none"))).alias("codec"), _frames_as(c("input"), "$.pcm_frames", 1).alias("received_seconds"), F.transform(wave, clamp).alias("waveform"),
+        F.coalesce(F.get_json_object("playback", "$.state"), F.lit("waiting")).alias("playback_state"), F.get_json_object("playback", "$.buffered_seconds").try_cast("double").alias("buffered_seconds"),
+        _frames_as(c("playback"), "$.last_underrun_buffered_frames", 3).alias("last_underrun_buffer_seconds"), _frames_as(c("playback"), "$.last_underrun_total_read_frames", 3).alias("last_underrun_playback_seconds"), _frames_as(c("playback"), "$.device_buffer_frames", 1, 1000.0).alias("device_buffer_ms"),
+        F.coalesce(hresult(F.get_json_object("playback", "$.last_device_hresult")), F.lit("")).alias("last_device_hresult"), F.transform_values(gains, lambda k, v: clamp(v)).alias("gains"),
+        F.round(F.coalesce(F.nullif(first("analysis_window_seconds", 0.0), F.lit(0.0)), first("window_seconds", 12.0)), 3).alias("analysis_window_seconds"), F.round(first("hop_seconds", 6.0), 3).alias("hop_seconds"), F.round(overlap, 1).alias("overlap_milliseconds"),
+        F.when(~F.isnan(taken), F.greatest(F.lit(0.0), taken)).alias("processing_seconds"), one_of(c("manifest"), "$.fallback_stem", tuple(LABELS), "", "").alias("fallback_stem"), one_of(c("gpu"), "$.model_state", ("warming", "ready", "error", "stopped"), "stopped", "error").alias("model_state"),
+        F.when(hit, scope).otherwise("none").alias("cache_scope"), F.when(hit, F.substring(F.coalesce(F.get_json_object("manifest", "$.cache_key"), F.lit("")), 1, 12)).otherwise("").alias("cache_key_short"),
+        accept.alias("acceptance_state"), requirements.alias("acceptance_requirements"), ((accept == "passed") & F.forall(F.map_values(requirements), lambda r: r)).alias("acceptance_passed")]
+    base = docs.select(c("lyrics").alias("_hl_lyrics"), *plain, *made)
+    shown = _lyric_fields(c("_hl_lyrics"), c("track_revision"), c("track_title"), c("track_artist"), c("track_position_seconds"))
+    out = base.select("*", *shown, *lag_state()).drop("_hl_lyrics", "buffered_seconds")
+    return out.withColumn("sustainable", F.coalesce(c("processing_seconds") <= c("hop_seconds"), F.lit(False)))
 
 
 def restored(controller: Column, command: Column, constants: dict[str, str]) -> list[Column]:
@@ -115,9 +184,6 @@ def adjusted_latency(samples: DataFrame, by: list[str], at: str, updates: str, l
     return rose.groupBy(*by).agg(F.coalesce(F.max(F.when(F.col("_hl_rose"), F.col(latency))), F.lit(0.0)).alias("max_latency_ms"))
 
 
-#: AG7: the requirements, in order; the first three of ZERO decide failure.
-ZERO = ("zero_active_underruns", "zero_active_device_recoveries", "zero_active_skipped_sequences")
-
 
 def acceptance(samples: DataFrame, by: list[str], at: str = "observed_at_ns", latency_limit_ms: float = 50.0) -> DataFrame:
     """One row for each session: counts, deltas, the nine requirements and the state (AG6, AG7, AG10, WN5, WN6, ST15)."""

@@ -219,11 +219,25 @@ def test_acceptance(spark):
 
 
 def test_snapshot_is_lenient(spark):
-    s = one(spark, "source string, observed_at timestamp, payload string", *[(k, __import__("datetime").datetime(2024, 1, 1), p) for k, p in (("input", '{"streaming": true, "sequence": "7", "peak_left": 9, "track": {"title": " x "}, "waveform": [2, 0.5]}'), ("gpu", '{"model_state": "odd", "last_sequence": -3, "processing_seconds": "nan"}'), ("playback", '{"state": "playing", "sequence": 2, "hop_seconds": 3, "gains": {"vocals": 2, "nope": 1}}'))])
-    r = telemetry.snapshot(s, F.lit("2024-01-01 00:00:05").cast("timestamp")).first()
-    assert (r.streaming, r.captured_sequence, r.peak_left, r.track_title, r.model_state, r.gpu_sequence, r.hop_seconds, r.stream_stalled) == (True, 7, 1.0, "x", "error", 0, 3.0, True)
-    assert r.gains == {"vocals": 1.0} and r.waveform == [1.0, 0.5] and r.processing_seconds is None and r.controller_stalled is False
-    assert telemetry.snapshot(s.where("false"), F.current_timestamp()).first().window_seconds == 12.0
+    import datetime
+    import json
+
+    at = datetime.datetime(2024, 1, 1)
+    docs = {
+        "receiver": {"state": "streaming", "peak_left": 9, "track": {"title": " x ", "artist": "y", "revision": 3, "position_seconds": 2.5}, "waveform": [2, 0.5], "pcm_frames": 88200},
+        "inbox": {"sequence": "7"}, "gpu": {"model_state": "odd", "last_sequence": -3}, "manifest": {"processing_seconds": "nan", "cache_hit": True, "cache_scope": "song", "cache_key": "0123456789abcdef"},
+        "playback": {"state": "playing", "sequence": 2, "hop_seconds": 3, "gains": {"vocals": 2, "nope": 1}, "last_device_hresult": "0x8889000a"},
+        "lyrics": {"state": "ready", "source": "cache", "track": {"revision": 3, "title": "X", "artist": "y "}, "lines": [{"time_seconds": 2, "text": "B"}, {"time_seconds": 1, "text": "A"}, {"time_seconds": 3, "text": "C"}, {"time_seconds": -1, "text": "D"}]},
+    }
+    s = one(spark, "source string, observed_at timestamp, payload string", *[(k, at, json.dumps(v)) for k, v in docs.items()], ("gpu", at - datetime.timedelta(1), "{}"))
+    late, soon = (telemetry.snapshot(s, F.lit(f"2024-01-01 00:00:0{n}").cast("timestamp")).first() for n in (5, 1))
+    assert (late.streaming, late.stream_stalled, soon.streaming) == (False, True, True)
+    assert (soon.captured_sequence, soon.peak_left, soon.track_title, soon.model_state, soon.gpu_sequence, soon.hop_seconds, soon.received_seconds) == (7, 1.0, "x", "error", 0, 3.0, 2.0)
+    assert soon.gains == {"vocals": 1.0} and soon.waveform == [1.0, 0.5] and soon.processing_seconds is None and soon.controller_stalled is False
+    assert (soon.lyrics_previous, soon.lyrics_current, soon.lyrics_upcoming, soon.lyrics_line_count) == (["A"], "B", ["C"], 3)
+    assert (soon.cache_scope, soon.cache_key_short, soon.last_device_hresult, soon.acceptance_state, soon.acceptance_passed) == ("song", "0123456789ab", "0x8889000A", "not_running", False)
+    empty = telemetry.snapshot(s.where("false"), F.current_timestamp())
+    assert empty.first().analysis_window_seconds == 12.0 and empty.first().lyrics_state == "waiting" and len(empty.columns) >= 104
 
 
 def test_shedding_fallback_and_ladders(spark):
