@@ -15,7 +15,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
+#: What operators keep in a worker from task to task; another operator's task there drops it.
+KEPT: list[dict] = []
 
 #: ASCII white space, the separators of ``[^\x20\x09-\x0D]+``.
 SPACES = np.zeros(256, bool)
@@ -64,6 +66,8 @@ def flatten(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches, cut or joined so that each holds about ``limit`` bytes of ``column``."""
+    for d in KEPT:
+        d.clear()
     kept: list[pa.RecordBatch] = []
     held = 0
     for batch in batches:
@@ -84,6 +88,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
     if kept:
         yield joined(kept)
     kept = []
+    _powers.clear()
     release_memory()
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hopline.llm._shared import blank, partitions, scratch
-from hopline.llm.textvec import release_memory
+from hopline.llm.textvec import KEPT, release_memory
 
 END_ID = 2
 LENGTH = 2048
@@ -99,6 +99,7 @@ class Encoder:
 
 
 _encoders: dict[str, Encoder] = {}
+KEPT.append(_encoders)
 
 
 def encoder(path: str) -> Encoder:
@@ -112,6 +113,7 @@ def _store(path: str):
     """(file system, path in it) by pyarrow, for any store that it knows."""
     from pyarrow import fs
 
+    path = path.replace("s3a://", "s3://", 1)
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
