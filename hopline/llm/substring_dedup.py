@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hopline.llm._shared import bloom, in_bloom, partitions, written
-from hopline.llm.textvec import Prefix, Words, chunks, flatten, gather, groups, same_bytes, words
+from hopline.llm.textvec import Prefix, Words, chunks, flatten, gather, groups, release_memory, same_bytes, words
 
 WINDOW = 13
 M = 3
@@ -137,7 +137,7 @@ def _marks(ids, prints, kind: int, a, b, sha=None) -> pa.RecordBatch:
 
 
 def _sorted_windows(window: int):
-    """Marks of one bucket at a time; its blobs come one after the other."""
+    """Marks of a partition's bucket."""
 
     def resolve(held: list) -> pa.RecordBatch | None:
         ids, prints, a, n = (np.concatenate(x) for x in list(zip(*held))[:4])
@@ -182,6 +182,7 @@ def _sorted_windows(window: int):
                     held.append((ids, prints, a, b, body))
         if held and (out := resolve(held)):
             yield out
+        release_memory()
 
     return run
 
@@ -192,9 +193,9 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 def marks(docs: DataFrame, window: int = WINDOW, m: int = M) -> DataFrame:
     """A row for each document: id, print, n_words, copies (equal rows), sha (of all its words), ranges (of words to remove)."""
-    n = partitions(docs.sparkSession)
-    packed = _rows(docs).mapInArrow(_pack(window, m, 2 * n), BLOBS)
-    found = packed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_sorted_windows(window), MARKS)
+    buckets = 2 * partitions(docs.sparkSession)
+    packed = _rows(docs).mapInArrow(_pack(window, m, buckets), BLOBS)
+    found = packed.repartitionById(buckets, F.col("bucket")).mapInArrow(_sorted_windows(window), MARKS)  # a bucket is a partition
     info, cover = F.col("kind") == 1, F.col("kind") == 2
     return found.groupBy("id", "print").agg(
         F.max(F.when(info, F.col("a"))).cast("long").alias("n_words"), F.count(F.when(info, 1)).cast("int").alias("copies"), F.max("sha").alias("sha"),
