@@ -102,7 +102,8 @@ def edited(docs: DataFrame) -> DataFrame:
     descending doc_id order; the first document follows the last. Texts are shuffled once, to ranges of doc_id; the first
     document of a range goes to the range before it too.
     """
-    bounds, first, before = _places(docs, 2 * partitions(docs.sparkSession))
+    shards = 2 * partitions(docs.sparkSession)
+    bounds, first, before = _places(docs, shards)
 
     def deal(batches):
         for b in batches:
@@ -135,7 +136,7 @@ def edited(docs: DataFrame) -> DataFrame:
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID)).alias("key"), F.col("doc_id").isNull().alias("none"), blank().alias("text"))
     dealt = rows.mapInArrow(deal, "shard int, ahead boolean, key long, none boolean, text string")
-    sorted_rows = dealt.repartition(partitions(docs.sparkSession), "shard").sortWithinPartitions("shard", "ahead", F.desc("key"), F.desc("none"), "text")
+    sorted_rows = dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "ahead", F.desc("key"), F.desc("none"), "text")
     return sorted_rows.mapInArrow(pair, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, wide string, edited_fingerprint string, edited_wide string, next_fingerprint string, next_wide string")
 
 
