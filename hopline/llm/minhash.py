@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from hopline.llm._shared import bloom, in_bloom, partitions, written
 from hopline.llm.components import connected
-from hopline.llm.textvec import LOWER, Words, chunks, flatten, groups
+from hopline.llm.textvec import LOWER, Words, chunks, flatten, groups, release_memory
 
 SHINGLE, PERCENT = 5, 80
 K = 64
@@ -202,6 +202,8 @@ def _in_groups(key: str, finish):
                 held, current = [part], values[a]
         if held is not None and (out := finish(pa.Table.from_batches(held))) is not None:
             yield out
+        held = None
+        release_memory()
 
     return run
 

@@ -41,7 +41,7 @@ def _power(kind: str, n: int) -> np.ndarray:
         have = np.full(size, _BASE if kind == "up" else _INVERSE, np.uint64)
         have[0] = 1
         np.cumprod(have, out=have)
-        if size <= 4 * CHUNK_BYTES:
+        if size <= 5 * CHUNK_BYTES:
             _powers[kind] = have
     return have[:n]
 

@@ -230,6 +230,7 @@ def read(manifest: DataFrame) -> DataFrame:
                     offs, counts = part.column("offset").to_numpy(), part.column("n_tokens").to_numpy()
                     crc = [zlib.crc32(tokens(s["path"], s["dtype"], a, n, s["length"], reader).astype("<u4").tobytes()) for a, n in zip(offs.tolist(), counts.tolist())]
                     yield pa.record_batch([part.column("doc_id"), pa.array(offs + s["first"]), pa.array(counts), pa.array(crc, pa.int64()), pa.array([s["shard"]] * len(crc), pa.int32()), pa.array(offs)], ["doc_id", "start", "n_tokens", "ids_crc32", "shard", "offset"])
+        release_memory()
 
     n = max(1, min(partitions(manifest.sparkSession), 4096))
     return shards.repartition(n, "shard").mapInArrow(docs, "doc_id long, start long, n_tokens long, ids_crc32 long, shard int, offset long")
