@@ -82,8 +82,7 @@ def closure(edges: DataFrame, seeds: DataFrame, most: int = 64) -> DataFrame:
     e = edges.select(F.lower("parent").alias("parent"), F.lower("child").alias("child")).distinct()
     seen = seeds.select(F.lower("node").alias("node")).distinct()
     fresh = seen
-    spark = edges.sparkSession
-    durable = spark.sparkContext.getCheckpointDir() is not None or spark.conf.get("spark.checkpoint.dir", None) is not None
+    durable = edges.sparkSession.sparkContext.getCheckpointDir() is not None
     for _ in range(most):
         fresh = fresh.join(e, fresh["node"] == e["parent"]).select(F.col("child").alias("node")).distinct().join(seen, "node", "left_anti")
         fresh = fresh.checkpoint() if durable else fresh.persist()
