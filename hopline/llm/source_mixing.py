@@ -5,6 +5,9 @@ a source; the slot's rank among its source's slots names the block of ``block``
 documents put in order by a hash and cut into equal blocks. A source that is taken more than once starts again at its first
 block. So any run of slots holds the sources in close to their target shares.
 
+The number of slots is bounded, so the blocks of a large mix are longer. A source that then has fewer than FINE slots is
+taken exactly instead: the first words of its documents in the same order, up to its target, once more from the start if need be.
+
 Ranks and running sums work in two steps, within slices of a source and over the slices' totals, so that no
 task holds a whole source. There are about as many slices as the square root of all rows, and so as rows in a slice.
 
@@ -25,7 +28,7 @@ from hopline.llm._shared import blank, written
 WEIGHTS = (3, 1, 2)
 #: Words of the mix as a multiple of all words, and the most that a source gives as a multiple of its own.
 SHARE, CAP = 1.5, 2.0
-#: Slots of the smallest target, at least, and of the whole mix, at most; words in a block, at most unless the mix has more slots than that.
+#: Slots of the smallest target, at least, unless it is taken exactly, and of the whole mix, at most; words in a block, at most unless the mix has more slots than that.
 FINE, SLOTS, BLOCK = 256, 1 << 22, 4096
 CELLS = 4096
 #: Sources that are broadcast, at most.
@@ -37,7 +40,7 @@ def words(text: str = "text") -> Column:
 
 
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """A row for each source of ``sizes`` (source, size): rank, source_size, n_docs, weight, target, block, blocks, low, high.
+    """A row for each source of ``sizes`` (source, size): rank, source_size, n_docs, weight, target, block, exact, blocks, low, high.
 
     Targets share ``share`` of all words by weight. One that would pass ``cap`` times its source's size stops there and the
     rest is shared anew: with the sources in order of cap by weight, those before the first that stays below its
@@ -56,12 +59,14 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, ca
     ranks = ranks.withColumn("level", F.max(F.when(~F.col("full"), F.col("level"))).over(everything))
     ranks = ranks.withColumn("target", F.when(F.col("full"), F.col("cap")).otherwise(F.col("level") * F.col("weight")))
     least = F.min(F.when(F.col("target") > 0, F.col("target"))).over(everything)
-    block = F.greatest(F.lit(1.0), F.ceil(F.col("total") / SLOTS).cast("double"), F.least(F.lit(float(BLOCK)), F.floor(least / FINE).cast("double")))
-    ranks = ranks.withColumn("block", F.coalesce(block, F.lit(1.0)).cast("long"))
+    fine = F.greatest(F.lit(1.0), F.least(F.lit(float(BLOCK)), F.floor(least / FINE).cast("double")))
+    ranks = ranks.withColumn("fine", F.coalesce(fine, F.lit(1.0)).cast("long"))
+    ranks = ranks.withColumn("block", F.greatest("fine", F.coalesce(F.ceil(F.col("total") / SLOTS), F.lit(1)).cast("long")))
+    ranks = ranks.withColumn("exact", (F.col("block") > F.col("fine")) & (F.col("target") < FINE * F.col("block")))
     high = F.sum("target").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
     sum_all = F.nullif(F.sum("target").over(everything), F.lit(0.0))
     ranks = ranks.withColumn("high", high / sum_all).withColumn("low", (high - F.col("target")) / sum_all)
-    return ranks.select("source", "rank", "source_size", "n_docs", "weight", "target", "block", F.ceil(F.col("source_size") / F.col("block")).alias("blocks"), "low", "high")
+    return ranks.select("source", "rank", "source_size", "n_docs", "weight", "target", "block", "exact", F.ceil(F.col("source_size") / F.col("block")).alias("blocks"), "low", "high")
 
 
 def _sliced(df: DataFrame, amount: Column, order: list) -> DataFrame:
@@ -74,11 +79,11 @@ def _sliced(df: DataFrame, amount: Column, order: list) -> DataFrame:
 
 
 def schedule(sources: DataFrame, slots: int) -> DataFrame:
-    """slot, rank, block_no, epoch for each slot, from the table that targets() gives."""
+    """slot, rank, block_no, epoch for each slot, from the table that targets() gives; sources taken exactly have none."""
     point = (F.col("slot") + F.lit(0.5)) * F.lit(0.6180339887498949)
     points = sources.sparkSession.range(slots).withColumnRenamed("id", "slot").withColumn("u", point - F.floor(point))
     points = points.withColumn("cell", F.floor(F.col("u") * CELLS).cast("long"))
-    cells = sources.where((F.col("target") > 0) & (F.col("blocks") > 0)).select("rank", "blocks", "low", "high", F.explode(F.sequence(F.floor(F.col("low") * CELLS), F.least(F.floor(F.col("high") * CELLS), F.lit(CELLS - 1)))).alias("cell"))
+    cells = sources.where((F.col("target") > 0) & (F.col("blocks") > 0) & ~F.col("exact")).select("rank", "blocks", "low", "high", F.explode(F.sequence(F.floor(F.col("low") * CELLS), F.least(F.floor(F.col("high") * CELLS), F.lit(CELLS - 1)))).alias("cell"))
     mapped = points.join(cells, "cell").where((F.col("u") >= F.col("low")) & (F.col("u") < F.col("high"))).select("slot", "rank", "blocks", F.floor(F.col("slot") / max(1, math.isqrt(slots))).alias("slice"))
     ranked = _sliced(mapped, F.lit(1), ["slot"])
     return ranked.select("slot", "rank", (F.col("before") % F.col("blocks")).alias("block_no"), F.floor(F.col("before") / F.col("blocks")).alias("epoch"))
@@ -106,8 +111,12 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: fl
     piece = F.least(F.col("before") + F.col("size"), (F.col("block_no") + 1) * block) - F.greatest(F.col("before"), F.col("block_no") * block)
     times = schedule(sources, round((of["total"] or 0.0) / block)).where(F.col("epoch") < cap).groupBy("rank", "block_no").agg(F.count("*").alias("times"))
     joined = pieces.withColumn("piece", piece).join(times, ["rank", "block_no"], "left")
-    taken = joined.groupBy("rank", "slice", "place").agg(F.first("doc_id").alias("doc_id"), F.first("size").alias("size"), F.coalesce(F.sum(F.col("piece") * F.col("times")), F.lit(0)).cast("long").alias("taken"))
-    return taken.join(small(sources.select("rank", "source", "source_size", "target")), "rank").select("doc_id", "source", "size", "source_size", "target", "taken")
+    taken = joined.groupBy("rank", "slice", "place").agg(F.first("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("before").alias("before"), F.coalesce(F.sum(F.col("piece") * F.col("times")), F.lit(0)).cast("long").alias("taken"))
+    taken = taken.join(small(sources.select("rank", "source", "source_size", "target", "exact")), "rank")
+    goal = F.round("target").cast("long")
+    rounds, rest = F.floor(goal / F.col("source_size")), goal % F.col("source_size")
+    own = rounds * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before")))
+    return taken.withColumn("taken", F.when(F.col("exact") & (F.col("size") > 0), own).otherwise(F.col("taken")).cast("long")).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:

@@ -105,6 +105,20 @@ def test_mixing_comes_near_targets(spark):
     assert (abs(per.taken - per.target) / per.target).max() < 0.02
 
 
+def test_mixing_rare_sources_meet_targets_in_a_large_mix(spark, monkeypatch):
+    """With few slots a small table has the blocks of a large mix: 147 words here, where the rare sources have 60 to 500."""
+    monkeypatch.setattr(source_mixing, "SLOTS", 1 << 11)
+    rows = [(i, "w " * 1000, None, "bulk") for i in range(100)] + [(100 + i, "w " * 1000, None, "more") for i in range(100)]
+    rows += [(1000, "one " * 500, None, "rare a"), (1001, "one " * 151, None, "rare b"), *[(1100 + i, "one " * 20, None, "rare c") for i in range(3)], (1200, "", None, "rare d"), (1201, None, None, None)]
+    got = source_mixing.mix(frame(spark, rows)).toPandas()
+    assert len(got) == len(rows) and (got.taken <= 2 * got["size"]).all()
+    per = got.groupby("source").agg(target=("target", "first"), taken=("taken", "sum"))
+    rare = per[per.index.str.startswith("rare")]
+    assert set(rare.target[rare.target > 0]) == {1000.0, 302.0, 120.0}
+    assert (rare.taken == rare.target).all()
+    assert (abs(per.taken - per.target) <= 0.02 * per.target).all()
+
+
 def test_sharding_fits_and_splits_equal_rows(spark):
     docs = frame(spark, [*EDGES, *[(9, "same text")] * 50, *[(100 + i, "t" * 7) for i in range(200)]])
     got = sharding.shards(docs, 100).toPandas()
