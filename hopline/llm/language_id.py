@@ -1,7 +1,7 @@
 """Language identification by a bit-sliced Bloom filter of character n-grams.
 
-One table holds all languages' Bloom filters side by side: slot i is a word whose bit l belongs to language l. The words
-at an n-gram's HASHES slots, and-ed, give at once every language whose filter contains it. A document's count for
+A table holds the Bloom filters of WORD languages side by side: slot i is a word whose bit l belongs to language l. The words
+at an n-gram's HASHES slots, and-ed, give at once every language whose filter contains it. There are as many tables as the languages need. A document's count for
 a language is the popcount of that bit over its n-grams; counts are corrected for the filter's false positives
 ((count - n * rate) / (1 - rate)), and the largest decides.
 
@@ -28,6 +28,8 @@ UNKNOWN = "und"
 N = 3
 HASHES = 3
 SLOTS = 1 << 17
+#: Languages of a table, a bit of its words for each.
+WORD = 64
 #: About so many labelled documents of each language are counted, chosen by hash.
 SAMPLE = 2000
 #: N-grams in a language's filter, at most.
@@ -40,7 +42,7 @@ _SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9],
 @dataclass
 class Model:
     languages: list[str]
-    table: np.ndarray  # uint64, bit l of a slot: language l
+    tables: np.ndarray  # uint64, tables by slots; bit l of table t: language t * WORD + l
     rates: np.ndarray  # of false positives
 
 
@@ -84,17 +86,17 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, slots: int = SLOTS, filter_si
     """A model from ``labelled`` (text, lang, doc_id); rows without lang or text don't count.
 
     Documents are counted about ``sample`` for each language: a language with more is thinned by the hash of
-    doc_id. N-grams are added up on the executors, and at most ``filter_size`` for each language and 64
-    languages (the most frequent) reach the driver.
+    doc_id. N-grams are added up on the executors, and at most ``filter_size`` for each language reach the
+    driver.
     """
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    found = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect()
+    found = rows.groupBy("lang").count().collect()
     if not found:
-        return Model([], np.zeros(slots, np.uint64), np.zeros(0))
+        return Model([], np.zeros((0, slots), np.uint64), np.zeros(0))
     languages = sorted((r["lang"] for r in found), key=lambda x: [ord(c) for c in x])
-    limits = {r["lang"]: int(min(1.0, sample / r["count"]) * (1 << 30)) for r in found}
-    limit = F.create_map(*[F.lit(x) for kv in limits.items() for x in kv])
-    chosen = rows.where((F.xxhash64(F.coalesce("doc_id", F.lit(0))).bitwiseAND((1 << 30) - 1)) < F.coalesce(limit[F.col("lang")], F.lit(0))).select("lang", "text")
+    limits = labelled.sparkSession.createDataFrame([(r["lang"], int(min(1.0, sample / r["count"]) * (1 << 30))) for r in found], "lang string, below long")
+    hashed = rows.select("lang", "text", F.xxhash64(F.coalesce("doc_id", F.lit(0))).bitwiseAND((1 << 30) - 1).alias("hash"))
+    chosen = hashed.join(F.broadcast(limits), "lang").where("hash < below").select("lang", "text")
 
     def count(batches):
         for batch in chunks(batches):
@@ -113,13 +115,14 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, slots: int = SLOTS, filter_si
     typical = best.select("gram", F.explode("of").alias("x"), "most").select("gram", "x.lang", "x.rate", "most").where(F.col("rate") >= SHARE * F.col("most"))
     ranked = typical.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("rate"), "gram")))
     kept = ranked.where(F.col("place") <= filter_size).select("lang", "gram").toPandas()
-    table, rates = np.zeros(slots, np.uint64), []
-    for bit, lang in enumerate(languages):
-        own = kept.loc[kept["lang"] == lang, "gram"].to_numpy(np.int64).view(np.uint64)
+    of = {lang: g.to_numpy(np.int64).view(np.uint64) for lang, g in kept.groupby("lang")["gram"]}
+    tables, rates = np.zeros((-(-len(languages) // WORD), slots), np.uint64), []
+    for i, lang in enumerate(languages):
+        table, bit = tables[i // WORD], np.uint64(1 << i % WORD)
         for seed in _SEEDS[:HASHES]:
-            table[_slots(own, seed, slots)] |= np.uint64(1 << bit)
-        rates.append((np.count_nonzero(table & np.uint64(1 << bit)) / slots) ** HASHES)
-    return Model(languages, table, np.array(rates))
+            table[_slots(of.get(lang, np.zeros(0, np.uint64)), seed, slots)] |= bit
+        rates.append((np.count_nonzero(table & bit) / slots) ** HASHES)
+    return Model(languages, tables, np.array(rates))
 
 
 def scores(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -128,16 +131,18 @@ def scores(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if not model.languages:
         return np.full(n, -1), np.zeros(n)
     grams, owner, has = _ngrams(texts)
-    members = np.full(len(grams), 2**64 - 1, np.uint64)
-    for seed in _SEEDS[:HASHES]:
-        members &= model.table[_slots(grams, seed, len(model.table))]
+    slots = [_slots(grams, seed, model.tables.shape[1]) for seed in _SEEDS[:HASHES]]
     of = np.bincount(owner, minlength=n).astype(float)
-    counts = np.empty((len(model.languages), n))
-    for bit, rate in enumerate(model.rates):
-        hits = np.bincount(owner, weights=((members >> np.uint64(bit)) & np.uint64(1)).astype(float), minlength=n)
-        counts[bit] = np.maximum(0, (hits - of * rate) / (1 - rate))
-    best = counts.argmax(0)
-    top = counts.max(0)
+    best, top = np.zeros(n, np.int64), np.full(n, -1.0)
+    for t, table in enumerate(model.tables):
+        members = np.full(len(grams), 2**64 - 1, np.uint64)
+        for at in slots:
+            members &= table[at]
+        for bit, rate in enumerate(model.rates[t * WORD : (t + 1) * WORD]):
+            hits = np.bincount(owner, weights=((members >> np.uint64(bit)) & np.uint64(1)).astype(float), minlength=n)
+            count = np.maximum(0, (hits - of * rate) / (1 - rate))
+            better = count > top  # the first of equal ones stays
+            best[better], top[better] = t * WORD + bit, count[better]
     share = np.clip(top / np.maximum(of, 1), 0, 1)
     known = has & (top > 0)
     first = has & ~known & (len(model.languages) > 0)  # letters, but no n-gram that any language has
@@ -147,9 +152,9 @@ def scores(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def predicted(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score for each row of ``docs``; only doc_id and text are read, nothing is shuffled.
 
-    The model is broadcast: 8 bytes for each slot, a fixed 1 MB.
+    The model is broadcast: 8 bytes for each slot, 1 MB for each WORD languages.
     """
-    sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.table, model.rates))
+    sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.tables, model.rates))
 
     def predict(batches):
         m = Model(*sent.value)
@@ -163,7 +168,7 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
 
 def accepted(docs: DataFrame, model: Model, least: float) -> DataFrame:
     """The rows of ``docs``, all columns, whose language is known with a score of at least ``least``."""
-    sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.table, model.rates))
+    sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.tables, model.rates))
 
     def keep(batches):
         m = Model(*sent.value)

@@ -71,6 +71,20 @@ def test_language_edges(spark):
     assert {r.doc_id for r in language_id.accepted(docs, model, 0.1).collect()} == {4, 5}
 
 
+def test_language_learns_every_label(spark):
+    """70 languages of an alphabet each; the last 6 by frequency and name are past one word of bits."""
+    def text(i, shift):
+        return " ".join("".join(chr(0x4E00 + 40 * i + (k + shift + j) % 20) for j in range(4)) for k in range(20))
+
+    rows = [(i * 10 + r, text(i, r), f"l{i:02}", None) for i in range(70) for r in range(3 if i >= 64 else 4)]
+    train = frame(spark, rows)
+    model = language_id.fit(train)
+    assert model.languages == [f"l{i:02}" for i in range(70)]
+    docs = frame(spark, [(i, text(i, 7)) for i in range(70)])
+    assert {(r.doc_id, r.lang_pred) for r in language_id.predicted(docs, model).collect()} == {(i, f"l{i:02}") for i in range(70)}
+    assert language_id.accepted(docs, model, 0.3).count() == 70
+
+
 def rows_of(df):
     df = df[sorted(df.columns)].astype(object).where(df.notna(), None)
     return sorted([tuple(f"{x:.6g}" if isinstance(x, float) else str(x) for x in r) for r in df.itertuples(index=False)])
