@@ -7,8 +7,8 @@ a band of e + 1. Shared Q-grams are counted in bands of 2 (e + 1) diagonals that
 lies in one of them; bands that reach the bound are kept, and a banded alignment over the region gives the edit distance.
 
 Characters are compared in lower case (A-Z), with runs of ASCII white space as one space. Null or empty texts, on either side, match
-nothing; benchmark texts with fewer than LEAST characters are left out, as any text holds them. Rows that
-repeat give repeated hits. Empty tables give an empty result.
+nothing. Benchmark texts with fewer than LEAST characters allow no edit and are found as runs of whole words only; those
+with fewer than Q have no Q-gram and are left out. Rows that repeat give repeated hits. Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ SEGMENT, STRIDE = 100, 50
 Q = 8
 #: Edits allowed, as a part of the segment's length.
 RATE = 0.1
+#: Characters of a text that is cut into segments, at least.
 LEAST = 40
 #: Characters of benchmark text that are broadcast at once; a larger benchmark is held against the documents block by block.
 BLOCK_CHARS = 8 << 20
@@ -103,12 +104,51 @@ class Segments:
         return at[same], k[same].astype(np.int64)
 
 
-def clean(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of the texts as they are compared."""
+class Short:
+    """The benchmark texts that are too short for segments, by their number of words."""
+
+    def __init__(self, items: list[tuple[int, bytes]], q: int = Q, least: int = LEAST):
+        of: dict[bytes, list[int]] = {}
+        for item, text in items:
+            if q <= len(text) < least:
+                of.setdefault(text, []).append(item)
+        self.text, self.items = list(of), list(of.values())
+        w = Words(*flatten(pa.array(self.text, pa.binary()).cast(pa.large_binary()).view(pa.large_string())))
+        self.by_words = {}
+        for n in np.unique(w.counts).tolist():
+            own = np.flatnonzero(w.counts == n)
+            hashes = w.runs(w.pointer[own], n)
+            order = np.argsort(hashes)
+            self.by_words[n] = hashes[order], own[order]
+
+    def found(self, w: Words) -> list[tuple[int, int, int]]:
+        """(document, number of the text, first place of it in the document) for documents that hold a text."""
+        out = []
+        for n, (hashes, own) in self.by_words.items():
+            at = w.windows(n)
+            h = w.runs(at, n)
+            k = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            same = hashes[k] == h
+            at, k = at[same], own[k[same]]
+            doc = np.searchsorted(w.pointer, at, "right") - 1
+            _, first = np.unique(doc * len(self.text) + k, return_index=True)
+            for i in first.tolist():
+                d, a, text = int(doc[i]), int(w.starts[at[i]]), self.text[k[i]]
+                if w.data[a : a + len(text)].tobytes() == text:
+                    out.append((d, int(k[i]), a - int(w.starts[w.pointer[d]])))
+        return out
+
+
+def _cleaned(texts: pa.Array) -> tuple[Words, np.ndarray]:
     data, offsets = flatten(texts)
     w = Words(LOWER[data], offsets)
-    starts = np.append(w.starts, len(w.data))
-    return w.data, starts[w.pointer]
+    return w, np.append(w.starts, len(w.data))[w.pointer]
+
+
+def clean(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of the texts as they are compared."""
+    w, offsets = _cleaned(texts)
+    return w.data, offsets
 
 
 def banded(patterns: np.ndarray, texts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -223,13 +263,19 @@ def _block_hits(docs: DataFrame, items: list, options: dict) -> DataFrame:
 
     def find(batches):
         segs = Segments(sent.value, **options)
+        short = Short(sent.value, segs.q, options.get("least", LEAST))
         for batch in chunks(batches):
-            data, offsets = clean(batch.column("text"))
+            w, offsets = _cleaned(batch.column("text"))
+            data = w.data
             ids = batch.column("doc_id").to_pylist()
             best: dict = {}
             for d, s, e, end in _verified(segs, data, offsets, _candidates(segs, data, offsets)):
                 key, hit = (d, segs.item[s]), (e, segs.at[s], len(segs.text[s]), end)
                 best[key] = min(best.get(key, hit), hit)
+            for d, k, at in short.found(w):
+                n = len(short.text[k])
+                for item in short.items[k]:
+                    best[d, item] = min(best.get((d, item), (0, 0, n, at + n)), (0, 0, n, at + n))
             rows = [(ids[d], item, e, at, n, max(0, end - n), n) for (d, item), (e, at, n, end) in best.items()]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64()] * 2 + [pa.int32()] * 5)], [x.split()[0] for x in HITS.split(", ")])

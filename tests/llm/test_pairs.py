@@ -238,3 +238,11 @@ def test_decontamination_equals_brute_force(spark, monkeypatch):
     left = decontaminate.uncontaminated(frame(spark, docs).selectExpr("*", "1 as held"), b)
     assert sorted([r.doc_id for r in left.collect()], key=str) == sorted([i for i, _ in docs if i not in {g[0] for g in got}], key=str)
     assert decontaminate.hits(frame(spark, []), b).count() == decontaminate.hits(frame(spark, docs), b.where("false")).count() == 0
+
+
+def test_decontamination_finds_short_items_as_whole_words(spark):
+    b = spark.createDataFrame([(1, "What is  Pi?"), (2, "what is pi?"), (3, "a b c d e"), (4, "overlong"), (5, "tiny"), (6, "Straße 1 of 2")], "item_id long, text string")
+    docs = [(1, "What\nis pi? "), (2, "so what is pi? what is pi?"), (3, "somewhat is pi?"), (4, "what is pit?"), (5, "x a b c d e"), (6, "a b c d ex"), (7, "an overlong tale"), (8, "overlonger"), (9, "tiny"), (10, "x " * 9), (11, None), (12, "in straße 1 of 2")]
+    got = {tuple(r) for r in decontaminate.hits(frame(spark, docs), b).collect()}
+    assert got == {(1, 1, 0, 0, 11, 0, 11), (1, 2, 0, 0, 11, 0, 11), (2, 1, 0, 0, 11, 3, 11), (2, 2, 0, 0, 11, 3, 11), (5, 3, 0, 0, 9, 2, 9), (7, 4, 0, 0, 8, 3, 8), (12, 6, 0, 0, 14, 3, 14)}
+    assert sorted(r.doc_id for r in decontaminate.uncontaminated(frame(spark, docs), b).collect()) == [3, 4, 6, 8, 9, 10, 11]
