@@ -833,14 +833,14 @@ def ring_buffer(spark, d):
 
 @query()
 def song_assembly(spark, d):
-    """ST4, ST5: songs put together from consecutive windows; each label's vectors are one stream of 16-frame hops."""
+    """ST4, ST5: songs put together from consecutive windows; each label's vectors are one stream of hops of 24 frames, with 8 that overlap."""
     b = _blocks(spark, d)
     w = Window.partitionBy("label").orderBy("vec_id")
-    s = b.withColumn("sequence", F.row_number().over(w)).withColumn("stream_start_frame", (F.col("sequence") - 1) * 12)
+    s = b.withColumn("sequence", F.row_number().over(w)).withColumn("stream_start_frame", (F.col("sequence") - 1) * 24)
     n = lambda v, t="long": F.lit(v).cast(t)
     song = F.floor((F.col("sequence") - 1) / 4)
     anchor = F.struct(
-        (song + 1).cast("long").alias("revision"), n(1).alias("metadata_revision"), F.lit(True).alias("has_progress"), song.cast("long").alias("start_rtp"), n(0).alias("current_rtp"), n(48).alias("end_rtp"), (song * 48).cast("long").alias("anchor_stream_frame"),
-        n(0).alias("track_position_frame"), n(48).alias("track_duration_frame"), F.concat(F.lit("song "), song.cast("string")).alias("title"), F.lit("a").alias("artist"), F.lit("b").alias("album"))
-    events = s.select("label", "sequence", "stream_start_frame", F.slice("pcm", 1, 32).alias("pcm"), F.array(anchor).alias("anchors"))
-    return run.replay(events, "label", "sequence", lambda: machines.Assembly(10, 12, 4), machines.Assembly.OUT)
+        (song + 1).cast("long").alias("revision"), n(1).alias("metadata_revision"), F.lit(True).alias("has_progress"), song.cast("long").alias("start_rtp"), n(0).alias("current_rtp"), n(96).alias("end_rtp"), (song * 96).cast("long").alias("anchor_stream_frame"),
+        n(0).alias("track_position_frame"), n(96).alias("track_duration_frame"), F.concat(F.lit("song "), song.cast("string")).alias("title"), F.lit("a").alias("artist"), F.lit("b").alias("album"))
+    events = s.select("label", "sequence", "stream_start_frame", "pcm", F.array(anchor).alias("anchors"))
+    return run.replay(events, "label", "sequence", lambda: machines.Assembly(10, 24, 8), machines.Assembly.OUT)

@@ -46,6 +46,20 @@ def test_stream_windows_equal_closed_batch_windows(spark):
     assert got <= batch and len(batch) - len(got) <= 6
 
 
+def test_song_assembly_reads_whole_blocks(spark):
+    """A hop's frames 8 to 23 are its block's own; the 8 after them only fade into the next hop."""
+    blocks = catalog._blocks(spark, SF).toPandas().sort_values("vec_id")
+    own = {label: [list(x) for x in g.pcm] for label, g in blocks.groupby("label")}
+    assert {len(x) for x in blocks.pcm} == {64}
+    songs = [r for r in catalog.queries()["song_assembly"](spark, SF).collect() if r.reason is None]
+    assert len(songs) == sum(len(x) // 4 for x in own.values()) > 0
+    for r in songs:
+        hops = own[r.label][(r.revision - 1) * 4 : r.revision * 4]
+        assert len(r.pcm) == 4 * 48
+        for i, pcm in enumerate(hops):
+            assert r.pcm[i * 48 + 16 : i * 48 + 48] == pcm[16:48]
+
+
 def test_entry_runs_without_the_llm_package(spark):
     import subprocess
     import sys
