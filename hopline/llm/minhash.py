@@ -1,19 +1,23 @@
 """Near-duplicate documents by bottom-k sketches.
 
-One hash function maps a document's word shingles to numbers; its sketch is the K least. Inverted lists of the least values
-of the sketches generate overlaps: in the P least of a union of two sets with Jaccard J, all are unshared with probability
-(1 - J)^P, and P is set so that this is under 1e-10 at the threshold. Inside a list, the sketch of the union estimates
-Jaccard; pairs six standard deviations below the threshold are no candidates. Candidates form families (their connected
-components), and inside a family exact Jaccard on the full sets decides.
+One hash function maps a document's word shingles to numbers; its sketch is the K least. Inverted lists of retained values
+generate overlaps. Of the P least of a union of two sets with Jaccard J, as many are shared as a binomial says, so pairs at the
+threshold share ``_overlap`` of their P least values at least, but for a chance under 1e-9. Two sets that share o of p values
+meet in the lists of their p - o + 1 rarest ones already: each set enters those lists alone, and values that many documents share
+(common passages, templates) are left to the documents that consist of them. Inside a list, the sketch of the union
+estimates Jaccard; pairs six standard deviations below the threshold are no candidates. Candidates form families (their
+connected components), and inside a family exact Jaccard on the full sets decides.
 
 Equal sets are one node from the start. Lists and families never emit all their pairs: a search from node to node over those not
-yet reached gives a spanning forest, so a group of n near copies yields n - 1 links. Lists above LIST members are cut
-into lists of two shared values, and what is still larger into pairs of blocks; families above FAMILY shingles likewise
-into pairs of blocks. Either way every pair meets in some task, and no task holds more than its bound.
+yet reached gives a spanning forest, so a group of n near copies yields n - 1 links. Groups above a bound (LIST members, FAMILY
+shingles) are cut into blocks, each searched together with the group's least member. What that joins, need not meet again:
+only pairs of blocks that hold different components are searched after it. Either way every pair that may matter meets in
+some task, and no task holds more than its bound.
 
 Words are runs of anything but ASCII white space, A-Z lower-cased. A text with fewer words than a shingle has one
 shingle, all of it; null or blank text has none and is linked with nothing. Rows that share a doc_id are one node.
-Null doc_ids are one node too, greater than all others. An empty table gives an empty result.
+Null doc_ids are one node too, greater than all others. An empty table gives an empty result. A very long text is one chunk
+of a worker. Columns other than doc_id and text are not read; one_of_each passes them on, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,24 +32,35 @@ from pyspark.sql import functions as F
 
 from hopline.llm._shared import bloom, in_bloom, partitions, written
 from hopline.llm.components import connected
-from hopline.llm.textvec import LOWER, Words, chunks, flatten, groups, release_memory
+from hopline.llm.textvec import LOWER, Words, chunks, flatten, flatten_binary, groups, release_memory
 
 SHINGLE, PERCENT = 5, 80
-K = 64
+K, P = 64, 32
 LAST_ID = 2**63 - 1
-#: Members of a list, at most, before it is cut by a second value; members of a block after that.
-LIST, BLOCK = 20_000, 5_000
-#: Lists above so many members are searched by a second shared value.
-SHORT = 64
+#: Members of a list in one task, at most.
+LIST = 4096
 #: Shingles of a family in one task, at most (8 bytes each).
 FAMILY = 4 << 20
-#: Rows that are broadcast, at most.
-FEW = 400_000
+#: Values in more sketches than this are hot: the order by rarity looks at them alone.
+HOT = 16
+#: Rows that are broadcast, at most; hot values that are, at most; values for which a Bloom filter is of use, at most.
+FEW, FEW_HOT, MANY = 400_000, 200_000, 8_000_000
 PAD = np.uint32(2**32 - 1)
 
 
-def _lists_of(percent: int) -> int:
-    return math.ceil(math.log(1e-10) / math.log(1 - percent / 100))
+def _overlap(percent: int, p: int) -> int:
+    """So many of the p least values of a union are shared at the threshold, but for a chance under 1e-9."""
+    j, chance = percent / 100, 0.0
+    for o in range(p + 1):
+        chance += math.comb(p, o) * j**o * (1 - j) ** (p - o)
+        if chance >= 1e-9:
+            return max(1, o)
+    return p
+
+
+def prefix_length(n: np.ndarray, percent: int, p: int) -> np.ndarray:
+    """How many of a sketch's n rarest values (n at most p) meet every set at the threshold."""
+    return n - np.minimum(_overlap(percent, p), -(-n * percent // 100)) + 1
 
 
 def _least_estimate(percent: int, k: int) -> float:
@@ -76,9 +91,8 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), "text")
 
 
-def sketches(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, k: int = K) -> DataFrame:
-    """id, n_shingles, print (128 bits of the whole set, null if empty), low (the values for the lists), sketch (32 bits of each of the k least)."""
-    p = _lists_of(percent)
+def sketches(docs: DataFrame, shingle: int = SHINGLE, k: int = K, p: int = P) -> DataFrame:
+    """id, n_shingles, print (128 bits of the whole set, null if empty), low (the p least values), sketch (32 bits of each of the k least, padded)."""
 
     def sketch(batches):
         for batch in chunks(batches):
@@ -87,21 +101,13 @@ def sketches(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, k:
             prints = [xxhash.xxh3_128_digest(values[a:b].tobytes()) if b > a else None for a, b in spans]
             low = pa.array([values[a : min(b, a + p)].view(np.int64) for a, b in spans], pa.list_(pa.int64()))
             heads = (values >> np.uint64(32)).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(cut)), pa.array(prints, pa.binary()), low, pa.array([heads[a : min(b, a + k)].tobytes() for a, b in spans], pa.binary())], ["id", "n_shingles", "print", "low", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(cut)), pa.array(prints, pa.binary()), low, pa.array([heads[a : min(b, a + k)].tobytes().ljust(4 * k, b"\xff") for a, b in spans], pa.binary())], ["id", "n_shingles", "print", "low", "sketch"])
 
     return _rows(docs).mapInArrow(sketch, "id long, n_shingles long, print binary, low array<long>, sketch binary")
 
 
-def _matrix(blobs: list[bytes], k: int) -> np.ndarray:
-    out = np.full((len(blobs), k), PAD)
-    for i, b in enumerate(blobs):
-        x = np.frombuffer(b, np.uint32)
-        out[i, : len(x)] = x
-    return out
-
-
 def _union_estimates(one: np.ndarray, many: np.ndarray, k: int) -> np.ndarray:
-    """Jaccard of ``one`` with each row of ``many``, from the k least of the two sketches' union."""
+    """Jaccard of ``one`` (or of its rows) with each row of ``many``, from the k least of the two sketches' union."""
     both = np.sort(np.concatenate([np.broadcast_to(one, many.shape), many], 1), 1)
     real = both != PAD
     again = np.zeros(both.shape, bool)
@@ -147,40 +153,30 @@ def _search(members: np.ndarray, forest: Forest, linked) -> None:
 
 
 def list_candidates(sizes: np.ndarray, sketch: np.ndarray, percent: int, k: int) -> Forest:
-    """Candidate clusters of one list's members."""
+    """Candidate clusters of one list's members, which ascend in size."""
     n = len(sizes)
     forest = Forest(n)
-    least, ratio = _least_estimate(percent, k), percent / 100
+    least, ratio = _least_estimate(percent, k), percent / 100 - 1e-9
+    values, codes = np.unique(sketch, return_inverse=True)
+    codes = codes.reshape(sketch.shape).astype(np.int32)
+    real = values != PAD
+    held = (sketch != PAD).sum(1)
+    mark = np.zeros(len(values), np.uint8)
 
     def linked(y: int, left: np.ndarray) -> np.ndarray:
         s = sizes[left]
-        out = np.minimum(s, sizes[y]) >= ratio * np.maximum(s, sizes[y])
-        at = np.flatnonzero(out)
-        own = sketch[y][sketch[y] != PAD]
-        rows = sketch[left[at]]
-        common = (own[np.minimum(np.searchsorted(own, rows), len(own) - 1)] == rows).sum(1)
-        union = np.minimum(k, len(own) + (rows != PAD).sum(1) - common)
-        at = at[common >= least * union]
-        out[:] = False
-        out[at[_union_estimates(sketch[y], sketch[left[at]], k) >= least]] = True
+        a, b = np.searchsorted(s, sizes[y] * ratio), np.searchsorted(s, sizes[y] / ratio, "right")
+        part = left[a:b]
+        mark[codes[y]] = real[codes[y]]
+        common = mark[codes[part]].sum(1, dtype=np.int64)
+        mark[codes[y]] = 0
+        union = np.minimum(k, held[y] + held[part] - common)
+        at = np.flatnonzero(common >= least * union)
+        out = np.zeros(len(left), bool)
+        out[a + at[_union_estimates(sketch[y], sketch[part[at]], k) >= least]] = True
         return out
 
-    if n <= SHORT:
-        _search(np.arange(n), forest, linked)
-        return forest
-    p = min(_lists_of(percent), sketch.shape[1])
-    owner, values = np.repeat(np.arange(n), p), sketch[:, :p].ravel()
-    real = values != PAD
-    owner, values = owner[real], values[real]
-    order = np.argsort(values, kind="stable")
-    cut = groups(values[order])
-    whole = [int(i) for i in range(len(cut) - 1) if cut[i + 1] - cut[i] == n]
-    single = np.flatnonzero((sketch != PAD).sum(1) == 1)  # a set of one shingle shares no second value
-    if len(single) > 1 or len(whole) == p:
-        _search(single if len(single) > 1 else np.arange(n), forest, linked)
-    for i in range(len(cut) - 1):
-        if 1 < cut[i + 1] - cut[i] < n or (i in whole and len(whole) > 1):
-            _search(owner[order[cut[i] : cut[i + 1]]], forest, linked)
+    _search(np.arange(n), forest, linked)
     return forest
 
 
@@ -213,41 +209,149 @@ def _edges(ids: np.ndarray, forest: Forest) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays([pa.array([int(x) for x in c], pa.int64()) for c in zip(*pairs)], ["a", "b"]) if pairs else None
 
 
-def _bounded_lists(reps: DataFrame) -> DataFrame:
-    """list, id: inverted lists of two members at least and about LIST at most, such that every candidate pair shares one."""
-    entries = reps.select(F.explode("low").alias("list"), "id")
-    sizes = written(entries.groupBy("list").agg(F.count("*").alias("n")).where("n > 1"), "list-sizes")
-    out = entries.join(sizes.where(F.col("n") <= LIST).select("list"), "list")
-    long_lists = sizes.where(F.col("n") > LIST).select("list")
-    if long_lists.isEmpty():
-        return out
-    hot = reps.select("id", F.explode("low").alias("list"), "low").join(F.broadcast(long_lists) if long_lists.count() <= FEW else long_lists, "list")
-    pairs = hot.select("id", "list", F.explode("low").alias("other")).where("list <> other").select(F.xxhash64(F.least("list", "other"), F.greatest("list", "other")).alias("list"), "id").distinct()
-    pairs = written(pairs.unionByName(hot.where(F.size("low") == 1).select("list", "id")), "list-pairs")
-    sizes = written(pairs.groupBy("list").agg(F.count("*").alias("n")).where("n > 1"), "list-sizes")
-    rows = pairs.join(sizes, "list")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK))
-    cut = rows.where(F.col("n") > LIST).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    cut = cut.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    cut = cut.select(F.xxhash64("list", F.least("block", "with"), F.greatest("block", "with")).alias("list"), "id").distinct()
-    return out.unionByName(rows.where(F.col("n") <= LIST).select("list", "id")).unionByName(cut)
-
-
-def candidates(reps: DataFrame, percent: int, k: int) -> DataFrame:
-    """Edges a, b between candidates: stars of the candidate clusters of each list."""
+def _list_edges(percent: int, k: int):
+    """Batches of list, id, n_shingles, sketch sorted by list: a, b for the stars of the candidate clusters of each list."""
+    least, ratio = _least_estimate(percent, k), percent / 100 - 1e-9
+
+    def solve(lists: np.ndarray, ids: np.ndarray, sizes: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
+        cut = groups(lists)
+        n = np.diff(cut)
+        one = cut[:-1][n == 2]  # most lists have two members
+        near = np.minimum(sizes[one], sizes[one + 1]) >= ratio * np.maximum(sizes[one], sizes[one + 1])
+        one = one[near & (ids[one] != ids[one + 1])]
+        one = one[_union_estimates(sketch[one], sketch[one + 1], k) >= least] if len(one) else one
+        found = [np.stack([ids[one], ids[one + 1]])]
+        for i in np.flatnonzero(n > 2).tolist():
+            at = np.arange(cut[i], cut[i + 1])
+            at = at[np.lexsort((ids[at], sizes[at]))]
+            forest = list_candidates(sizes[at], sketch[at], percent, k)
+            roots = np.array([forest.root(j) for j in range(len(at))])
+            found.append(np.stack([ids[at], ids[at[roots]]]))
+        both = np.concatenate(found, 1)
+        both = np.unique(np.stack([both.max(0), both.min(0)]), axis=1)
+        both = both[:, both[0] != both[1]]
+        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
-    def finish(table: pa.Table):
-        if table.num_rows < 2:
-            return None
-        ids = table.column("id").to_numpy()
-        order = np.argsort(ids)
-        blobs = table.column("sketch").to_pylist()
-        forest = list_candidates(table.column("n_shingles").to_numpy()[order], _matrix([blobs[i] for i in order], k), percent, k)
-        return _edges(ids[order], forest)
+    def run(batches):
+        kept: list[tuple] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            data, _ = flatten_binary(batch.column("sketch"))
+            rows = (batch.column("list").to_numpy(), batch.column("id").to_numpy(), batch.column("n_shingles").to_numpy(), data.view(np.uint32).reshape(-1, k))
+            last = int(np.searchsorted(rows[0], rows[0][-1]))
+            if kept and (last or kept[0][0][0] != rows[0][-1]):
+                yield solve(*[np.concatenate(x) for x in zip(*kept, tuple(c[:last] for c in rows))])
+                kept = []
+            elif last:
+                yield solve(*[c[:last] for c in rows])
+            kept.append(tuple(np.copy(c[last:]) for c in rows))
+        if kept:
+            yield solve(*[np.concatenate(x) for x in zip(*kept)])
+        kept = []
+        release_memory()
+
+    return run
 
-    lists = _bounded_lists(reps).join(reps.select("id", "n_shingles", "sketch"), "id")
-    n = partitions(reps.sparkSession)
-    return lists.repartition(n, "list").sortWithinPartitions("list").mapInArrow(_in_groups("list", finish), "a long, b long").distinct()
+
+def _entries(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(list, id, n_shingles, sketch for the lists of each node's rarest values, those in one node alone left out; long lists: list, n)."""
+    spark = nodes.sparkSession
+    counts = written(nodes.select(F.explode("low").alias("list")).groupBy("list").agg(F.count("*").alias("n")).where("n > 1"), "list-sizes")
+    hot = counts.where(F.col("n") > HOT)
+    n_hot, repeated, long_lists = counts.agg(F.count_if(F.col("n") > HOT), F.count("*"), F.count_if(F.col("n") > LIST)).first()
+    long_lists = hot.where(F.col("n") > LIST) if long_lists else None
+    if n_hot > FEW_HOT or repeated > MANY:
+        values = nodes.select("id", F.size("low").alias("of"), F.explode("low").alias("list")).join(counts, "list", "left")
+        order = Window.partitionBy("id").orderBy(F.when(F.col("n") > HOT, F.col("n")).otherwise(0), "list")
+        need = F.least(F.lit(_overlap(percent, P)), F.ceil(F.col("of") * percent / 100))
+        rare = values.withColumn("place", F.row_number().over(order)).where((F.col("place") <= F.col("of") - need + 1) & F.col("n").isNotNull())
+        return rare.select("list", "id").join(nodes.select("id", "n_shingles", "sketch"), "id").select("list", "id", "n_shingles", "sketch"), long_lists
+    table = hot.toArrow().sort_by("list")
+    sent = spark.sparkContext.broadcast((table.column("list").to_numpy(), table.column("n").to_numpy(), bloom(counts.select("list"), repeated)))
+
+    def rarest(batches):
+        values, numbers, again = sent.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            low = batch.column("low")
+            lists, n = low.flatten().to_numpy(), np.diff(low.offsets.to_numpy())
+            owner = np.repeat(np.arange(len(n)), n)
+            at = np.minimum(np.searchsorted(values, lists), max(0, len(values) - 1))
+            weight = np.where(values[at] == lists, numbers[at], 0) if len(values) else np.zeros(len(lists), np.int64)
+            order = np.lexsort((lists, weight, owner))
+            place = np.arange(len(lists)) - np.repeat(np.cumsum(n) - n, n)
+            take = order[place < np.repeat(prefix_length(n, percent, P), n)]
+            take = take[in_bloom(again, lists[take])]
+            rows = pa.array(owner[take])
+            yield pa.RecordBatch.from_arrays([pa.array(lists[take]), *[batch.column(c).take(rows) for c in ("id", "n_shingles", "sketch")]], ["list", "id", "n_shingles", "sketch"])
+
+    return nodes.select("low", "id", "n_shingles", "sketch").mapInArrow(rarest, "list long, id long, n_shingles long, sketch binary"), long_lists
+
+
+def _few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
+def _blocks(members: DataFrame, bound: int) -> DataFrame:
+    """task, id (and what else ``members`` has) for groups above the bound (group, id, weight, least, total): blocks, each with the group's least member."""
+    blocks = F.ceil(F.col("total") / max(1, bound // 2))
+    everywhere = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda j: F.xxhash64("group", j))
+    own = F.array(F.xxhash64("group", F.pmod(F.xxhash64("id"), blocks)))
+    return members.withColumn("task", F.explode(F.when(F.col("id") == F.col("least"), everywhere).otherwise(own)))
+
+
+def _across(members: DataFrame, components: DataFrame, bound: int) -> DataFrame:
+    """task, id for groups above the bound: pairs of blocks that hold more than one component of the group."""
+    rows = members.join(components, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
+    parts = rows.groupBy("group", "root").agg(F.sum("weight").alias("part"))
+    mixed = written(parts.groupBy("group").agg(F.count("*").alias("parts")).where("parts > 1"), "mixed-groups")
+    if mixed.isEmpty():
+        return rows.where("false").withColumn("task", F.lit(0).cast("long"))
+    # a component above half the bound has blocks of its own (home: its root), the rest shares blocks (home: null)
+    parts = parts.join(_few(mixed.select("group")), "group", "left_semi").withColumn("home", F.when(F.col("part") > bound // 2, F.col("root")))
+    homes = parts.groupBy("group", "home").agg(F.ceil(F.sum("part") / max(1, bound // 4)).alias("blocks"))
+    cells = homes.select("group", "home", "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    cells = written(cells.select("group", "home", "blocks", "block", F.xxhash64("group", "home", "block").alias("cell")), "blocks")
+    other = cells.select("group", F.col("home").alias("home2"), F.col("cell").alias("cell2"))
+    tasks = cells.join(other, "group").where(F.col("home").isNull() | F.col("home2").isNull() | (F.col("home") != F.col("home2")))
+    tasks = tasks.select("cell", F.xxhash64("group", F.least("cell", "cell2"), F.greatest("cell", "cell2")).alias("task"))
+    rows = rows.join(parts.select("group", "root", "home"), ["group", "root"])
+    same = homes.select(F.col("group").alias("of"), F.col("home").alias("at"), "blocks")
+    rows = rows.join(same, (F.col("group") == F.col("of")) & F.col("home").eqNullSafe(F.col("at")))
+    rows = rows.withColumn("cell", F.xxhash64("group", "home", F.pmod(F.xxhash64("id"), F.col("blocks"))))
+    return rows.join(tasks, "cell")
+
+
+def candidates(nodes: DataFrame, percent: int, k: int) -> DataFrame:
+    """Edges a, b between candidates: stars of the candidate clusters of each list."""
+    n = partitions(nodes.sparkSession)
+    entries, long_lists = _entries(nodes, percent)
+
+    def edges(rows: DataFrame) -> DataFrame:
+        return rows.repartition(n, "list").sortWithinPartitions("list").mapInArrow(_list_edges(percent, k), "a long, b long").distinct()
+
+    if long_lists is None:
+        return edges(entries)
+    long_lists = _few(long_lists.select("list"))
+    short = edges(entries.join(long_lists, "list", "left_anti"))
+    # sets at the threshold lie in one class of sizes or in two neighbouring ones
+    size_class = F.floor(F.log(F.col("n_shingles").cast("double")) / -math.log(percent / 100 - 1e-9))
+    cut = entries.join(long_lists, "list", "left_semi").select("id", F.explode(F.array(F.xxhash64("list", size_class), F.xxhash64("list", size_class + 1))).alias("group"))
+    cut = written(cut.withColumn("weight", F.lit(1)), "long-lists")
+    sizes = written(cut.groupBy("group").agg(F.count("*").alias("total"), F.min("id").alias("least")), "list-sizes")
+    payload = nodes.select("id", "n_shingles", "sketch")
+
+    def searched(tasks: DataFrame) -> DataFrame:
+        return edges(tasks.select(F.col("task").alias("list"), "id").distinct().join(payload, "id").select("list", "id", "n_shingles", "sketch"))
+
+    short = short.unionByName(searched(cut.join(sizes.where((F.col("total") > 1) & (F.col("total") <= LIST)), "group").withColumn("task", F.col("group"))))
+    large = written(cut.join(_few(sizes.where(F.col("total") > LIST)), "group"), "large-lists")
+    if large.isEmpty():
+        return short.distinct()
+    first = written(short.unionByName(searched(_blocks(large, LIST))).distinct(), "candidates")
+    return first.unionByName(searched(_across(large, connected(first), LIST)))
 
 
 def family_links(texts: pa.Array, shingle: int, percent: int) -> Forest:
@@ -275,49 +379,53 @@ def family_links(texts: pa.Array, shingle: int, percent: int) -> Forest:
 
 
 def _families(docs: DataFrame, families: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links a, b inside the families (id, print, family, n_shingles), exact."""
+    """Links a, b inside the families (id, print, group, weight: its shingles), exact."""
     spark = docs.sparkSession
-    sizes = families.groupBy("family").agg(F.sum("n_shingles").alias("weight"))
-    blocks = F.ceil(F.col("weight") / (FAMILY // 2))
-    large = sizes.where(F.col("weight") > FAMILY).select("family", blocks.alias("blocks"))
-    members = families.join(large, "family", "left")
-    block = F.pmod(F.xxhash64("id"), F.col("blocks"))
-    own = F.xxhash64("family")
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.xxhash64("family", F.least(block, j), F.greatest(block, j)))
-    members = written(members.select("id", "print", F.when(F.col("blocks").isNull(), F.array(own)).otherwise(F.array_distinct(pairs)).alias("tasks")), "families")
-    count = members.count()
-    key = lambda c: F.conv(F.substring(F.hex(c), 1, 15), 16, 10).cast("long")
-    found = bloom(members.select(key("print").alias("key")), count)
-    sent = spark.sparkContext.broadcast(found)
+    sizes = written(families.groupBy("group").agg(F.sum("weight").alias("total"), F.min("id").alias("least"), F.count("*").alias("n")), "family-sizes")
+    n_large, members = sizes.agg(F.count_if(F.col("total") > FAMILY), F.sum("n")).first()
+    sent = spark.sparkContext.broadcast(bloom(families.select("id"), members or 0))
 
     def thin(batches):
-        for batch in chunks(batches):
+        some = (b.filter(pa.array(in_bloom(sent.value, b.column("id").to_numpy()))) for b in batches if b.num_rows)
+        for batch in chunks(some):
             values, cut = shingle_sets(batch.column("text"), shingle)
-            prints = [xxhash.xxh3_128_digest(values[a:b].tobytes()) if b > a else bytes(16) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
-            keep = in_bloom(sent.value, np.array([int(x.hex()[:15], 16) for x in prints], np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(prints, pa.binary()), batch.column("text")], ["id", "print", "text"]).filter(pa.array(keep))
+            prints = [xxhash.xxh3_128_digest(values[a:b].tobytes()) if b > a else None for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(prints, pa.binary()), batch.column("text")], ["id", "print", "text"])
 
     def finish(table: pa.Table):
-        ids = table.column("id").to_numpy()
-        fresh = np.unique(np.array([hash(x) for x in table.column("print").to_pylist()]), return_index=True)[1]  # repeated rows
-        order = fresh[np.argsort(ids[fresh], kind="stable")]
-        table = table.take(pa.array(order)).combine_chunks()
-        return _edges(ids[order], family_links(table.column("text").chunk(0), shingle, percent)) if len(order) > 1 else None
+        ids, prints = table.column("id").to_numpy(), table.column("print").to_pylist()
+        first = {x: i for i, x in reversed(list(enumerate(prints)))}  # repeated rows
+        order = sorted(first.values(), key=lambda i: (ids[i], prints[i]))
+        if len(order) < 2:
+            return None
+        return _edges(ids[order], family_links(table.take(pa.array(order)).combine_chunks().column("text").chunk(0), shingle, percent))
 
     texts = _rows(docs).mapInArrow(thin, "id long, print binary, text string")
     n = partitions(spark)
-    joined = texts.join(F.broadcast(members) if count <= FEW else members, ["id", "print"]).select("id", "print", "text", F.explode("tasks").alias("task"))
-    return joined.repartition(n, "task").sortWithinPartitions("task", "id").mapInArrow(_in_groups("task", finish), "a long, b long")
+
+    def links(tasks: DataFrame, few: bool) -> DataFrame:
+        tasks = tasks.select("id", "print", "task").distinct()
+        joined = texts.join(F.broadcast(tasks) if few else tasks, ["id", "print"]).select("id", "print", "text", "task")
+        return joined.repartition(n, "task").sortWithinPartitions("task", "id").mapInArrow(_in_groups("task", finish), "a long, b long")
+
+    few = (members or 0) <= FEW
+    if not n_large:
+        return links(families.withColumn("task", F.col("group")), few)
+    rows = families.join(_few(sizes.where(F.col("total") > FAMILY).drop("n")), "group", "left")
+    large = written(rows.where(F.col("total").isNotNull()), "large-families")
+    small = rows.where(F.col("total").isNull()).select("id", "print", F.xxhash64("group").alias("task"))
+    first = written(links(small.unionByName(_blocks(large, FAMILY).select("id", "print", "task")), False), "links")
+    return first.unionByName(links(_across(large, connected(first), FAMILY), False))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, k: int = K) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text)."""
-    rows = written(sketches(docs, shingle, percent, k), "sketches")
+    rows = written(sketches(docs, shingle, k), "sketches")
     some = rows.where("n_shingles > 0")
     nodes = written(some.groupBy("print").agg(F.min(F.struct("id", "n_shingles", "low", "sketch")).alias("r"), F.count("*").alias("copies")).select("print", "copies", "r.*"), "distinct-sets")
     families = connected(candidates(nodes, percent, k))
     inside = families.select(F.col("node").alias("id"), "root").unionByName(families.select(F.col("root").alias("id"), "root")).distinct()
-    inside = written(inside.join(nodes.select("id", "print", "n_shingles"), "id").select("id", "print", F.col("root").alias("family"), "n_shingles"), "family-members")
+    inside = written(inside.join(nodes.select("id", "print", "n_shingles"), "id").select("id", "print", F.col("root").alias("group"), F.col("n_shingles").alias("weight")), "family-members")
     links = _families(docs, inside, shingle, percent)
     twice = some.groupBy("id").agg(F.min("print").alias("x"), F.max("print").alias("y")).where("x <> y").select("id")
     of = some.join(twice, "id", "left_semi").select(F.col("id").alias("row"), "print").distinct().join(nodes.select("print", "id"), "print")

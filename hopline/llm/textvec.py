@@ -55,7 +55,12 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def flatten(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; null counts as the empty string."""
-    column = pc.fill_null(column, "").cast(pa.large_string())
+    return flatten_binary(pc.fill_null(column, ""))
+
+
+def flatten_binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of a string or binary column without nulls."""
+    column = column.cast(pa.large_binary())
     _, offsets, data = column.buffers()
     if len(column) == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)

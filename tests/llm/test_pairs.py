@@ -124,7 +124,7 @@ def near_rows(seed, docs, length):
     return rows
 
 
-@pytest.mark.parametrize(("n", "percent", "bounds"), [(3, 85, {}), (5, 80, {"LIST": 12, "BLOCK": 6, "SHORT": 3, "FAMILY": 600, "FEW": 0})])
+@pytest.mark.parametrize(("n", "percent", "bounds"), [(3, 85, {}), (5, 80, {"LIST": 6, "FAMILY": 600, "FEW": 0, "HOT": 1}), (3, 85, {"LIST": 6, "HOT": 2, "FEW_HOT": 0})])
 def test_near_duplicates(spark, monkeypatch, n, percent, bounds):
     for k, v in bounds.items():
         monkeypatch.setattr(minhash, k, v)
@@ -162,6 +162,24 @@ def test_large_lists_search():
     assert len({forest.root(i) for i in range(501)}) == 201
 
 
+def test_rare_values_meet_without_the_common_ones(spark):
+    """Pages that share a quarter of their shingles enter no common list; near copies among them do."""
+    rng = random.Random(8)
+    template = [f"t{i}" for i in range(250)]
+    own = [[f"o{i}x{j}" for j in range(750)] for i in range(120)]
+    rows = [(i, " ".join(template + w)) for i, w in enumerate(own)] + [(1000 + i, " ".join(template + own[i] + [f"z{rng.random()}"])) for i in range(0, 120, 2)]
+    nodes = minhash.sketches(minhash._rows(frame(spark, rows)).withColumnRenamed("id", "doc_id"), 3).drop("print").cache()
+    entries, _ = minhash._entries(nodes, 85)
+    assert entries.groupBy("list").count().agg({"count": "max"}).first()[0] <= 40
+    got = {(r.a, r.b) for r in minhash.candidates(nodes, 85, minhash.K).collect()}
+    assert got == {(1000 + i, i) for i in range(0, 120, 2)}
+
+
+def test_prefix_of_rare_values():
+    assert minhash._overlap(85, 32) == 12 and minhash._overlap(80, 32) == 10
+    assert minhash.prefix_length(np.array([1, 2, 10, 32]), 85, 32).tolist() == [1, 1, 2, 21]
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1060)]
