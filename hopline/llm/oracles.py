@@ -74,20 +74,21 @@ hits as (
   select rid, template, label, is_base, pos, runs, start from
     (select rid, start, w[start + 1] || ' ' || w[start + 2] || ' ' || w[start + 3] as gram from places) join grams using (gram)),
 votes as (
-  select rid, template, label, is_base, runs, start - pos as diagonal, bit_or(1::bigint << pos) as seen, min(start) as low, max(start) as high
-  from hits group by all),
+  select rid, template, label, is_base, runs, start - pos as diagonal, list(distinct pos) as seen from hits group by rid, template, label, is_base, runs, start - pos),
 marked as (
-  select *, is_base and bit_count(seen) = runs as full_one,
+  select *, is_base and len(seen) = runs as full_one,
     coalesce((diagonal - lag(diagonal) over (partition by rid, template order by diagonal) > {lic.GAP})::int, 0) as fresh from votes),
 spans as (select *, sum(fresh) over (partition by rid, template order by diagonal) as span from marked),
+stretches as (
+  select *, len(list_distinct(flatten(list(seen) over (partition by rid, template, span order by diagonal / (runs + {lic.GAP})::double range between current row and 0.999999::double following)))) / runs::double as reach from spans),
 merged as (
-  select rid, template, label, is_base, runs, span, bit_count(bit_or(seen)) / runs::double as cover, min(low) as low, max(high) as high,
+  select rid, template, label, is_base, span, max(reach) as cover,
     count(*) filter (full_one) as places, min(diagonal) filter (full_one) as first, max(diagonal) filter (full_one) as last
-  from spans group by rid, template, label, is_base, runs, span),
+  from stretches group by rid, template, label, is_base, span),
 per as (
   select rid, sum(places)::bigint as n_base, min(first) as first_word, max(last) as last_word, max(cover) as score,
     string_agg(distinct label, ',' order by label) filter (places > 0) as base_labels,
-    string_agg(distinct label, ',' order by label) filter (places > 0 or (not is_base and cover >= {lic.COVER} and high - low <= 2 * runs + {lic.GAP})) as labels
+    string_agg(distinct label, ',' order by label) filter (places > 0 or (not is_base and cover >= {lic.COVER})) as labels
   from merged group by rid)
 select doc_id, len(w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word, last_word,
   coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0)::double as score
