@@ -6,7 +6,8 @@ any sequence as a slice without copying. A second Arrow file beside it says wher
 ``doc_id, offset, n_tokens``. Documents follow each other in ascending doc_id order within a shard and from shard
 to shard; only a shard's last sequence is padded. A manifest (Parquet) holds one row for each shard.
 
-Null text counts as empty; an empty document has the end id alone. Null doc_ids come first. Rows that repeat a
+Null text counts as empty; an empty document has the end id alone. A very long text is one row of one task, and is split into
+pieces bit by bit. Null doc_ids come first. Rows that repeat a
 doc_id are all written, ordered by their text. An empty table gives an empty manifest. Columns other
 than doc_id and text are not read.
 """
@@ -20,6 +21,7 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +33,10 @@ from hopline.llm.textvec import KEPT, release_memory
 
 END_ID = 2
 LENGTH = 2048
-#: Pieces whose ids a worker keeps, about 170 bytes each; beyond, it starts anew.
-MEMO = 900_000
+#: Bytes of pieces and their ids that a worker keeps; beyond, it starts anew. Longer pieces than PIECE characters are not kept.
+MEMO, PIECE = 64 << 20, 64
+#: Characters that are split into pieces at once, and pieces of one text.
+CHARS, PIECES = 1 << 18, 1 << 16
 ROWS = 64
 
 # Letters, digits and white space up to U+024F, for the splitting pattern of byte-level BPE. Other texts go to the library whole.
@@ -52,10 +56,11 @@ _BYTES = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizers library.
+    """Ids of whole texts by the tokenizers library with its default settings.
 
     For byte-level BPE without a normaliser, a text's ids are those of its pieces, so each distinct piece goes
-    through the library's model once and is remembered (about MEMO of them). All else is encoded as it is.
+    through the library's model once and is remembered (up to MEMO bytes). All else is encoded as it is, and so are texts
+    that hold an added token such as an end mark, which the library gives its own id.
     """
 
     def __init__(self, path: str):
@@ -63,38 +68,51 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         spec = json.loads(self.tokenizer.to_str())
         pre = spec.get("pre_tokenizer") or {}
-        self.by_piece = not spec.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and all(t["special"] for t in spec.get("added_tokens") or [])
+        self.by_piece = not spec.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+        added = "|".join(re.escape(t["content"]) for t in spec.get("added_tokens") or [])
+        self.other = re.compile(f"{_OTHER.pattern}|{added}" if added else _OTHER.pattern)
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() < 1 << 16 else np.uint32
         self.memo: dict[str, bytes] = {}
+        self.held = 0
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, pieces: list[str]) -> None:
-        tokenize, memo, kind = self.tokenizer.model.tokenize, self.memo, self.dtype().dtype.char
-        for p in pieces:
-            memo[p] = array(kind, [t.id for t in tokenize(p.encode("utf-8", "surrogatepass").decode("latin-1").translate(_BYTES))]).tobytes()
+    def learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """The ids of new pieces. Python's objects for a piece take some 190 bytes beside its letters."""
+        tokenize, kind = self.tokenizer.model.tokenize, self.dtype().dtype.char
+        found = {p: array(kind, [t.id for t in tokenize(p.encode("utf-8", "surrogatepass").decode("latin-1").translate(_BYTES))]).tobytes() for p in pieces}
+        short = {p: x for p, x in found.items() if len(p) <= PIECE}
+        if self.held > MEMO:
+            self.memo.clear()
+            self.held = 0
+        self.memo.update(short)
+        self.held += sum(190 + len(p) + len(x) for p, x in short.items())
+        return found
+
+    def joined(self, texts: list[list[str]]) -> list[bytes]:
+        """The ids of texts given as pieces."""
+        found = [list(map(self.memo.get, p)) for p in texts]
+        new = self.learn({p for ps, fs in zip(texts, found) if None in fs for p, f in zip(ps, fs) if f is None})
+        return [b"".join([new[p] if f is None else f for p, f in zip(ps, fs)]) if None in fs else b"".join(fs) for ps, fs in zip(texts, found)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.by_piece:
             return self.whole(texts)
-        pieces = [None if _OTHER.search(t) else _PIECES.findall(t) for t in texts]
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        found = [p and list(map(self.memo.get, p)) for p in pieces]
-        self.learn(list({p for ps, fs in zip(pieces, found) if ps and None in fs for p, f in zip(ps, fs) if f is None}))
-        memo = self.memo
-        out = []
-        for text, ps, fs in zip(texts, pieces, found):
-            if ps is None:
-                out += self.whole([text])
-            elif ps and None in fs:
-                out.append(b"".join([memo[p] if f is None else f for p, f in zip(ps, fs)]))
+        out: list[bytes | None] = [None] * len(texts)
+        known = []
+        for i, t in enumerate(texts):
+            if self.other.search(t):
+                out[i] = self.whole([t])[0]
+            elif len(t) > CHARS:  # a long text goes piece by piece, so that its pieces are never held together
+                pieces = (m.group() for m in _PIECES.finditer(t))
+                out[i] = b"".join(self.joined([some])[0] for some in iter(lambda: list(islice(pieces, PIECES)), []))
             else:
-                out.append(b"".join(fs or ()))
+                known.append(i)
+        for i, ids in zip(known, self.joined([_PIECES.findall(texts[i]) for i in known])):
+            out[i] = ids
         return out
 
 
@@ -117,7 +135,7 @@ def _store(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
-def _texts(batch: pa.RecordBatch, size: int = 1 << 20) -> Iterator[tuple[list, list[str]]]:
+def _texts(batch: pa.RecordBatch, size: int = CHARS) -> Iterator[tuple[list, list[str]]]:
     """doc_ids and texts, about ``size`` characters at a time."""
     ids, texts, held = [], [], 0
     for i, t in zip(batch.column("doc_id"), batch.column("text")):

@@ -11,7 +11,7 @@ import pytest
 from hopline.llm import fingerprints, language_id, license_scan, oracles, queries, sharding, source_mixing, token_ids
 
 SF = "/root/testdata/sf0.001"
-TEXTS = [None, "", "a", "Hello  World\t's 12 x!!\n\n q", "Déjà vu — naïve ½ " * 3, "日本語のテキスト mixed with latin", "tab\x1c\x1dsep\x85nel", "x " * 5000, "<|endoftext|> plain", "  lead and trail  \n"]
+TEXTS = [None, "", "a", "Hello  World\t's 12 x!!\n\n q", "Déjà vu — naïve ½ " * 3, "日本語のテキスト mixed with latin", "tab\x1c\x1dsep\x85nel", "x " * 5000, "<|endoftext|> plain", "two<|endoftext|><|endoftext|>\n in one", "<|endoftext", "  lead and trail  \n"]
 
 
 def frame(spark, rows, columns="doc_id long, text string, lang string, source string"):
@@ -28,7 +28,6 @@ def test_token_ids_equal_the_library(spark, tmp_path):
     docs = table(spark).select("doc_id", "text").toPandas()
     rows = [(int(i), t, None, None) for i, t in zip(docs.doc_id, docs.text)] + [(1000 + i, t, None, None) for i, t in enumerate(TEXTS)] + [(1003, TEXTS[3], None, None)]
     tok = Tokenizer.from_file(queries.vocabulary())
-    tok.encode_special_tokens = True
     expected, start = [], 0
     for i, t, *_ in sorted(rows, key=lambda r: r[0]):
         ids = [*tok.encode(t or "", add_special_tokens=False).ids, 2]
@@ -42,13 +41,19 @@ def test_token_ids_empty_table(spark, tmp_path):
     assert token_ids.encoded(frame(spark, []), queries.vocabulary(), f"file://{tmp_path}/out").count() == 0
 
 
-@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
-def test_encoder_by_piece_and_whole(name):
+@pytest.mark.parametrize(("name", "memo"), [("byte_bpe_50k.json", 1 << 20), ("byte_bpe_50k.json", 100), ("word_bpe_49k.json", 100)])
+def test_encoder_by_piece_and_whole(monkeypatch, name, memo):
+    monkeypatch.setattr(token_ids, "CHARS", 70)
+    monkeypatch.setattr(token_ids, "PIECES", 7)
+    monkeypatch.setattr(token_ids, "MEMO", memo)
     enc = token_ids.Encoder(queries.vocabulary(name))
     rng = np.random.default_rng(1)
     letters = list("aé ñ Ü1½ \n\t.,'s'll\xa0-’Ωж​")
     texts = [t or "" for t in TEXTS] + ["".join(rng.choice(letters, 60)) for _ in range(300)]
-    assert enc(texts) == enc.whole(texts)
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(queries.vocabulary(name))
+    assert [np.frombuffer(x, enc.dtype).tolist() for x in enc(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
     assert enc.by_piece == (name == "byte_bpe_50k.json")
 
 
@@ -142,6 +147,17 @@ def test_sharding_fits_and_splits_equal_rows(spark):
     assert sharding.shards(docs.where("false"), 100).count() == 0
 
 
+def test_written_shards_hold_each_row_once(spark, tmp_path):
+    rows = [*EDGES, *[(9, "same text")] * 50, (None, "null id"), (5, None), (5, "five")]
+    docs = frame(spark, rows).selectExpr("*", "'mine' as shard", "text as `a.b`", "1 as depth")
+    sharding.write_shards(docs, f"file://{tmp_path}/shards", 100)
+    got = spark.read.option("basePath", f"file://{tmp_path}/shards").parquet(f"file://{tmp_path}/shards")
+    assert got.columns == [*docs.columns, "_hl_shard"]
+    assert sorted([tuple(r)[:-1] for r in got.collect()], key=str) == sorted([tuple(r) for r in docs.collect()], key=str)
+    per = got.groupby("_hl_shard").agg({"*": "count", "text": "max"}).toPandas()
+    assert len(per) > 5
+
+
 def test_license_edges(spark):
     docs = frame(spark, [(1, None), (2, ""), (3, "UNDER the MIT-License! x cc by nc"), (3, "UNDER the MIT-License! x cc by nc"), (4, "this work is licensed under the brand new gnu general public license version 3"), (5, "cc by nc " * 400), (6, "under mit")])
     got = {(r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels) for r in license_scan.scan(docs).collect()}
@@ -151,6 +167,34 @@ def test_license_edges(spark):
     assert license_scan.scan(docs.where("false")).count() == 0
 
 
+def test_license_texts_of_any_length(spark):
+    """A whole licence, one with words put in, half of one, and a notice among runs that stray near its diagonal."""
+    mit = license_scan.TEXTS[0][0]
+    bsd = license_scan.TEXTS[2][0].split()
+    loose = bsd[:40] + ["by", "the", "way"] + bsd[40:90] + bsd[92:]
+    chain = "the license the license you may not use this file " * 30 + "licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. " + "in compliance with the license you may not " * 30
+    rows = [(1, mit.upper()), (2, " ".join(loose)), (3, " ".join(bsd[: len(bsd) // 3])), (4, chain), (5, " ".join(license_scan.TEXTS[3][0].split()[::-1]))]
+    got = {r.doc_id: (r.labels.split(","), r.score) for r in license_scan.scan(frame(spark, rows)).collect()}
+    assert got[1] == (["mit"], 1.0)
+    assert got[2][0] == ["bsd"] and got[2][1] == 1.0
+    assert got[3][0] == ["bsd"]  # by the notice; a third of the text is not the text
+    assert "apache-2" in got[4][0]
+    assert got[5] == ([""], got[5][1]) and got[5][1] < license_scan.COVER
+
+
+def test_license_time_follows_length(spark):
+    import time
+
+    took = []
+    for n in (10_000, 40_000):
+        docs = frame(spark, [(1, "some words under the mit license " * (n // 6))]).coalesce(1)
+        license_scan.scan(docs).collect()
+        t = time.perf_counter()
+        license_scan.scan(docs).collect()
+        took.append(time.perf_counter() - t)
+    assert took[1] < 4 * took[0] + 4
+
+
 def test_fingerprints_against_brute_force(spark):
     rows = [(i, t, None, None) for i, t in enumerate(TEXTS)] + [(-5, "Hello world 's 12 X!! q", None, None), (None, "last", None, None), (3, "again", None, None)]
     got = fingerprints.compared(frame(spark, rows)).toPandas()
