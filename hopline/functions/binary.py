@@ -1,9 +1,14 @@
-"""Little-endian fields, checksums, and the two packet layouts, on binary columns without leaving the JVM."""
+"""Little-endian fields, checksums, and the two packet layouts. Samples and audio packets are read in Arrow batches, the rest in the JVM."""
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed values of the packet format.
 MAGIC = b"SSNP"
@@ -30,21 +35,16 @@ def little_endian(value: Column, width: int) -> Column:
     return F.unhex(F.concat(*[F.substring(digits, 15 - 2 * i, 2) for i in range(width)]))
 
 
-def samples(payload: Column) -> Column:
-    """array<smallint> of little-endian 16-bit samples (SF16)."""
-    text = F.hex(payload)
-    at = lambda i: F.conv(F.concat(F.substr(text, 4 * i + 3, F.lit(2)), F.substr(text, 4 * i + 1, F.lit(2))), 16, 10).cast("int")
-    count = F.floor(F.length(payload) / 2).cast("int")
-    raw = F.transform(F.sequence(F.lit(0), count - 1), at)
-    signed = F.transform(raw, lambda v: F.when(v > 32767, v - 65536).otherwise(v).cast("smallint"))
-    return F.when(count > 0, signed).otherwise(F.array().cast("array<smallint>"))
+@F.pandas_udf(T.ArrayType(T.ShortType()))
+def samples(payload: pd.Series) -> pd.Series:
+    """array<smallint> of little-endian 16-bit samples (SF16); an odd last byte is left out."""
+    return payload.map(lambda b: None if b is None else np.frombuffer(b, "<i2", len(b) // 2))
 
 
-def packed(pcm: Column) -> Column:
+@F.pandas_udf(T.BinaryType())
+def packed(pcm: pd.Series) -> pd.Series:
     """Little-endian 16-bit bytes of an array of samples."""
-    digits = F.transform(pcm, lambda v: F.hex(F.pmod(v.cast("int"), F.lit(65536)) + 65536))  # 1 and four digits
-    text = F.transform(digits, lambda h: F.concat(F.substring(h, 4, 2), F.substring(h, 2, 2)))
-    return F.unhex(F.array_join(text, ""))
+    return pcm.map(lambda v: None if v is None else np.asarray(v).astype("<i2").tobytes())
 
 
 def checksum(packet: Column, field: int) -> Column:
@@ -68,26 +68,44 @@ def _common(packet: Column, kind: int, header: int) -> list[tuple[Column, str]]:
     ]
 
 
+_NUMBERS = ("session_id", "sequence", "presentation_frame", "sample_rate", "frame_count", "flags")
+_AUDIO = T.StructType([T.StructField("error", T.StringType()), *[T.StructField(c, T.LongType()) for c in _NUMBERS], T.StructField("pcm", T.ArrayType(T.ShortType()))])
+_HEADER = np.dtype({"names": ["version", "kind", "header", "session_id", "sequence", "frame", "rate", "frames", "channels", "format", "payload", "flags", "checksum"], "formats": ["u1", "u1", "<u2", "<u4", "<u4", "<u8", "<u4", "<u2", "u1", "u1", "<u2", "<u2", "<u4"], "offsets": [4, 5, 6, 8, 12, 16, 24, 28, 30, 31, 32, 34, 36], "itemsize": AUDIO_HEADER})
+
+
+@F.pandas_udf(_AUDIO)
+def audio(packet: pd.Series) -> pd.DataFrame:
+    """The first rule that an audio packet breaks, or none, and the fields of one that breaks none (SC18): headers are read as columns, payloads in one piece."""
+    data = [b or b"" for b in packet]
+    size = np.array([len(b) for b in data])
+    h = np.frombuffer(b"".join(b[:AUDIO_HEADER].ljust(AUDIO_HEADER, b"\0") for b in data), _HEADER)
+    frames = h["frames"].astype(np.int64)
+    rungs = [
+        ("too_short", size < AUDIO_HEADER), ("invalid_length", size > MOST_BYTES), ("wrong_magic", np.array([b[:4] != MAGIC for b in data], bool)), ("unsupported_version", h["version"] != VERSION), ("wrong_packet_type", h["kind"] != AUDIO),
+        ("invalid_header", h["header"] != AUDIO_HEADER), ("invalid_geometry", (h["channels"] != 2) | ~np.isin(h["rate"], RATES) | (h["format"] != PCM16LE) | (frames == 0)), ("invalid_header", (h["flags"] & ~np.uint16(SILENCE)) != 0),
+        ("invalid_length", (h["payload"] != 4 * frames) | (size != AUDIO_HEADER + 4 * frames)),
+        ("checksum_mismatch", h["checksum"] != np.array([zlib.crc32(b[AUDIO_SUM + 4 :], zlib.crc32(b[:AUDIO_SUM] + bytes(4))) for b in data], np.int64)),
+    ]
+    error = np.select([r for _, r in rungs], [n for n, _ in rungs], "none").astype(object)
+    fine = error == "none"
+    error[[b is None for b in packet]] = None
+    frame = h["frame"]
+    out = {"session_id": h["session_id"], "sequence": h["sequence"], "presentation_frame": frame.astype(np.int64), "sample_rate": h["rate"], "frame_count": h["frames"], "flags": h["flags"]}
+    columns = {k: pd.Series(v.astype(np.int64), dtype="Int64").mask(~fine) for k, v in out.items()}
+    columns["presentation_frame"] = columns["presentation_frame"].mask(frame >= np.uint64(1 << 63))
+    pcm = [np.frombuffer(b, "<i2", offset=AUDIO_HEADER) if ok else None for b, ok in zip(data, fine)]
+    return pd.DataFrame({"error": error, **columns, "pcm": pd.Series(pcm, dtype=object)})
+
+
 def audio_error(packet: Column) -> Column:
     """The first rule that an audio packet breaks, or none (SC18)."""
-    frames, payload = unsigned(packet, 28, 2), unsigned(packet, 32, 2)
-    return _ladder(
-        (F.length(packet) < AUDIO_HEADER, "too_short"),
-        (F.length(packet) > MOST_BYTES, "invalid_length"),
-        *_common(packet, AUDIO, AUDIO_HEADER),
-        ((unsigned(packet, 30, 1) != 2) | ~unsigned(packet, 24, 4).isin(*RATES) | (unsigned(packet, 31, 1) != PCM16LE) | (frames == 0), "invalid_geometry"),
-        (unsigned(packet, 34, 2).bitwiseAND(~SILENCE) != 0, "invalid_header"),
-        ((payload != 4 * frames) | (F.length(packet) != AUDIO_HEADER + 4 * frames), "invalid_length"),
-        (unsigned(packet, AUDIO_SUM, 4) != checksum(packet, AUDIO_SUM), "checksum_mismatch"),
-    )
+    return audio(packet)["error"]
 
 
 def audio_fields(packet: Column) -> Column:
     """The fields of a valid audio packet, null for any other."""
-    fields = F.struct(
-        unsigned(packet, 8, 4).alias("session_id"), unsigned(packet, 12, 4).alias("sequence"), unsigned(packet, 16, 8).alias("presentation_frame"), unsigned(packet, 24, 4).alias("sample_rate"),
-        unsigned(packet, 28, 2).alias("frame_count"), unsigned(packet, 34, 2).alias("flags"), samples(F.substring(packet, AUDIO_HEADER + 1, MOST_BYTES)).alias("pcm"))
-    return F.when(audio_error(packet) == "none", fields)
+    a = audio(packet)
+    return F.when(a["error"] == "none", F.struct(*[a[c].alias(c) for c in (*_NUMBERS, "pcm")]))
 
 
 def gains(packet: Column) -> Column:

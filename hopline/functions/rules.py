@@ -161,7 +161,7 @@ def rejection() -> Column:
 def lag_state() -> list[Column]:
     """SF27: windows pending, ready and the seconds they last. Columns: captured_sequence, gpu_sequence, playback_sequence, playback_state, buffered_seconds, hop_seconds."""
     ready = F.expr("case when playback_state = 'playing' and playback_sequence > 0 then greatest(0, gpu_sequence - playback_sequence + 1) when playback_state = 'played' and playback_sequence > 0 then greatest(0, gpu_sequence - playback_sequence) else greatest(0, gpu_sequence) end")
-    return [F.expr("greatest(0, captured_sequence - gpu_sequence)").alias("pending_windows"), ready.alias("ready_windows"), F.coalesce(F.greatest(F.lit(0.0), F.col("buffered_seconds")), ready * F.col("hop_seconds")).alias("ready_buffer_seconds")]
+    return [F.expr("greatest(0, captured_sequence - gpu_sequence)").alias("pending_windows"), ready.alias("ready_windows"), F.when(F.col("buffered_seconds").isNotNull(), F.greatest(F.lit(0.0), F.col("buffered_seconds"))).otherwise(ready * F.col("hop_seconds")).alias("ready_buffer_seconds")]
 
 
 def allowed(processes: DataFrame, name: str = "name") -> DataFrame:
@@ -198,13 +198,14 @@ def start_plan() -> list[Column]:
 
 
 def age_seconds(now: Column, then: Column) -> Column:
-    """Seconds between two timestamps, 0 at least, to microseconds (SF9)."""
-    return F.greatest(F.lit(0.0), (F.unix_micros(now) - F.unix_micros(then)) / 1e6)
+    """Seconds between two timestamps, 0 at least, to microseconds; null if one is missing (SF9)."""
+    passed = (F.unix_micros(now) - F.unix_micros(then)) / 1e6
+    return F.when(passed.isNotNull(), F.greatest(F.lit(0.0), passed))
 
 
 def of_epoch_ns(ns: Column) -> Column:
     """A timestamp of nanoseconds since 1970, cut to microseconds (SF9)."""
-    return F.timestamp_micros(F.floor(ns / 1000).cast("long"))
+    return F.timestamp_micros(((ns - F.pmod(ns, F.lit(1000))).cast("decimal(20,0)") / 1000).cast("long"))
 
 
 def heartbeat(text: Column) -> Column:

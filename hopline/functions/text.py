@@ -19,6 +19,12 @@ def folded(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else _SPACE.sub(" ", unicodedata.normalize("NFKC", t).casefold()).strip(), na_action="ignore")
 
 
+@F.pandas_udf(T.StringType())
+def casefolded(s: pd.Series) -> pd.Series:
+    """Case folded as Unicode has it, which lower() does not do."""
+    return s.str.casefold()
+
+
 def folded_ascii(c: Column) -> Column:
     """folded() where all text is ASCII, without leaving the JVM."""
     return F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hopline.functions.numeric import frame_range
 from hopline.operators.signal import align
+from hopline.operators.timeline import islands, latest_names
 
 
 def lookup(requests: DataFrame, entries: DataFrame, key: str = "cache_key") -> DataFrame:
@@ -18,22 +20,46 @@ def misses(requests: DataFrame, entries: DataFrame, key: str = "cache_key") -> D
     return requests.join(entries.where("state = 'complete'").select(key), key, "left_anti")
 
 
-def tolerant(requests: DataFrame, songs: DataFrame, names: list[str], duration: str, tolerance: Column, accessed: str, any_duration: bool = False) -> DataFrame:
-    """Each request with the song of equal ``names`` whose duration lies within ``tolerance``, the last accessed (JN4, TK3).
+def same_names(requests: DataFrame, songs: DataFrame, names: list[str], duration: str, tolerance: Column | None, bucket: float | None = None) -> DataFrame:
+    """requests with every song of equal ``names`` whose duration lies within ``tolerance`` (null: any), its columns as ``song_`` and their name (JN4).
 
-    Names are folded beforehand. The equal names are the join's keys; the tolerance is a residual on them.
+    Names are folded beforehand and are the join's keys. Where one name is common, give ``bucket``, a duration that no tolerance
+    passes: the durations' buckets are then keys too, so that only songs of like length meet.
     """
     s = songs.select(*names, *[F.col(c).alias(f"song_{c}") for c in songs.columns if c not in names])
-    near = F.lit(True) if any_duration else F.abs(F.col(duration) - F.col(f"song_{duration}")) <= tolerance
-    r = requests.withColumn("_hl_row", F.monotonically_increasing_id())
-    hits = r.join(s, names).where(near)
-    order = Window.partitionBy("_hl_row").orderBy(F.desc(f"song_{accessed}"), *[f"song_{c}" for c in songs.columns if c not in names])
-    return hits.withColumn("_hl_n", F.row_number().over(order)).where("_hl_n = 1").drop("_hl_n", "_hl_row")
+    if tolerance is None:
+        return requests.join(s, names)
+    near = F.abs(F.col(duration) - F.col(f"song_{duration}")) <= tolerance
+    if bucket is None:
+        return requests.join(s, names).where(near)
+    own = F.floor(F.col(f"song_{duration}") / bucket)
+    s = s.withColumn("_hl_b", F.explode(F.array(own - 1, own, own + 1)))
+    return requests.withColumn("_hl_b", F.floor(F.col(duration) / bucket)).join(s, [*names, "_hl_b"]).where(near).drop("_hl_b")
 
 
-def best_candidate(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each group in ``order`` (JN8, TK5, AG9)."""
-    return rows.withColumn("_hl_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_hl_n = 1").drop("_hl_n")
+def tolerant(requests: DataFrame, songs: DataFrame, names: list[str], duration: str, tolerance: Column, accessed: str, any_duration: bool = False, bucket: float | None = None) -> DataFrame:
+    """Each request with the song of equal ``names`` whose duration lies within ``tolerance``, the last accessed, then the least in its other columns (JN4, TK3).
+
+    Equal requests are answered once and counted, so that nothing depends on numbers given to rows.
+    """
+    each = requests.groupBy(*requests.columns).agg(F.count("*").cast("int").alias("_hl_times"))
+    hits = same_names(each, songs, names, duration, None if any_duration else tolerance, bucket)
+    rest = [f"song_{c}" for c in songs.columns if c not in names]
+    newest = best_candidate(hits, each.columns, [*falling(hits, f"song_{accessed}"), *rest])
+    return newest.withColumn("_hl_i", F.explode(F.sequence(F.lit(1), "_hl_times"))).drop("_hl_i", "_hl_times")
+
+
+def falling(rows: DataFrame, column: str) -> list[Column]:
+    """Columns that ascend as a number, date or time falls, null last."""
+    kind = dict(rows.dtypes)[column]
+    number = {"date": F.unix_date, "timestamp": F.unix_micros}.get(kind, F.col)(column)
+    return [F.col(column).isNull(), -number]
+
+
+def best_candidate(rows: DataFrame, by: list[str], order: list) -> DataFrame:
+    """The row of each group that is least in ``order``, columns that ascend (JN8, TK5, AG9): combined before the shuffle."""
+    least = F.min_by(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), F.struct(*[(F.col(c) if isinstance(c, str) else c).alias(f"o{i}") for i, c in enumerate(order)]))
+    return rows.groupBy(*by).agg(least.alias("_hl_best")).select("_hl_best.*")
 
 
 def located(candidates: DataFrame, least: float | None = None) -> DataFrame:
@@ -51,6 +77,29 @@ def grouped_match(pieces: DataFrame, found: DataFrame, key: list[str]) -> DataFr
     return out.where("_hl_all").drop("_hl_all")
 
 
+def song_hits(pieces: DataFrame, windows: DataFrame, songs: DataFrame, key: list[str], offset_frames: Column, frame_count: Column, radius: Column, channels: int = 2) -> DataFrame:
+    """Windows that cached songs answer whole: key, parts (JN14 by way of WN4, AG19, JN4 and JN5).
+
+    pieces: what timeline.segments() gives. windows: key, stream_start_frame, pcm. songs: song_key, title, artist, album, accessed_at,
+    song_pcm, names folded. A window's pieces must cover its output without a hole, at revisions above 0 and with a name; each island
+    is then looked up by name, whatever its duration, and takes the last accessed song in which its sound is found.
+    """
+    w = windows.select(*key, (F.col("stream_start_frame") + offset_frames).alias("_hl_start"), frame_count.alias("_hl_frames"), F.col("stream_start_frame").alias("_hl_first"), F.col("pcm").alias("_hl_pcm"))
+    own = pieces.join(w.drop("_hl_first", "_hl_pcm"), key)
+    whole = (F.min("stream_start_frame") == F.first("_hl_start")) & (F.max("stream_end_frame") == F.first("_hl_start") + F.first("_hl_frames"))
+    whole = whole & (F.sum(F.col("stream_end_frame") - F.col("stream_start_frame")) == F.first("_hl_frames")) & F.bool_and(F.col("revision") > 0)
+    usable = own.groupBy(*key).agg(whole.alias("_hl_whole")).where("_hl_whole").select(*key)
+    grouped = islands(pieces.join(usable, key, "left_semi"), key)
+    spans = grouped.groupBy(*key, "island").agg(F.min("stream_start_frame").alias("first_frame"), (F.max("stream_end_frame") - F.min("stream_start_frame")).alias("frame_count"), F.min_by("track_start_frame", "stream_start_frame").alias("approx"))
+    named = spans.join(latest_names(grouped, [*key, "island"]), [*key, "island"])
+    part = frame_range(F.col("_hl_pcm"), F.col("first_frame") - F.col("_hl_first"), F.col("frame_count"), channels)
+    asked = named.join(w.select(*key, "_hl_first", "_hl_pcm"), key).select(*key, "island", "frame_count", "approx", "title", "artist", "album", part.alias("pcm"))
+    met = same_names(asked, songs.select("title", "artist", "album", "song_key", "accessed_at", F.col("song_pcm").alias("pcm")), ["title", "artist", "album"], "", None)
+    scored = located(met.withColumn("radius", radius))
+    slim = scored.select(*key, "island", F.col("song_song_key").alias("song_key"), "song_accessed_at", "offset", "frame_count")
+    return grouped_match(grouped, best_candidate(slim, [*key, "island"], [*falling(slim, "song_accessed_at"), "song_key"]), key)
+
+
 def dense(chunks: DataFrame, by: list[str], index: str) -> DataFrame:
     """by, n, complete: the indices of a group are 0 to n - 1, each once (SO6)."""
     n, d = F.count("*"), F.count_distinct(index)
@@ -58,8 +107,9 @@ def dense(chunks: DataFrame, by: list[str], index: str) -> DataFrame:
 
 
 def upserted(chunks: DataFrame, by: list[str], index: str, order: str) -> DataFrame:
-    """The latest row of each index (SO5)."""
-    return best_candidate(chunks, [*by, index], [F.desc(order)])
+    """The latest row of each index (SO5), combined before the shuffle."""
+    last = F.max_by(F.struct(*[F.col(f"`{c}`") for c in chunks.columns]), F.col(order))
+    return chunks.groupBy(*by, index).agg(last.alias("_hl_last")).select("_hl_last.*")
 
 
 def intact(files: DataFrame, by: list[str], expected_stems: Column) -> DataFrame:

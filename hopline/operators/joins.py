@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hopline.storage import written
+
 
 def group_state(expected: DataFrame, manifests: DataFrame, files: DataFrame, by: list[str]) -> DataFrame:
     """by, state: waiting without a manifest, skipped if a stem of it is missing or of another geometry, else ready (SC4).
@@ -73,22 +75,17 @@ def virtual_endpoints(endpoints: DataFrame, pattern: str) -> DataFrame:
     return endpoints.withColumn("virtual", F.lower("name").rlike(pattern))
 
 
-def closure(edges: DataFrame, seeds: DataFrame, most: int = 64) -> DataFrame:
+def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """node for all that the seeds reach along edges (parent, child), case ignored, the seeds too (GR1).
 
-    Breadth first: each round joins only the nodes that are new and drops those seen, so cycles end it. Each round is
-    checkpointed where a checkpoint folder is set.
+    Breadth first: each round joins only the nodes that are new and drops those seen, so cycles end it. The edges are written once,
+    each round's nodes too, so no round depends on an earlier plan or on an executor that is gone.
     """
-    e = edges.select(F.lower("parent").alias("parent"), F.lower("child").alias("child")).distinct()
-    seen = seeds.select(F.lower("node").alias("node")).distinct()
-    fresh = seen
-    durable = edges.sparkSession.sparkContext.getCheckpointDir() is not None
-    for _ in range(most):
-        fresh = fresh.join(e, fresh["node"] == e["parent"]).select(F.col("child").alias("node")).distinct().join(seen, "node", "left_anti")
-        fresh = fresh.checkpoint() if durable else fresh.persist()
-        if fresh.isEmpty():
-            return seen
+    e = written(edges.select(F.lower("parent").alias("parent"), F.lower("child").alias("child")).distinct(), "closure-edges")
+    fresh = written(seeds.select(F.lower("node").alias("node")).distinct(), "closure-nodes")
+    seen = fresh
+    while not fresh.isEmpty():
+        reached = fresh.join(e, fresh["node"] == e["parent"]).select(F.col("child").alias("node")).distinct()
+        fresh = written(reached.join(seen, "node", "left_anti"), "closure-nodes")
         seen = seen.unionByName(fresh)
-        if durable:
-            seen = seen.checkpoint()
-    raise ValueError(f"more than {most} steps from the seeds")
+    return seen

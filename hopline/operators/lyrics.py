@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hopline.functions.text import lyric_lines
+from hopline.functions.text import casefolded, lyric_lines
+from hopline.operators.cache import best_candidate
 from hopline.operators.framing import neighbours
 from hopline.operators.timeline import asof
 
@@ -31,9 +32,11 @@ def current(positions: DataFrame, lines: DataFrame, key: str, position: str, con
 
 
 def guarded(tracks: DataFrame, lyrics: DataFrame) -> DataFrame:
-    """tracks with lyrics only where revision (above 0), title and artist agree (JN7). Names are folded beforehand."""
-    l = lyrics.select("revision", "title", "artist", F.col("lyrics"))
-    return tracks.join(l.where("revision > 0"), ["revision", "title", "artist"], "left")
+    """tracks with lyrics only where revision (above 0), title and artist agree, outer spaces and case aside (JN7)."""
+    l = lyrics.where("revision > 0").select(F.col("revision").alias("_hl_revision"), casefolded(F.trim("title")).alias("_hl_title"), casefolded(F.trim("artist")).alias("_hl_artist"), "lyrics")
+    t = tracks.withColumns({"_hl_t": casefolded(F.trim("title")), "_hl_a": casefolded(F.trim("artist"))})
+    same = (F.col("revision") == F.col("_hl_revision")) & (F.col("_hl_t") == F.col("_hl_title")) & (F.col("_hl_a") == F.col("_hl_artist"))
+    return t.join(l, same, "left").select(*tracks.columns, "lyrics")
 
 
 def candidates(tracks: DataFrame, results: DataFrame, tolerance: float = 5.0, most: int = 1000) -> DataFrame:
@@ -42,8 +45,7 @@ def candidates(tracks: DataFrame, results: DataFrame, tolerance: float = 5.0, mo
     near = F.abs(F.col("duration_seconds") - F.col("r_duration"))
     usable = F.coalesce(F.col("instrumental"), F.lit(False)) | (F.size(F.coalesce(lyric_lines(F.col("lyrics")), F.array().cast("array<struct<time_seconds:double,text:string>>"))) > 0)
     j = tracks.join(r, ["title", "artist"]).where((near <= tolerance) & usable)
-    w = Window.partitionBy("track_key").orderBy(F.desc(F.col("album") == F.col("r_album")), near, "place")
-    return j.withColumn("_hl_n", F.row_number().over(w)).where("_hl_n = 1").drop("_hl_n")
+    return best_candidate(j, ["track_key"], [~F.coalesce(F.col("album") == F.col("r_album"), F.lit(False)), near, "place"])
 
 
 def cascade(tracks: DataFrame, sources: list[DataFrame], key: str = "track_key") -> DataFrame:

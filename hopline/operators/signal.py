@@ -95,35 +95,59 @@ def ramped(pcm: Column, current: Column, target: Column, frames: Column, first_f
     return F.transform(pcm, lambda v, i: pcm16(v.cast("double") * ramp(current, target, frames, first_frame + F.floor(i / channels))))
 
 
+BLOCK = 64
+
+
+def _smoothed(x: np.ndarray, c: float, start: float = 0.0) -> np.ndarray:
+    """y += c * (x - y) from ``start``: blocks of 64 by one matrix of powers, and a step from block to block."""
+    a = 1.0 - c
+    powers = a ** np.arange(BLOCK + 1)
+    lag = np.arange(BLOCK)[:, None] - np.arange(BLOCK)[None, :]
+    response = np.where(lag >= 0, c * powers[np.maximum(lag, 0)], 0.0)
+    padded = np.zeros(-(-len(x) // BLOCK) * BLOCK)
+    padded[: len(x)] = x
+    own = padded.reshape(-1, BLOCK) @ response.T
+    heads = np.empty(len(own))
+    y = start
+    for i, last in enumerate(own[:, -1].tolist()):
+        heads[i] = y
+        y = last + powers[BLOCK] * y
+    return (own + heads[:, None] * powers[None, 1:]).ravel()[: len(x)]
+
+
 def one_pole(values: Column, coefficient: float) -> Column:
     """The low-pass y += c * (x - y) along an array, from 0 (WN9)."""
-    step = lambda s, x: F.struct((s["y"] + coefficient * (x - s["y"])).alias("y"), F.array_append(s["out"], s["y"] + coefficient * (x - s["y"])).alias("out"))
-    start = F.struct(F.lit(0.0).alias("y"), F.array().cast("array<double>").alias("out"))
-    return F.aggregate(values, start, step, lambda s: s["out"])
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda v: None if v is None else _smoothed(np.asarray(v, float), coefficient))
+
+    return run(values)
 
 
 def center_suppressed(blocks: DataFrame, by: str, order: str, sample_rate: int, strength: float, bass_hz: float) -> DataFrame:
-    """by, order, pcm without the centre above ``bass_hz`` (WN9). The filter's state runs through a stream's blocks, so a stream is one group."""
+    """by, order, pcm without the centre above ``bass_hz`` (WN9). The filter's state runs through a stream's blocks, which are read in order, batch by batch."""
     if sample_rate <= 0 or not 0 <= strength <= 1 or bass_hz <= 0:
         raise ValueError("sample_rate and bass_hz are above 0, strength is in [0, 1]")
-    c = np.float32(1 - np.exp(-2 * np.pi * bass_hz / sample_rate))
-
-    def suppress(pdf: pd.DataFrame) -> pd.DataFrame:
-        low, out = np.float32(0), []
-        pdf = pdf.sort_values(order)
-        for pcm in pdf["pcm"]:
-            x = np.asarray(pcm, np.float32).reshape(-1, 2)
-            centre = x.mean(1, dtype=np.float32)
-            smooth = np.empty_like(centre)
-            for i, v in enumerate(centre):
-                low += c * (v - low)
-                smooth[i] = low
-            y = np.clip(x - np.float32(strength) * (centre - smooth)[:, None], -32768, 32767)
-            out.append(y.astype(np.int16).ravel())
-        return pdf[[by, order]].assign(pcm=out)
+    c = float(np.float32(1 - np.exp(-2 * np.pi * bass_hz / sample_rate)))
+
+    def suppress(batches):
+        low, current, first = 0.0, None, True
+        for pdf in batches:
+            out = []
+            for key, pcm in zip(pdf[by], pdf["pcm"]):
+                if first or key != current:
+                    low, current, first = 0.0, key, False
+                x = np.asarray(pcm, np.float32).reshape(-1, 2)
+                centre = x.mean(1, dtype=np.float32)
+                smooth = _smoothed(centre, c, low)
+                low = float(smooth[-1]) if len(smooth) else low
+                y = np.clip(x - np.float32(strength) * (centre - smooth.astype(np.float32))[:, None], -32768, 32767)
+                out.append(y.astype(np.int16).ravel())
+            yield pdf[[by, order]].assign(pcm=out)
 
     types = dict(blocks.dtypes)
-    return blocks.groupBy(by).applyInPandas(suppress, f"{by} {types[by]}, {order} {types[order]}, pcm array<smallint>")
+    return blocks.select(by, order, "pcm").repartition(by).sortWithinPartitions(by, order).mapInPandas(suppress, f"{by} {types[by]}, {order} {types[order]}, pcm array<smallint>")
 
 
 def envelope(values: Column, size: int) -> Column:

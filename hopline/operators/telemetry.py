@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hopline.functions.text import casefolded
+
 
 def latest(events: DataFrame, by: list[str], at: str, payload: list[str]) -> DataFrame:
     """The last payload of each source (D11, SC8): a max of structs, so it is combined before the shuffle."""
@@ -53,7 +55,7 @@ DOCUMENTS = ("controller", "heartbeat", "receiver", "capture", "inbox", "gpu", "
 RATE = 44100
 REQUIREMENTS = ("stream_received", "gpu_first_play", "song_cache_available", "song_cache_replayed", *ZERO, "mixer_adjusted_during_stream", "mixer_latency_below_limit")
 
-#: PJ1: fields that are read as they are, by document and kind; ``column:path`` where the two differ.
+#: PJ1, fixed values: fields that are read as they are, by document and kind; ``column:path`` where the two differ.
 FIELDS = {
     "input": {
         "text": "input_scope track_title:track.title track_artist:track.artist track_album:track.album",
@@ -86,7 +88,7 @@ def _frames_as(payload: Column, path: str, places: int, per_second: float = 1.0)
 
 def _lyric_fields(lyrics: Column, revision: Column, title: Column, artist: Column, position: Column) -> list[Column]:
     """What is shown of the lyrics document if it is that of the present track (JN7): state, source, flags, and the lines around the position (JN6)."""
-    same_text = lambda path, own: F.lower(F.trim(F.coalesce(F.get_json_object(lyrics, path), F.lit("")))) == F.lower(F.trim(own))
+    same_text = lambda path, own: casefolded(F.trim(F.coalesce(F.get_json_object(lyrics, path), F.lit("")))) == casefolded(F.trim(own))
     same = (revision > 0) & (count_of(lyrics, "$.track.revision") == revision) & same_text("$.track.title", title) & same_text("$.track.artist", artist)
     state = F.when(same, one_of(lyrics, "$.state", ("ready", "not_found", "error"), "waiting", "waiting")).otherwise("waiting")
     raw = F.slice(F.coalesce(F.from_json(F.get_json_object(lyrics, "$.lines"), "array<struct<time_seconds:double,text:string>>"), F.array().cast("array<struct<time_seconds:double,text:string>>")), 1, 20000)
@@ -108,21 +110,21 @@ def snapshot(status: DataFrame, now: Column) -> DataFrame:
     Each source's last document counts, and a missing one gives defaults. Values are read leniently: counts and metrics below 0 or of
     another type are 0, texts are trimmed and cut, names that are not known become the default.
     """
-    from hopline.functions.rules import LABELS, lag_state
+    from hopline.functions.rules import LABELS, age_seconds, lag_state, stale
     from hopline.functions.text import hresult
 
     latest_of = status.groupBy().pivot("source", list(DOCUMENTS)).agg(F.max(F.struct("observed_at", "payload")))
-    seconds = lambda k: F.round((F.unix_micros(now) - F.unix_micros(F.col(f"{k}.observed_at"))) / 1e6, 3)
-    docs = latest_of.select(*[F.coalesce(F.col(f"{k}.payload"), F.lit("{}")).alias(k) for k in DOCUMENTS], *[F.greatest(F.lit(0.0), seconds(k)).alias(f"{k}_age") for k in ("heartbeat", "receiver", "capture")])
+    seconds = lambda k: F.round(age_seconds(now, F.col(f"{k}.observed_at")), 3)
+    docs = latest_of.select(*[F.coalesce(F.col(f"{k}.payload"), F.lit("{}")).alias(k) for k in DOCUMENTS], *[seconds(k).alias(f"{k}_age") for k in ("heartbeat", "receiver", "capture")])
     capturing = F.coalesce(F.get_json_object("controller", "$.state") == "capturing", F.lit(False))
     docs = docs.withColumn("capturing", capturing).withColumn("input", F.when(F.col("capturing"), F.col("capture")).otherwise(F.col("receiver"))).withColumn("input_age", F.when(F.col("capturing"), F.col("capture_age")).otherwise(F.col("receiver_age")))
     c = F.col
     kinds = {"flag": flag_of, "text": text_of, "count": count_of, "metric": lambda p, x: F.round(metric_of(p, x), 3), "level": lambda p, x: metric_of(p, x, most=1.0)}
     plain = [kinds[kind](c(doc), "$." + (f.split(":") + f.split(":"))[1]).alias(f.split(":")[0]) for doc, by in FIELDS.items() for kind, fields in by.items() for f in fields.split()]
     state = F.coalesce(F.get_json_object("controller", "$.state"), F.lit(""))
-    online = F.coalesce(c("heartbeat_age") <= 6, F.lit(False))
+    online = F.coalesce(~stale(c("heartbeat_age"), F.lit("controller")), F.lit(False))
     wanted = F.when(c("capturing"), F.get_json_object("capture", "$.state") == "capturing").otherwise(F.get_json_object("receiver", "$.state") == "streaming")
-    raw, fresh = F.coalesce(wanted, F.lit(False)), F.coalesce(c("input_age") <= 2, F.lit(False))
+    raw, fresh = F.coalesce(wanted, F.lit(False)), F.coalesce(~stale(c("input_age"), F.lit("stream")), F.lit(False))
     first = lambda name, default: F.coalesce(*[F.nullif(metric_of(c(d), f"$.{name}"), F.lit(0.0)) for d in ("playback", "manifest")], F.lit(default))
     overlap = F.coalesce(F.nullif(first("overlap_milliseconds", 0.0), F.lit(0.0)), first("overlap_frames", 4410.0) * 1000 / RATE)
     gains = F.map_filter(F.coalesce(F.from_json(F.get_json_object("playback", "$.gains"), "map<string,double>"), F.create_map().cast("map<string,double>")), lambda k, v: k.isin(*LABELS) & ~F.isnan(v))
@@ -142,7 +144,7 @@ def snapshot(status: DataFrame, now: Column) -> DataFrame:
         _frames_as(c("playback"), "$.last_underrun_buffered_frames", 3).alias("last_underrun_buffer_seconds"), _frames_as(c("playback"), "$.last_underrun_total_read_frames", 3).alias("last_underrun_playback_seconds"), _frames_as(c("playback"), "$.device_buffer_frames", 1, 1000.0).alias("device_buffer_ms"),
         F.coalesce(hresult(F.get_json_object("playback", "$.last_device_hresult")), F.lit("")).alias("last_device_hresult"), F.transform_values(gains, lambda k, v: clamp(v)).alias("gains"),
         F.round(F.coalesce(F.nullif(first("analysis_window_seconds", 0.0), F.lit(0.0)), first("window_seconds", 12.0)), 3).alias("analysis_window_seconds"), F.round(first("hop_seconds", 6.0), 3).alias("hop_seconds"), F.round(overlap, 1).alias("overlap_milliseconds"),
-        F.when(~F.isnan(taken), F.greatest(F.lit(0.0), taken)).alias("processing_seconds"), one_of(c("manifest"), "$.fallback_stem", tuple(LABELS), "", "").alias("fallback_stem"), one_of(c("gpu"), "$.model_state", ("warming", "ready", "error", "stopped"), "stopped", "error").alias("model_state"),
+        F.when(taken.isNotNull() & ~F.isnan(taken), F.greatest(F.lit(0.0), taken)).alias("processing_seconds"), one_of(c("manifest"), "$.fallback_stem", tuple(LABELS), "", "").alias("fallback_stem"), one_of(c("gpu"), "$.model_state", ("warming", "ready", "error", "stopped"), "stopped", "error").alias("model_state"),
         F.when(hit, scope).otherwise("none").alias("cache_scope"), F.when(hit, F.substring(F.coalesce(F.get_json_object("manifest", "$.cache_key"), F.lit("")), 1, 12)).otherwise("").alias("cache_key_short"),
         accept.alias("acceptance_state"), requirements.alias("acceptance_requirements"), ((accept == "passed") & F.forall(F.map_values(requirements), lambda r: r)).alias("acceptance_passed")]
     base = docs.select(c("lyrics").alias("_hl_lyrics"), *plain, *made)

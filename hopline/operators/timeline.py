@@ -73,9 +73,10 @@ def islands(pieces: DataFrame, key: list[str]) -> DataFrame:
 
 
 def latest_names(pieces: DataFrame, group: list[str]) -> DataFrame:
-    """The last non-empty title, artist and album of each group in stream order (AG19)."""
-    last = lambda c: F.max_by(c, F.when(F.trim(c) != "", F.col("stream_start_frame"))).alias(c)
-    return pieces.groupBy(*group).agg(*[last(c) for c in ("title", "artist", "album")])
+    """Title, artist and album of each group's last piece that has a title or artist (AG19); null where none has."""
+    named = (F.trim("title") != "") | (F.trim("artist") != "")
+    last = F.max_by(F.struct("title", "artist", "album"), F.when(F.coalesce(named, F.lit(False)), F.col("stream_start_frame")))
+    return pieces.groupBy(*group).agg(last.alias("_hl_n")).select(*group, "_hl_n.title", "_hl_n.artist", "_hl_n.album")
 
 
 def revisions(progress: DataFrame, by: list[str], order: str) -> DataFrame:

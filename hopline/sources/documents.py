@@ -9,6 +9,7 @@ from hopline.functions.rules import ARTIFACT, AUDIO_TYPES, CAPTURE, sequence_of,
 from hopline.functions.text import is_ascii
 from hopline.schemas import ANNOTATION, RESULT_MANIFEST, schema
 
+#: The most anchors of a sidecar, and the stems.
 MOST_ANCHORS = 4096
 STEMS = ("vocals", "instrumental", "drums", "bass", "guitar", "piano", "other")
 

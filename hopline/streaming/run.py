@@ -11,26 +11,43 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from hopline.schemas import schema
+from hopline.storage import scratch
 
 
 def _out(key: str, types: dict[str, str], ddl: str):
     return schema(f"{key} {types[key]}, {ddl}")
 
 
+def _rows(pdf: pd.DataFrame) -> list[dict]:
+    return pdf.astype(object).where(lambda d: d.notna(), None).to_dict("records")
+
+
 def _steps(machine, key_value, key: str, pdf: pd.DataFrame, order: str, columns: list[str]) -> pd.DataFrame:
-    rows = [{key: key_value, **o} for r in pdf.sort_values(order, kind="stable").astype(object).where(lambda d: d.notna(), None).to_dict("records") for o in machine.step(r)]
+    rows = [{key: key_value, **o} for r in _rows(pdf.sort_values(order, kind="stable")) for o in machine.step(r)]
     return pd.DataFrame(rows, columns=columns)
 
 
 def replay(events: DataFrame, key: str, order: str, make: Callable[[], object], ddl: str) -> DataFrame:
-    """A machine over each key's events in ``order``, as a batch. One key's events are one group: a session's own history."""
+    """A machine over each key's events in ``order``, as a batch.
+
+    Partitions hold whole keys in order and are read batch by batch, so a session of any length takes the machine's
+    state and one batch of memory.
+    """
     out = _out(key, dict(events.dtypes), ddl)
     columns = out.fieldNames()
 
-    def run(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return _steps(make(), k[0], key, pdf, order, columns)
+    def run(batches):
+        machine, current = None, None
+        for pdf in batches:
+            rows = []
+            for r in _rows(pdf):
+                if machine is None or r[key] != current:
+                    machine, current = make(), r[key]
+                rows += [{key: current, **o} for o in machine.step(r)]
+            if rows:
+                yield pd.DataFrame(rows, columns=columns)
 
-    return events.groupBy(key).applyInPandas(run, out)
+    return events.repartition(key).sortWithinPartitions(key, order).mapInPandas(run, out)
 
 
 def streamed(events: DataFrame, key: str, order: str, make: Callable[[], object], ddl: str) -> DataFrame:
@@ -52,11 +69,12 @@ def files(spark: SparkSession, path: str, ddl: str, at_once: int = 1, fmt: str =
 
 
 def collected(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """All that a stream gives for what is there now, as a table in memory: for tests and small results."""
+    """All that a stream gives for what is there now, as a Parquet table in the shared folder."""
     spark = stream.sparkSession
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    at = scratch(spark, name)
+    query = stream.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/checkpoint").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{at}/rows")
 
 
 def complete_windows(events: DataFrame, at: str, by: list[str], size: str, hop: str, late: str, aggs: list) -> DataFrame:

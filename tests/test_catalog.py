@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from hopline.plans import catalog
+from hopline.plans import bindings, catalog, songs
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -48,12 +48,12 @@ def test_stream_windows_equal_closed_batch_windows(spark):
 
 def test_song_assembly_reads_whole_blocks(spark):
     """A hop's frames 8 to 23 are its block's own; the 8 after them only fade into the next hop."""
-    blocks = catalog._blocks(spark, SF).toPandas().sort_values("vec_id")
+    blocks = bindings.blocks(spark, SF).toPandas().sort_values("vec_id")
     own = {label: [list(x) for x in g.pcm] for label, g in blocks.groupby("label")}
     assert {len(x) for x in blocks.pcm} == {64}
-    songs = [r for r in catalog.queries()["song_assembly"](spark, SF).collect() if r.reason is None]
-    assert len(songs) == sum(len(x) // 4 for x in own.values()) > 0
-    for r in songs:
+    found = [r for r in songs.assembled(spark, SF).collect() if r.reason is None]
+    assert len(found) == sum(len(x) // 4 for x in own.values()) > 0
+    for r in found:
         hops = own[r.label][(r.revision - 1) * 4 : r.revision * 4]
         assert len(r.pcm) == 4 * 48
         for i, pcm in enumerate(hops):
