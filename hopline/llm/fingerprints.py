@@ -3,10 +3,12 @@
 The canonical form of a text is its NFKC form with case folded and white space runs as one space, none at the ends. Its
 digest is the 128-bit xxh3. Inside a bucket of equal digests the canonical bytes are compared (their least and greatest
 must be equal); in a bucket where they differ, the digest is extended by the SHA-256 of the canonical bytes, so
-different canonical texts never share a fingerprint. Likeness of two fingerprints is 1 if they are equal, else 0.
+different canonical texts of documents never share a fingerprint. Likeness of two fingerprints is 1 if they are equal and their
+texts' SHA-256 too, else 0.
 
-Null text counts as empty. Null doc_ids come last in descending order. Rows that share a doc_id are ordered by text.
-A table of one row has itself as the next document; an empty table gives an empty result.
+Null text counts as empty. Null doc_ids come last in descending order. Rows that share a doc_id are ordered by text. A very long
+text is one row of a range. A table of one row has itself as the next document; an empty table gives an empty result. Columns
+other than doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ def digest(form: bytes) -> str:
     return xxhash.xxh3_128_hexdigest(form)
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, digest=digest) -> DataFrame:
     """doc_id, fingerprint, wide (hex SHA-256 of the canonical bytes) for each row, before buckets are compared."""
 
     def each(batches):
@@ -47,7 +49,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, fingerprint string, wide string")
 
 
-def collisions(docs: DataFrame, rows: DataFrame) -> DataFrame:
+def collisions(docs: DataFrame, rows: DataFrame, digest=digest) -> DataFrame:
     """The fingerprints of ``rows`` (fingerprint) that stand for more than one canonical text of ``docs``.
 
     Only buckets of several documents are compared: a Bloom filter of their digests, of bounded size, thins the texts before
@@ -95,7 +97,7 @@ def _shard(bounds: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (len(bounds) - np.searchsorted(bounds, keys.astype(float), "right")).astype(np.int32)
 
 
-def edited(docs: DataFrame) -> DataFrame:
+def edited(docs: DataFrame, digest=digest) -> DataFrame:
     """Each document beside its edited text: doc_id, n_chars, edited_sha256, fingerprint, wide, edited_fingerprint, edited_wide, next_fingerprint, next_wide.
 
     The edited text has its last floor(n_chars / 2) characters replaced by the first as many of the next document in
@@ -143,15 +145,15 @@ def edited(docs: DataFrame) -> DataFrame:
 NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "wide", "edited_fingerprint", "edited_wide", "next_fingerprint", "next_wide"]
 
 
-def compared(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each row of ``docs``."""
-    rows = written(edited(docs), "fingerprints")
-    bad = written(collisions(docs, rows.select("fingerprint")), "fingerprint-collisions")
+def compared(docs: DataFrame, digest=digest) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each row of ``docs`` (doc_id, text)."""
+    rows = written(edited(docs, digest), "fingerprints")
+    bad = written(collisions(docs, rows.select("fingerprint"), digest), "fingerprint-collisions")
     kinds = ("", "edited_", "next_")
     if not bad.isEmpty():
         for kind in kinds:
             mark = bad.select(F.col("fingerprint").alias("bad"))
             rows = rows.join(mark, rows[f"{kind}fingerprint"] == mark["bad"], "left")
             rows = rows.withColumn(f"{kind}fingerprint", F.when(F.col("bad").isNull(), F.col(f"{kind}fingerprint")).otherwise(F.concat(f"{kind}fingerprint", F.lit("-"), f"{kind}wide"))).drop("bad")
-    near = lambda kind: (F.col("fingerprint") == F.col(f"{kind}fingerprint")).cast("double")
+    near = lambda kind: ((F.col("fingerprint") == F.col(f"{kind}fingerprint")) & (F.col("wide") == F.col(f"{kind}wide"))).cast("double")
     return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near("edited_").alias("near_edited"), near("next_").alias("near_next"))
