@@ -9,7 +9,8 @@ A language's filter holds its typical n-grams: those whose rate in it reaches SH
 any language and which occur at least LEAST times, the FILTER most frequent at most.
 
 Null text, or text without a letter, is ``und`` with score 0. Ties go to the language first by code
-point. Without training rows every document is ``und``. Rows that repeat are predicted alike.
+point. Without training rows every document is ``und``. Rows that repeat are predicted alike. A very long text is one chunk of a
+worker. An empty table gives an empty result. Columns other than doc_id, text and lang are not read; accepted() passes all on.
 """
 
 from __future__ import annotations
@@ -126,7 +127,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, slots: int = SLOTS, filter_si
 
 
 def scores(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(language number or -1, score) of each text. The score is the winner's lead over the second, in n-grams by n-gram."""
+    """(language number or -1, score) of each text. The score is the winner's corrected count by n-gram, 0 to 1."""
     n = len(texts)
     if not model.languages:
         return np.full(n, -1), np.zeros(n)

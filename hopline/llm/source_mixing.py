@@ -13,7 +13,8 @@ task holds a whole source. There are about as many slices as the square root of
 
 Words are runs of anything but ASCII white space; null text has none. The null source is a source and comes last.
 Documents without words are taken 0 times. An empty table gives an empty result. Rows that repeat a
-doc_id count each for itself.
+doc_id count each for itself. A very long text may span several blocks. Columns other than doc_id, text and source are not read;
+mixed() passes all on, whatever their names.
 """
 
 from __future__ import annotations
