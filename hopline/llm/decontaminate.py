@@ -7,8 +7,9 @@ a band of e + 1. Shared Q-grams are counted in bands of 2 (e + 1) diagonals that
 lies in one of them; bands that reach the bound are kept, and a banded alignment over the region gives the edit distance.
 
 Characters are compared in lower case (A-Z), with runs of ASCII white space as one space. Null or empty texts, on either side, match
-nothing. Benchmark texts with fewer than LEAST characters allow no edit and are found as runs of whole words only; those
-with fewer than Q have no Q-gram and are left out. Rows that repeat give repeated hits. Empty tables give an empty result.
+nothing. Benchmark texts with fewer than LEAST characters, of any length, allow no edit and are found as runs of whole words only.
+Rows that repeat give repeated hits. A very long text is one chunk of a worker. Empty tables give an empty result. Columns of ``docs``
+other than doc_id and text are not read; uncontaminated() passes them on, whatever their names.
 """
 
 from __future__ import annotations
@@ -107,10 +108,10 @@ class Segments:
 class Short:
     """The benchmark texts that are too short for segments, by their number of words."""
 
-    def __init__(self, items: list[tuple[int, bytes]], q: int = Q, least: int = LEAST):
+    def __init__(self, items: list[tuple[int, bytes]], least: int = LEAST):
         of: dict[bytes, list[int]] = {}
         for item, text in items:
-            if q <= len(text) < least:
+            if 0 < len(text) < least:
                 of.setdefault(text, []).append(item)
         self.text, self.items = list(of), list(of.values())
         w = Words(*flatten(pa.array(self.text, pa.binary()).cast(pa.large_binary()).view(pa.large_string())))
@@ -263,7 +264,7 @@ def _block_hits(docs: DataFrame, items: list, options: dict) -> DataFrame:
 
     def find(batches):
         segs = Segments(sent.value, **options)
-        short = Short(sent.value, segs.q, options.get("least", LEAST))
+        short = Short(sent.value, max(options.get("least", LEAST), segs.q))
         for batch in chunks(batches):
             w, offsets = _cleaned(batch.column("text"))
             data = w.data
