@@ -11,7 +11,10 @@ each chunk, not one from each document.
 
 Words are runs of anything but ASCII white space. Null text has none. Windows never span documents. A null doc_id
 counts as larger than all others. Rows that share a doc_id are one document to the rule (neither removes from
-the other); each gets its own result. An empty table gives an empty result.
+the other); each gets its own result. A very long text is one chunk of a worker. An empty table gives an empty result. Columns
+other than doc_id and text are not read, whatever their names.
+
+A bucket's packed strings are held in one worker; its windows are sorted in as many passes over them as keep WINDOWS at once.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ WINDOW = 13
 M = 3
 CHUNK = 4 << 20
 LAST_ID = 2**63 - 1
+#: Windows that are sorted at once, about; 40 bytes each.
+WINDOWS = 4 << 20
 
 
 def _squeeze(data: bytes) -> bytes:
@@ -81,7 +86,7 @@ BLOBS = "bucket int, kind int, ids binary, prints binary, a binary, b binary, bo
 
 def _blob(bucket: int, kind: int, ids, prints, a, b, body: bytes = b"") -> tuple:
     pack = lambda x, t: _squeeze(np.ascontiguousarray(x, t).tobytes())
-    return bucket, kind, pack(ids, np.int64), pack(prints, np.uint32), pack(a, np.int64), pack(b, np.int64), _squeeze(body)
+    return bucket, kind, pack(ids, np.int64), pack(prints, np.int64), pack(a, np.int64), pack(b, np.int64), _squeeze(body)
 
 
 def _pack(window: int, m: int, buckets: int):
@@ -139,14 +144,11 @@ def _marks(ids, prints, kind: int, a, b, sha=None) -> pa.RecordBatch:
 def _sorted_windows(window: int):
     """Marks of a partition's bucket."""
 
-    def resolve(held: list) -> pa.RecordBatch | None:
-        ids, prints, a, n = (np.concatenate(x) for x in list(zip(*held))[:4])
-        data = np.frombuffer(b"".join(x[4] for x in held), np.uint8)
-        held.clear()
-        offsets = np.concatenate(([0], np.cumsum(n)))
+    def one_pass(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, k: int, passes: int) -> np.ndarray:
+        """(run, place in it) of the repeated windows whose hash falls to pass k: equal windows fall to the same."""
         parts = []
         i = 0
-        while i < len(n):  # hashes need 24 bytes for each byte of text, so they are made slice by slice
+        while i < len(ids):  # hashes need 24 bytes for each byte of text, so they are made slice by slice
             j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + (2 << 20))) - 1)
             base = offsets[i]
             part = data[base : offsets[j]]
@@ -155,14 +157,27 @@ def _sorted_windows(window: int):
             at = np.arange(int(counts.sum())) + np.repeat(pointer[:-1] - (np.cumsum(counts) - counts), counts)
             run = np.repeat(np.arange(i, j), counts)
             h = Prefix(part)(starts[at], ends[at + window - 1])
+            own = np.flatnonzero(h % np.uint64(passes) == k) if passes > 1 else slice(None)
+            at, run, h = at[own], run[own], h[own]
             parts.append((run, at - pointer[run - i], h, starts[at] + base, ends[at + window - 1] + base))
             i = j
         run, place, hashes, starts, ends = (np.concatenate(x) for x in zip(*parts))
         dup = np.flatnonzero(repeated(data, hashes, ids[run], starts, ends))
-        if not len(dup):
+        return np.stack([run[dup], place[dup]])
+
+    def resolve(held: list) -> pa.RecordBatch | None:
+        ids, prints, a, n = (np.concatenate(x) for x in list(zip(*held))[:4])
+        data = np.frombuffer(b"".join(x[4] for x in held), np.uint8)
+        held.clear()
+        offsets = np.concatenate(([0], np.cumsum(n)))
+        passes = max(1, -(-len(data) // (8 * WINDOWS)))  # words have some eight bytes
+        dup = np.concatenate([one_pass(data, offsets, ids, k, passes) for k in range(passes)], 1)
+        dup = dup[:, np.lexsort((dup[1], dup[0]))]
+        run, place = dup
+        if not len(run):
             return None
-        cut = _breaks((run[dup[1:]] != run[dup[:-1]]) | (place[dup[1:]] != place[dup[:-1]] + 1))
-        x, y = dup[cut[:-1]], dup[cut[1:] - 1]
+        cut = _breaks((run[1:] != run[:-1]) | (place[1:] != place[:-1] + 1))
+        x, y = cut[:-1], cut[1:] - 1
         r = run[x]
         return _marks(ids[r], prints[r], 2, a[r] + place[x], a[r] + place[y] + window)
 
@@ -170,7 +185,7 @@ def _sorted_windows(window: int):
         bucket, held = None, []
         for batch in batches:
             for k, kind, *blobs in zip(*[batch.column(c).to_pylist() for c in ("bucket", "kind", "ids", "prints", "a", "b", "body")]):
-                ids, prints, a, b, body = (np.frombuffer(_expand(x), t) if t else _expand(x) for x, t in zip(blobs, (np.int64, np.uint32, np.int64, np.int64, None)))
+                ids, prints, a, b, body = (np.frombuffer(_expand(x), t) if t else _expand(x) for x, t in zip(blobs, (np.int64, np.int64, np.int64, np.int64, None)))
                 if kind == 1:
                     yield _marks(ids, prints, 1, a, b, [body[i : i + 32] for i in range(0, len(body), 32)])
                 elif kind == 2:
@@ -203,7 +218,7 @@ def marks(docs: DataFrame, window: int = WINDOW, m: int = M) -> DataFrame:
 
 
 def _key():
-    return F.col("id").bitwiseXOR(F.shiftleft("print", 32))
+    return F.col("id").bitwiseXOR(F.col("print"))
 
 
 def _kept(text: str | None, ranges: list, n: int) -> tuple[bytes, int]:
@@ -227,7 +242,7 @@ def _touched(docs: DataFrame, table: DataFrame) -> DataFrame:
         for batch in chunks(batches):
             ids = batch.column("id").to_numpy()
             prints = Words(*flatten(batch.column("text"))).prints()
-            keep = in_bloom(sent.value, ids ^ (prints << 32))
+            keep = in_bloom(sent.value, ids ^ prints)
             out = pa.RecordBatch.from_arrays([batch.column("id"), pa.array(prints), batch.column("text")], ["id", "print", "text"])
             yield out.filter(pa.array(keep))
 

@@ -170,11 +170,11 @@ class Words:
         return np.flatnonzero(np.arange(len(self.starts)) + n <= last)
 
     def prints(self) -> np.ndarray:
-        """32 bits of each document's words, to tell rows with one doc_id apart."""
+        """64 bits of each document's words, to tell rows with one doc_id apart."""
         out = np.zeros(len(self.counts), np.uint64)
         full = np.flatnonzero(self.counts)
         out[full] = self.hash(self.starts[self.pointer[full]], self.ends[self.pointer[full + 1] - 1])
-        return (out >> np.uint64(32)).astype(np.int64)
+        return out.view(np.int64)
 
     def text(self, d: int) -> memoryview:
         a, b = self.pointer[d], self.pointer[d + 1]
