@@ -12,8 +12,10 @@ that shares neither half with another has none. A chunk of documents settles wha
 from its earliest line only, so a variant that very many lines share sends a row from each chunk.
 
 Lines are cut at line feeds; words are runs of anything but ASCII white space. Lines without words are never removed and don't
-count; lines under LEAST words go only if equal to an earlier one. Null text has no lines. Null doc_ids come
-last. Rows that share doc_id and text are one document and get one result each. An empty table gives an empty result.
+count. The bound is one word in lines of LEAST words or more and none in shorter ones, where a word is too large a part: those go only
+if equal to an earlier one. Null text has no lines. Null doc_ids come last. Rows that share doc_id and text are one document and get
+one result each; among rows of one doc_id the order is that of a 64-bit print of the text. A very long text is one chunk of a worker.
+An empty table gives an empty result. Columns other than doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -46,7 +48,7 @@ class Lines:
         self.place = np.arange(len(self.n)) - first[self.doc] if len(self.n) else np.zeros(0, np.int64)
         self.used = np.flatnonzero(self.n > 0)
         spans = [data[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
-        self.prints = np.array([xxhash.xxh32_intdigest(s.tobytes()) for s in spans], np.int64)
+        self.prints = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in spans], np.uint64).view(np.int64)
 
     def part(self, lines: np.ndarray, skip: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Hashes of n words of each line, after the first ``skip``; 0 words hash as 0."""
@@ -106,7 +108,7 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def _spot_key(ids: np.ndarray, prints: np.ndarray, places: np.ndarray) -> np.ndarray:
-    return ids ^ (prints << 30) ^ (places.astype(np.int64) << 12)
+    return ids ^ prints ^ (places.astype(np.int64) << 12)
 
 
 def _at(docs: DataFrame, spots: DataFrame, make, schema: str) -> DataFrame:
@@ -234,7 +236,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     def keyed(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([xxhash.xxh32_intdigest((t or "").encode("utf-8", "surrogatepass")) for t in b.column("text").to_pylist()], pa.int64()), b.column("text")], ["id", "print", "text"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(np.array([xxhash.xxh64_intdigest((t or "").encode("utf-8", "surrogatepass")) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)), b.column("text")], ["id", "print", "text"])
 
     rows = _rows(docs).mapInArrow(keyed, "id long, print long, text string").join(kept_lines(docs), ["id", "print"], "left")
     return rows.mapInArrow(cut, "id long, text string").select(F.when(F.col("id") < LAST_ID, F.col("id")).alias("doc_id"), "text")

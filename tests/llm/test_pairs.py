@@ -20,11 +20,15 @@ def frame(spark, rows):
 # --- lines
 
 
-def brute_lines(rows):
-    docs = [(2**63 - 1 if i is None else i, t or "") for i, t in rows]
+def print64(t):
     import xxhash
 
-    lines = sorted({(i, xxhash.xxh32_intdigest(t.encode()), p, tuple(x.encode().split())) for i, t in docs for p, x in enumerate(t.split("\n")) if x.encode().split()})
+    return int(np.array(xxhash.xxh64_intdigest(t.encode()), np.uint64).view(np.int64))
+
+
+def brute_lines(rows):
+    docs = [(2**63 - 1 if i is None else i, t or "") for i, t in rows]
+    lines = sorted({(i, print64(t), p, tuple(x.encode().split())) for i, t in docs for p, x in enumerate(t.split("\n")) if x.encode().split()})
     kept = {}
     first = {}
     for i, h, p, w in lines:
@@ -40,7 +44,7 @@ def brute_lines(rows):
     out = []
     for (i, t), (doc_id, _) in zip(docs, rows):
         n = sum(bool(x.encode().split()) for x in t.split("\n"))
-        k = sorted(kept.get((i, xxhash.xxh32_intdigest(t.encode())), []))
+        k = sorted(kept.get((i, print64(t)), []))
         out.append((doc_id, n, n - len(k), ",".join(map(str, k))))
     return sorted(out, key=str)
 
@@ -262,5 +266,5 @@ def test_decontamination_finds_short_items_as_whole_words(spark):
     b = spark.createDataFrame([(1, "What is  Pi?"), (2, "what is pi?"), (3, "a b c d e"), (4, "overlong"), (5, "tiny"), (6, "Straße 1 of 2")], "item_id long, text string")
     docs = [(1, "What\nis pi? "), (2, "so what is pi? what is pi?"), (3, "somewhat is pi?"), (4, "what is pit?"), (5, "x a b c d e"), (6, "a b c d ex"), (7, "an overlong tale"), (8, "overlonger"), (9, "tiny"), (10, "x " * 9), (11, None), (12, "in straße 1 of 2")]
     got = {tuple(r) for r in decontaminate.hits(frame(spark, docs), b).collect()}
-    assert got == {(1, 1, 0, 0, 11, 0, 11), (1, 2, 0, 0, 11, 0, 11), (2, 1, 0, 0, 11, 3, 11), (2, 2, 0, 0, 11, 3, 11), (5, 3, 0, 0, 9, 2, 9), (7, 4, 0, 0, 8, 3, 8), (12, 6, 0, 0, 14, 3, 14)}
-    assert sorted(r.doc_id for r in decontaminate.uncontaminated(frame(spark, docs), b).collect()) == [3, 4, 6, 8, 9, 10, 11]
+    assert got == {(9, 5, 0, 0, 4, 0, 4), (1, 1, 0, 0, 11, 0, 11), (1, 2, 0, 0, 11, 0, 11), (2, 1, 0, 0, 11, 3, 11), (2, 2, 0, 0, 11, 3, 11), (5, 3, 0, 0, 9, 2, 9), (7, 4, 0, 0, 8, 3, 8), (12, 6, 0, 0, 14, 3, 14)}
+    assert sorted(r.doc_id for r in decontaminate.uncontaminated(frame(spark, docs), b).collect()) == [3, 4, 6, 8, 10, 11]

@@ -6,6 +6,7 @@ import zlib
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from hopline.llm import fingerprints, language_id, license_scan, oracles, queries, sharding, source_mixing, token_ids
@@ -65,6 +66,44 @@ def test_language_held_out_accuracy(spark):
     assert (held.lang == held.lang_pred).mean() > 0.95
 
 
+def test_language_filters_against_plain_sets():
+    """The bit-sliced table against a set of slots for each language, gram by gram in plain Python."""
+    rng = np.random.default_rng(5)
+    names = ["aa", "bb", "cc"]
+    own = [rng.choice(np.arange(97, 123), (40, 3)) for _ in names]
+    code = lambda g: (int(g[0]) << 42) | (int(g[1]) << 21) | int(g[2])
+    slots = 1 << 9
+    mask = (1 << 64) - 1
+
+    def places(gram):
+        out = []
+        for seed in language_id._SEEDS[: language_id.HASHES].tolist():
+            h = gram * seed & mask
+            for _ in range(2):
+                h = (h ^ (h >> 32)) * 0xD6E8FEB86659FD93 & mask
+            out.append((h ^ (h >> 32)) >> (64 - 9))
+        return out
+
+    filled = [{p for g in grams for p in places(code(g))} for grams in own]
+    table = np.zeros((1, slots), np.uint64)
+    for bit, used in enumerate(filled):
+        table[0, list(used)] |= np.uint64(1 << bit)
+    rates = [(len(x) / slots) ** language_id.HASHES for x in filled]
+    model = language_id.Model(names, table, np.array(rates))
+    words = ["".join(map(chr, g)) for grams in own for g in grams]
+    texts = [" ".join(rng.choice(words, 12)) for _ in range(60)] + ["", "1 2", "q", None]
+    best, score = language_id.scores(model, pa.array(texts))
+    for text, b, s in zip(texts, best.tolist(), score.tolist()):
+        letters = "".join(c if c.isalpha() else " " for c in (text or "").lower())
+        line = " ".join(letters.split()) + " " if letters.strip() else ""
+        grams = [code([ord(c) for c in line[i : i + 3]]) for i in range(len(line) - 2)]
+        counts = [max(0.0, (sum(all(p in used for p in places(g)) for g in grams) - len(grams) * r) / (1 - r)) for used, r in zip(filled, rates)]
+        if not letters.strip():
+            assert (b, s) == (-1, 0.0)
+        elif max(counts) > 0:
+            assert abs(counts[b] - max(counts)) < 1e-9 and abs(s - min(1.0, max(counts) / len(grams))) < 1e-9
+
+
 def test_language_edges(spark):
     train = frame(spark, [(i, t, g, None) for i, (t, g) in enumerate([("the cat and the dog", "en"), ("der hund und die katze", "de")] * 20)])
     model = language_id.fit(train)
@@ -212,7 +251,25 @@ def test_fingerprints_against_brute_force(spark):
     assert found[-5][0][2] == found[3][0][2] or found[-5][0][2] == found[3][1][2]
 
 
-def test_fingerprints_extend_collided_digests(spark, monkeypatch):
+def test_fingerprints_extend_collided_digests(spark):
+    """A digest of the length alone collides for unlike texts; equal ones keep a common fingerprint."""
+    weak = lambda form: f"{len(form) % 3:032x}"
+    rows = [(i, t) for i, t in enumerate(["abc", "ABC ", "xyz", "four", "5", None, "abc", "none else is as long"])]
+    docs = frame(spark, rows)
+    wide = lambda t: hashlib.sha256(fingerprints.canonical(t or "")).hexdigest()
+    of: dict = {}
+    for _, t in rows:
+        of.setdefault(weak(fingerprints.canonical(t or "")), set()).add(wide(t))
+    expected = {i: (d := weak(fingerprints.canonical(t or ""))) + (f"-{wide(t)}" if len(of[d]) > 1 else "") for i, t in rows}
+    got = fingerprints.compared(docs, weak).collect()
+    assert {r.doc_id: r.fingerprint for r in got} == expected and len(set(expected.values())) == 6
+    assert {f for f, n in of.items() if len(n) > 1} == {r.fingerprint for r in fingerprints.collisions(docs, fingerprints.fingerprints(docs, weak).select("fingerprint"), weak).collect()}
+    texts = dict(rows)
+    after = {i: i - 1 if i else len(rows) - 1 for i in texts}
+    assert all(r.near_next == float(wide(texts[r.doc_id]) == wide(texts[after[r.doc_id]])) for r in got)
+
+
+def test_fingerprints_edges(spark):
     docs = frame(spark, [(1, "a"), (2, "A "), (3, "b")])
     assert fingerprints.collisions(docs, fingerprints.fingerprints(docs).select("fingerprint")).count() == 0
     one = fingerprints.compared(frame(spark, [(1, "solo text")])).collect()
@@ -221,6 +278,31 @@ def test_fingerprints_extend_collided_digests(spark, monkeypatch):
     assert oracles.licenses()
 
 
+CLASHES = "row hash gram place template n words bucket kind list low sketch group task weight key size rank slice shard depth lang_pred score target taken _hl print component id sha a b".split()
+
+
+def test_extra_columns_with_clashing_names(spark):
+    """Columns of any name change no result, and what passes rows on keeps them."""
+    rows = [(i, f"{'the cat and the dog ran ' * (i + 1)} number {i}\nunder the mit license", ["en", "de"][i % 2], ["x", None][i % 2]) for i in range(12)] + [(12, None, None, None), (3, "", "en", "x")]
+    plain = frame(spark, rows)
+    docs = plain.selectExpr("*", *[f"'x' as {c}" for c in CLASHES])
+    bench = spark.createDataFrame([(1, "the cat and the dog ran the cat and the dog ran number 0")], "item_id long, text string")
+    same = lambda f: sorted(map(str, f(docs).collect())) == sorted(map(str, f(plain).collect()))
+    from hopline.llm import decontaminate, line_dedup, minhash, substring_dedup
+
+    assert same(lambda x: line_dedup.deduplicated(x))
+    assert same(lambda x: language_id.predicted(x, language_id.fit(x)))
+    assert same(lambda x: source_mixing.mix(x))
+    assert same(lambda x: sharding.shards(x, 200))
+    assert same(lambda x: license_scan.scan(x))
+    assert same(lambda x: fingerprints.compared(x))
+    assert same(lambda x: substring_dedup.deduplicated(x))
+    assert same(lambda x: minhash.near_duplicates(x))
+    assert same(lambda x: decontaminate.hits(x, bench))
+    for kept in (language_id.accepted(docs, language_id.fit(docs), 0.0), minhash.one_of_each(docs), decontaminate.uncontaminated(docs, bench), source_mixing.mixed(docs)):
+        assert kept.columns == docs.columns and {tuple(r) for r in kept.collect()} <= {tuple(r) for r in docs.collect()}
+
+
 def test_scratch_tables_are_cleaned(spark):
     from pathlib import Path
 
