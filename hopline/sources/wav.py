@@ -2,7 +2,9 @@
 
 Reading gives path, sample_rate, channels, start_frame and pcm, a row for each ``blockFrames`` frames (65,536 unless set);
 ``firstFrame`` and ``frames`` read that range only, by seeking. Writing takes path (a file name), sample_rate, channels
-and pcm; each file is written under another name and renamed at commit.
+and pcm; each file is written under another name and renamed at commit. Paths are local or URIs of stores that pyarrow knows
+(file, hdfs, s3, gs), so a cluster reads and writes its shared store. For one that only Spark's own readers know, ``decoded``
+takes a ``binaryFile`` frame.
 """
 
 from __future__ import annotations
@@ -11,7 +13,6 @@ import os
 import struct
 import uuid
 from collections.abc import Iterator
-from glob import glob
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from hopline.storage import store
+
 SCHEMA = "path string, sample_rate int, channels int, start_frame long, pcm array<smallint>"
 
 
@@ -73,17 +76,33 @@ class File(InputPartition):
         self.path = path
 
 
+def _listed(path: str) -> list[tuple[str, int]]:
+    """(path in its store, size) of the WAV files under a folder, or of one file, or of those a pattern names in a folder."""
+    from fnmatch import fnmatch
+
+    from pyarrow import fs
+
+    files, at = store(path)
+    if "*" in at or "?" in at:
+        folder, pattern = at.rsplit("/", 1)
+        found = [f for f in files.get_file_info(fs.FileSelector(folder, allow_not_found=True)) if fnmatch(f.base_name, pattern)]
+    else:
+        info = files.get_file_info(at)
+        found = [info] if info.type == fs.FileType.File else [f for f in files.get_file_info(fs.FileSelector(at, recursive=True, allow_not_found=True)) if f.path.endswith(".wav")]
+    return sorted((f.path, f.size) for f in found if f.type == fs.FileType.File)
+
+
 class Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.options = options
 
     def partitions(self):
-        at = self.options["path"].removeprefix("file://")
-        return [File(p) for p in (sorted(glob(os.path.join(at, "**", "*.wav"), recursive=True)) if os.path.isdir(at) else sorted(glob(at)))]
+        return [File(p) for p, _ in _listed(self.options["path"])]
 
     def read(self, partition: File) -> Iterator[tuple]:
-        with open(partition.path, "rb") as f:
-            size = os.fstat(f.fileno()).st_size
+        files, _ = store(self.options["path"])
+        with files.open_input_file(partition.path) as f:
+            size = f.size()
             head = f.read(min(size, 1 << 16))
             try:
                 rate, channels, offset, length = parse_header(head if len(head) == size else _with_size(f, size))
@@ -115,31 +134,36 @@ class Written(WriterCommitMessage):
 
 class Writer(DataSourceWriter):
     def __init__(self, options: dict):
-        self.at = options["path"].removeprefix("file://")
+        self.path = options["path"]
 
     def write(self, rows) -> Written:
-        os.makedirs(self.at, exist_ok=True)
+        files, at = store(self.path)
+        files.create_dir(at, recursive=True)
         pairs = []
         for r in rows:
             if os.path.basename(r.path) != r.path or not r.path:
                 raise WavError(f"not a plain file name: {r.path}")
-            final = os.path.join(self.at, r.path)
+            final = f"{at.rstrip('/')}/{r.path}"
             own = f"{final}.{uuid.uuid4().hex}.part"
-            with open(own, "wb") as f:
+            with files.open_output_stream(own) as f:
                 f.write(wav_bytes(np.asarray(r.pcm, np.int16), r.sample_rate, r.channels))
             pairs.append((own, final))
         return Written(pairs)
 
     def commit(self, messages) -> None:
+        files, _ = store(self.path)
         for m in messages:
             for own, final in m.pairs if m else []:
-                os.replace(own, final)
+                files.move(own, final)
 
     def abort(self, messages) -> None:
+        from pyarrow import fs
+
+        files, _ = store(self.path)
         for m in messages:
             for own, _ in m.pairs if m else []:
-                if os.path.exists(own):
-                    os.remove(own)
+                if files.get_file_info(own).type != fs.FileType.NotFound:
+                    files.delete_file(own)
 
 
 class WavSource(DataSource):
@@ -161,8 +185,11 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(WavSource)
 
 
-def decoded(files: DataFrame) -> DataFrame:
-    """path, sample_rate, channels, start_frame, pcm, error of a ``binaryFile`` frame (path, content): for stores that only Spark reads. A bad file has its error and no samples."""
+def decoded(files: DataFrame, first_frame: int = 0, frames: int | None = None) -> DataFrame:
+    """path, sample_rate, channels, start_frame, pcm, error of a ``binaryFile`` frame (path, content), for stores that only Spark reads; all frames or a range (SC1, SC2).
+
+    A bad file, or one that lacks the range, has its error and no samples.
+    """
 
     def run(batches):
         for b in batches:
@@ -170,7 +197,11 @@ def decoded(files: DataFrame) -> DataFrame:
             for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
                 try:
                     rate, channels, offset, length = parse_header(content)
-                    rows.append((path, rate, channels, 0, np.frombuffer(content, "<i2", length // 2, offset).tolist(), None))
+                    there = length // (2 * channels)
+                    n = there - first_frame if frames is None else frames
+                    if first_frame < 0 or n < 0 or first_frame + n > there:
+                        raise WavError(f"no frames {first_frame} to {first_frame + n}")
+                    rows.append((path, rate, channels, first_frame, np.frombuffer(content, "<i2", n * channels, offset + 2 * channels * first_frame), None))
                 except WavError as e:
                     rows.append((path, None, None, None, None, str(e)))
             types = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int16()), pa.string()]

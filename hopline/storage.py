@@ -32,3 +32,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     at = scratch(df.sparkSession, name)
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def store(path: str):
+    """(pyarrow file system, path in it) of a local path or a URI of any store that pyarrow knows (file, hdfs, s3, gs); s3a is read as s3."""
+    from pyarrow import fs
+
+    path = path.replace("s3a://", "s3://", 1)
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
