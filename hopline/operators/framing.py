@@ -103,3 +103,24 @@ def neighbours(value: str, by: list[str], order: str, n: int = 2) -> tuple[Colum
 def played_sequence(initial: Column, frames_read: Column, hop: int) -> Column:
     """WN13: the window that a playback position belongs to; null before the first frame."""
     return F.when(frames_read > 0, initial + F.floor((frames_read - 1) / hop))
+
+
+def ring_audio(steps: DataFrame, pushes: DataFrame, by: list[str], stems: list[str], bucket_frames: int, channels: int = 2) -> DataFrame:
+    """by, frame, stem, result, pcm of each pop of a buffer: sound where it was given, else silence (ST8).
+
+    steps are what machines.Ring puts out, pushes (by, frame, stem, pcm) what was offered. Accepted pushes and pops are intervals of one
+    frame clock, so a pop's sound is cut from the pushes that it meets: an equi join on buckets of that clock.
+    """
+    slots = lambda a, b: F.explode(F.sequence(F.floor(a / bucket_frames), F.floor((b - 1) / bucket_frames))).alias("_hl_b")
+    taken = steps.where("op = 'push' and result = 'accepted'").select(*by, "frame", (F.col("total_written") - F.col("frames")).alias("_hl_a"), F.col("total_written").alias("_hl_e"))
+    blocks = taken.join(pushes, [*by, "frame"]).select(*by, "stem", "_hl_a", "_hl_e", "pcm", slots(F.col("_hl_a"), F.col("_hl_e")))
+    pops = steps.where("op = 'pop' and result <> 'refused'").select(*by, "frame", "result", "frames", (F.col("total_read") - F.col("frames")).alias("_hl_low"), F.col("total_read").alias("_hl_high"))
+    asked = pops.where("result = 'audio'").select(*by, "frame", "_hl_low", "_hl_high", slots(F.col("_hl_low"), F.col("_hl_high")))
+    low, high = F.greatest("_hl_a", "_hl_low"), F.least("_hl_e", "_hl_high")
+    met = asked.join(blocks, [*by, "_hl_b"]).where((high > low) & (F.floor(low / bucket_frames) == F.col("_hl_b")))  # each pair once
+    part = F.slice("pcm", (channels * (low - F.col("_hl_a")) + 1).cast("int"), (channels * (high - low)).cast("int"))
+    sound = met.groupBy(*by, "frame", "stem").agg(F.array_sort(F.collect_list(F.struct(low.alias("at"), part.alias("pcm")))).alias("parts"))
+    sound = sound.select(*by, "frame", "stem", F.flatten(F.transform("parts", lambda x: x["pcm"])).alias("_hl_pcm"))
+    every = pops.withColumn("stem", F.explode(F.array(*[F.lit(x) for x in stems])))
+    silence = F.array_repeat(F.lit(0).cast("smallint"), (channels * F.col("frames")).cast("int"))
+    return every.join(sound, [*by, "frame", "stem"], "left").select(*by, "frame", "stem", "result", F.coalesce("_hl_pcm", silence).alias("pcm"))

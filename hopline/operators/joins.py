@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hopline.storage import written
+from hopline.storage import scratch, written
 
 
 def group_state(expected: DataFrame, manifests: DataFrame, files: DataFrame, by: list[str]) -> DataFrame:
@@ -81,11 +81,13 @@ def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     Breadth first: each round joins only the nodes that are new and drops those seen, so cycles end it. The edges are written once,
     each round's nodes too, so no round depends on an earlier plan or on an executor that is gone.
     """
+    spark = edges.sparkSession
     e = written(edges.select(F.lower("parent").alias("parent"), F.lower("child").alias("child")).distinct(), "closure-edges")
-    fresh = written(seeds.select(F.lower("node").alias("node")).distinct(), "closure-nodes")
-    seen = fresh
-    while not fresh.isEmpty():
+    at, step = scratch(spark, "closure-nodes"), 0
+    read = lambda of: spark.read.schema("node string").parquet(f"{at}/{of}")
+    seeds.select(F.lower("node").alias("node")).distinct().write.parquet(f"{at}/0")
+    while not (fresh := read(step)).isEmpty():
         reached = fresh.join(e, fresh["node"] == e["parent"]).select(F.col("child").alias("node")).distinct()
-        fresh = written(reached.join(seen, "node", "left_anti"), "closure-nodes")
-        seen = seen.unionByName(fresh)
-    return seen
+        step += 1
+        reached.join(read("*"), "node", "left_anti").write.parquet(f"{at}/{step}")
+    return read("*")

@@ -68,6 +68,21 @@ def complete_groups(rows: DataFrame, by: list[str], stems: Column, frames: Colum
     return rows.groupBy(*by).agg(((names == F.array_sort(F.first(stems))) & (F.min(frames) == F.max(frames)) & (F.min(frames) > 0)).alias("complete"))
 
 
+def stacked(stems: list[Column], channels: int = 2) -> Column:
+    """The samples of several stems as more channels of one array, frame by frame, so that they are stitched and assembled together; null if their lengths differ (ST4, ST10)."""
+    frames = (F.size(stems[0]) / channels).cast("int")
+    whole = F.lit(True)
+    for x in stems[1:]:
+        whole = whole & (F.size(x) == F.size(stems[0]))
+    each = F.transform(F.sequence(F.lit(0), frames - 1), lambda f: F.concat(*[F.slice(x, channels * f + 1, F.lit(channels)) for x in stems]))
+    return F.when(whole, F.when(frames > 0, F.flatten(each)).otherwise(F.slice(stems[0], 1, 0)))
+
+
+def unstacked(pcm: Column, stems: int, number: int, channels: int = 2) -> Column:
+    """One stem of stacked() samples."""
+    return F.filter(pcm, lambda v, i: F.floor(i / channels) % stems == number)
+
+
 def crossfade(rows: DataFrame, by: list[str], sequence: str, hop: int, overlap: int, channels: int = 2) -> DataFrame:
     """rows with ``hop_pcm``: a hop of samples whose start fades from the previous row's tail to the row's own (WN2, ST10).
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hopline.functions import numeric
-from hopline.operators import cache, telemetry, timeline
+from hopline.operators import cache, framing, signal, telemetry, timeline
 from hopline.plans.bindings import NUMBERED, PCM, blocks, numbered_events, session_anchors
 from hopline.plans.registry import query
 from hopline.sources.tables import table
@@ -162,7 +162,7 @@ def session_states(spark, d):
     return out.groupBy("user_id", "event", "state", "refused").agg(F.count("*").alias("n"))
 
 
-@query(f"""
+_RING = f"""
 with recursive {NUMBERED},
 e as (select user_id, frame, case when event_type = 'view' then 'pop' else 'push' end as op, event_id % 7 + 1 as n from numbered),
 r as (
@@ -176,12 +176,33 @@ r as (
     from (select e.user_id, e.frame, e.op, e.n, r.buffered, r.total_written, r.total_read, r.underruns, r.minimum_buffered, r.playing,
         case when e.op = 'push' then case when e.n > 40 - r.buffered then 'full' else 'accepted' end when not r.playing and r.buffered < greatest(10, e.n) then 'prebuffering' when r.buffered >= e.n then 'audio' else 'underrun' end as result
       from r join e on e.user_id = r.user_id and e.frame = r.frame + 1) x) y)
-select user_id, op, result, buffered, total_written, total_read, underruns, minimum_buffered from r
-""")
+"""
+
+
+@query(_RING + "select user_id, frame, op, result, buffered, total_written, total_read, underruns, minimum_buffered from r")
 def ring_buffer(spark, d):
     """ST8, AG16: pushes and pops of each user's buffer by frame counts."""
     e = numbered_events(spark, d).select("user_id", "frame", F.when(F.col("event_type") == "view", "pop").otherwise("push").alias("op"), (F.col("event_id") % 7 + 1).alias("frames"))
-    return run.replay(e, "user_id", "frame", lambda: machines.Ring(40, 10), machines.Ring.OUT)
+    return run.replay(e, "user_id", "frame", lambda: machines.Ring(40, 10), machines.Ring.OUT).select("user_id", "frame", "op", "result", "buffered", "total_written", "total_read", "underruns", "minimum_buffered")
+
+
+@query(_RING + """,
+took as (select user_id, frame, n, total_written - n as a from r join e using (user_id, frame) where r.op = 'push' and result = 'accepted'),
+stream as (select user_id, flatten(list(list_transform(range(0, n), lambda i: frame * 3 + i) order by frame)) as v from took group by user_id),
+pops as (select r.user_id, r.frame, result, n, total_read - n as a from r join e using (user_id, frame) where r.op = 'pop'),
+x as (select pops.*, case when result = 'audio' then v[a + 1 : a + n] else list_transform(range(0, n), lambda i: 0) end as pcm from pops left join stream using (user_id))
+select user_id, frame, 'drums' as stem, result, len(pcm) as frames, pcm[1]::int as first_sample, list_sum(pcm)::bigint as total from x
+union all select user_id, frame, 'vocals', result, len(pcm), -pcm[1]::int, -list_sum(pcm)::bigint from x
+""")
+def ring_audio(spark, d):
+    """ST8 with sound: what each pop gives of the stems that were pushed, or silence."""
+    e = numbered_events(spark, d).select("user_id", "frame", F.when(F.col("event_type") == "view", "pop").otherwise("push").alias("op"), (F.col("event_id") % 7 + 1).alias("frames"))
+    steps = run.replay(e, "user_id", "frame", lambda: machines.Ring(40, 10), machines.Ring.OUT)
+    pcm = F.transform(F.sequence(F.lit(0), F.col("frames") - 1), lambda i: (F.col("frame") * 3 + i).cast("smallint"))
+    stems = F.explode(F.map_from_arrays(F.array(F.lit("drums"), F.lit("vocals")), F.array(pcm, F.transform(pcm, lambda v: (-v).cast("smallint")))))
+    pushes = e.where("op = 'push'").select("user_id", "frame", stems.alias("stem", "pcm"))
+    out = framing.ring_audio(steps, pushes, ["user_id"], ["drums", "vocals"], 16, channels=1)
+    return out.select("user_id", "frame", "stem", "result", F.size("pcm").cast("long").alias("frames"), F.get("pcm", F.lit(0)).cast("int").alias("first_sample"), F.aggregate("pcm", F.lit(0).cast("long"), lambda s, v: s + v).alias("total"))
 
 
 @query(f"""
@@ -226,7 +247,7 @@ def stream_windows(spark, d):
 
 
 def assembled(spark, d) -> DataFrame:
-    """Songs put together from consecutive windows; each label's vectors are one stream of hops of 24 frames, with 8 that overlap."""
+    """Songs of two stems put together from consecutive windows; each label's vectors are one stream of hops of 24 frames, with 8 that overlap."""
     b = blocks(spark, d)
     w = Window.partitionBy("label").orderBy("vec_id")
     s = b.withColumn("sequence", F.row_number().over(w)).withColumn("stream_start_frame", (F.col("sequence") - 1) * 24)
@@ -235,18 +256,23 @@ def assembled(spark, d) -> DataFrame:
     anchor = F.struct(
         (song + 1).cast("long").alias("revision"), n(1).alias("metadata_revision"), F.lit(True).alias("has_progress"), song.cast("long").alias("start_rtp"), n(0).alias("current_rtp"), n(96).alias("end_rtp"), (song * 96).cast("long").alias("anchor_stream_frame"),
         n(0).alias("track_position_frame"), n(96).alias("track_duration_frame"), F.concat(F.lit("song "), song.cast("string")).alias("title"), F.lit("a").alias("artist"), F.lit("b").alias("album"))
-    events = s.select("label", "sequence", "stream_start_frame", "pcm", F.array(anchor).alias("anchors"))
-    return run.replay(events, "label", "sequence", lambda: machines.Assembly(10, 24, 8), machines.Assembly.OUT)
+    half = F.transform("pcm", lambda v: F.floor(v / 2).cast("smallint"))
+    events = s.select("label", "sequence", "stream_start_frame", signal.stacked([F.col("pcm"), half]).alias("pcm"), F.array(anchor).alias("anchors"))
+    return run.replay(events, "label", "sequence", lambda: machines.Assembly(10, 24, 8, channels=4), machines.Assembly.OUT)
 
 
 @query(f"""
-with {PCM}, o as (select label, pcm, row_number() over w - 1 as seq, lag(pcm) over w as prev from blocks window w as (partition by label order by vec_id)),
-x as (select label, seq, unnest(range(0, 48)) as i, pcm, prev from o), v as (select label, seq, i, case when prev is null or i >= 16 then pcm[i + 1] else round(prev[48 + i + 1] + (pcm[i + 1] - prev[48 + i + 1]) * ((i // 2) / 7.0::double))::int end as v from x)
-select label, 0 as epoch, seq // 4 as start_rtp, seq // 4 + 1 as revision, 'song ' || seq // 4 as title, 96 as duration_frames, 0 as first_track_start_frame, 96 as frame_count, 0 as recoveries, 0 as misses, null::varchar as reason, sum(v * ((seq % 4) * 48 + i + 1))::bigint as weighted
-from v group by label, seq // 4 having count(*) = 192
+with {PCM}, b as (select label, vec_id, 0 as stem, pcm from blocks union all select label, vec_id, 1, list_transform(pcm, lambda x: floor(x / 2.0)::int) from blocks),
+o as (select label, stem, pcm, row_number() over w - 1 as seq, lag(pcm) over w as prev from b window w as (partition by label, stem order by vec_id)),
+x as (select label, stem, seq, unnest(range(0, 48)) as i, pcm, prev from o), v as (select label, stem, seq, i, case when prev is null or i >= 16 then pcm[i + 1] else round(prev[48 + i + 1] + (pcm[i + 1] - prev[48 + i + 1]) * ((i // 2) / 7.0::double))::int end as v from x)
+select label, 0 as epoch, seq // 4 as start_rtp, seq // 4 + 1 as revision, 'song ' || seq // 4 as title, 96 as duration_frames, 0 as first_track_start_frame, 96 as frame_count, 0 as recoveries, 0 as misses, null::varchar as reason, sum(v * ((seq % 4) * 48 + i + 1)) filter (stem = 0)::bigint as weighted, sum(v * ((seq % 4) * 48 + i + 1)) filter (stem = 1)::bigint as half_weighted
+from v group by label, seq // 4 having count(*) = 384
 """)
 def song_assembly(spark, d):
-    """ST4, ST5, ST3: whole songs out of stitched hops, their samples summed by place."""
-    places = F.transform("pcm", lambda v, i: v.cast("long") * (i + 1))
-    weighted = F.when(F.col("pcm").isNotNull(), F.aggregate(places, F.lit(0).cast("long"), lambda s, v: s + v))
-    return assembled(spark, d).select("label", "epoch", "start_rtp", "revision", "title", "duration_frames", "first_track_start_frame", "frame_count", "recoveries", "misses", "reason", weighted.alias("weighted"))
+    """ST4, ST5, ST3: whole songs out of stitched hops of two stems, each stem's samples summed by place."""
+
+    def weighted(number: int) -> Column:
+        places = F.transform(signal.unstacked(F.col("pcm"), 2, number), lambda v, i: v.cast("long") * (i + 1))
+        return F.when(F.col("pcm").isNotNull(), F.aggregate(places, F.lit(0).cast("long"), lambda s, v: s + v))
+
+    return assembled(spark, d).select("label", "epoch", "start_rtp", "revision", "title", "duration_frames", "first_track_start_frame", "frame_count", "recoveries", "misses", "reason", weighted(0).alias("weighted"), weighted(1).alias("half_weighted"))

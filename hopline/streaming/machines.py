@@ -74,15 +74,17 @@ class Ring:
     """The synchronised buffer by its frame counts (ST8, AG16). Events: push or pop with frames; a push also says whether all stems are there.
 
     A push is all or nothing. Output starts once ``prebuffer`` frames are in; a pop that finds too few is an underrun, and the
-    buffer fills up again before it goes on.
+    buffer fills up again before it goes on. The event's ``frame``, its place in the session, is put out too, and what the last underrun
+    found. The sound itself is cut by framing.ring_audio() out of these counts.
     """
 
-    OUT = "op string, result string, buffered long, total_written long, total_read long, underruns long, minimum_buffered long"
+    OUT = "frame long, op string, result string, frames long, buffered long, total_written long, total_read long, underruns long, minimum_buffered long, last_underrun_buffered long, last_underrun_total_read long"
 
     def __init__(self, capacity: int, prebuffer: int):
         self.capacity, self.prebuffer = capacity, prebuffer
         self.buffered = self.written = self.read = self.underruns = 0
         self.least: int | None = None
+        self.last: tuple = (None, None)
         self.playing = False
 
     def step(self, row: dict) -> list[dict]:
@@ -105,9 +107,11 @@ class Ring:
                 self.read += n
             else:
                 self.underruns += 1
+                self.last = (self.buffered, self.read)
             if self.read:
                 self.least = self.buffered if self.least is None else min(self.least, self.buffered)
-        return [{"op": op, "result": result, "buffered": self.buffered, "total_written": self.written, "total_read": self.read, "underruns": self.underruns, "minimum_buffered": self.least}]
+        last = {"last_underrun_buffered": self.last[0], "last_underrun_total_read": self.last[1]}
+        return [{"frame": row.get("frame"), "op": op, "result": result, "frames": n, **last, "buffered": self.buffered, "total_written": self.written, "total_read": self.read, "underruns": self.underruns, "minimum_buffered": self.least}]
 
 
 class Loader:

@@ -292,6 +292,8 @@ def test_states_sets_and_closure(spark):
     assert {r.q: r.state for r in states.collect()} == {1: "ready", 2: "skipped", 3: "waiting"}
     edges = one(spark, "parent string, child string", ("A", "b"), ("B", "c"), ("c", "a"), ("x", "y"))
     assert sorted(r.node for r in joins.closure(edges, one(spark, "node string", ("a",))).collect()) == ["a", "b", "c"]
+    chain = spark.range(70).selectExpr("cast(id as string) as parent", "cast(id + 1 as string) as child")
+    assert joins.closure(chain, one(spark, "node string", ("3",))).count() == 68
     assert value(spark, joins.same_set(F.array(F.lit(1), F.lit(2)), F.array(F.lit(2), F.lit(1)))) is True
 
 
@@ -345,6 +347,10 @@ def test_wav_source(spark, tmp_path):
     assert [r.start_frame for r in rows] == [0, 8, 16] and sum((r.pcm for r in rows), []) == pcm
     part = spark.read.format("wav_pcm16").option("firstFrame", 3).option("frames", 2).load(str(tmp_path)).first()
     assert part.pcm == pcm[6:10]
+    assert spark.read.format("wav_pcm16").load(f"file://{tmp_path}/*.wav").first().pcm == pcm
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    assert wav.decoded(files, 3, 2).select("pcm", "start_frame").first()[:] == (pcm[6:10], 3)
+    assert wav.decoded(files, 3, 99).first().error == "no frames 3 to 102"
     own = spark.createDataFrame([(10, 2, pcm)], f"sample_rate int, channels int, pcm {ARRAY}")
     assert bytes(wav.encoded(own).first().content) == wav.wav_bytes(np.array(pcm), 10, 2)
     (tmp_path / "bad.wav").write_bytes(b"RIFFxxxx")
