@@ -52,8 +52,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Bytes of input, as Spark estimates them, for which a partition of text is meant.
+PARTITION_BYTES = 512 << 20
+
+
+def partitions(docs: DataFrame) -> int:
+    """spark.sql.shuffle.partitions, or more where the tables that docs comes from are too large for so few: a partition for each PARTITION_BYTES."""
+    leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    own = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(own, -(-size // PARTITION_BYTES)) if size < 1 << 60 else own  # rows that are no files have no size
 
 
 def in_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:

@@ -104,7 +104,7 @@ def edited(docs: DataFrame, digest=digest) -> DataFrame:
     descending doc_id order; the first document follows the last. Texts are shuffled once, to ranges of doc_id; the first
     document of a range goes to the range before it too.
     """
-    shards = 2 * partitions(docs.sparkSession)
+    shards = 2 * partitions(docs)
     bounds, first, before = _places(docs, shards)
 
     def deal(batches):

@@ -326,7 +326,7 @@ def _across(members: DataFrame, components: DataFrame, bound: int) -> DataFrame:
 
 def candidates(nodes: DataFrame, percent: int, k: int) -> DataFrame:
     """Edges a, b between candidates: stars of the candidate clusters of each list."""
-    n = partitions(nodes.sparkSession)
+    n = partitions(nodes)
     entries, long_lists = _entries(nodes, percent)
 
     def edges(rows: DataFrame) -> DataFrame:
@@ -401,7 +401,7 @@ def _families(docs: DataFrame, families: DataFrame, shingle: int, percent: int)
         return _edges(ids[order], family_links(table.take(pa.array(order)).combine_chunks().column("text").chunk(0), shingle, percent))
 
     texts = _rows(docs).mapInArrow(thin, "id long, print binary, text string")
-    n = partitions(spark)
+    n = partitions(docs)
 
     def links(tasks: DataFrame, few: bool) -> DataFrame:
         tasks = tasks.select("id", "print", "task").distinct()

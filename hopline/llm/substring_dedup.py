@@ -208,7 +208,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 def marks(docs: DataFrame, window: int = WINDOW, m: int = M) -> DataFrame:
     """A row for each document: id, print, n_words, copies (equal rows), sha (of all its words), ranges (of words to remove)."""
-    buckets = 2 * partitions(docs.sparkSession)
+    buckets = 2 * partitions(docs)
     packed = _rows(docs).mapInArrow(_pack(window, m, buckets), BLOBS)
     found = packed.repartitionById(buckets, F.col("bucket")).mapInArrow(_sorted_windows(window), MARKS)  # a bucket is a partition
     info, cover = F.col("kind") == 1, F.col("kind") == 2

@@ -160,7 +160,7 @@ def write(docs: DataFrame, out: str, tokenizer: str, end_id: int = END_ID, lengt
     half-written shard.
     """
     spark = docs.sparkSession
-    n = shards or partitions(spark)
+    n = shards or partitions(docs)
 
     def shard(batches):
         from pyspark import TaskContext
@@ -250,7 +250,7 @@ def read(manifest: DataFrame) -> DataFrame:
                     yield pa.record_batch([part.column("doc_id"), pa.array(offs + s["first"]), pa.array(counts), pa.array(crc, pa.int64()), pa.array([s["shard"]] * len(crc), pa.int32()), pa.array(offs)], ["doc_id", "start", "n_tokens", "ids_crc32", "shard", "offset"])
         release_memory()
 
-    n = max(1, min(partitions(manifest.sparkSession), 4096))
+    n = max(1, min(partitions(manifest), 4096))
     return shards.repartition(n, "shard").mapInArrow(docs, "doc_id long, start long, n_tokens long, ids_crc32 long, shard int, offset long")
 
 
