@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from hopline.llm._shared import bloom, in_bloom, partitions, written
 from hopline.llm.components import connected
-from hopline.llm.textvec import LOWER, Words, chunks, flatten, flatten_binary, groups, release_memory
+from hopline.llm.textvec import LOWER, Words, chunks, flatten, flatten_binary, gather, groups, release_memory
 
 SHINGLE, PERCENT = 5, 80
 K, P = 64, 32
@@ -355,24 +355,47 @@ def candidates(nodes: DataFrame, percent: int, k: int) -> DataFrame:
 
 
 def family_links(texts: pa.Array, shingle: int, percent: int) -> Forest:
-    """Documents joined by exact Jaccard of their full sets."""
+    """Documents joined by exact Jaccard of their full sets.
+
+    Two sets at the threshold share one of their rarest shingles, of as many as may be missing and one more: only such pairs are
+    counted. Rarity is that in the family.
+    """
     values, cut = shingle_sets(texts, shingle)
     n, sizes = len(texts), np.diff(cut)
     forest = Forest(n)
     codes = np.unique(values, return_inverse=True)[1]
-    marked = np.zeros(int(codes.max(initial=0)) + 1, np.int64)
-    held = {"ids": np.arange(n), "codes": codes, "starts": cut[:-1]}
+    total = int(codes.max(initial=-1)) + 1
+    owner = np.repeat(np.arange(n), sizes)
+    order = np.lexsort((codes, np.bincount(codes, minlength=total)[codes], owner))
+    place = np.arange(len(codes)) - np.repeat(cut[:-1], sizes)
+    head = order[place < np.repeat(sizes + 1 + (-sizes * percent // 100), sizes)]
+    first = np.searchsorted(owner[head], np.arange(n + 1))
+    by = head[np.argsort(codes[head], kind="stable")]
+    starts, holders = np.searchsorted(codes[by], np.arange(total + 1)), owner[by]
+    marked, may = np.zeros(total, np.uint8), np.zeros(n, bool)
 
     def linked(y: int, left: np.ndarray) -> np.ndarray:
-        if 2 * len(left) < len(held["ids"]):
-            parts = [codes[cut[i] : cut[i + 1]] for i in left.tolist()]
-            held.update(ids=left, codes=np.concatenate(parts), starts=np.cumsum([0] + [len(x) for x in parts[:-1]]))
+        out = np.zeros(len(left), bool)
+        at = np.arange(len(left))
+        own = codes[head[first[y] : first[y + 1]]]
+        met = starts[own + 1] - starts[own]
+        if met.sum() < 4 * len(left):
+            near = gather(holders, starts[own], met)
+            may[near] = True
+            at = np.flatnonzero(may[left])
+            may[near] = False
+        part = left[at]
+        fits = 100 * np.minimum(sizes[part], sizes[y]) >= percent * np.maximum(sizes[part], sizes[y])
+        at, part = at[fits], part[fits]
+        if not len(part):
+            return out
         own = codes[cut[y] : cut[y + 1]]
         marked[own] = 1
-        shared = np.add.reduceat(marked[held["codes"]], held["starts"])
+        ends = np.cumsum(sizes[part])
+        shared = np.add.reduceat(marked[gather(codes, cut[part], sizes[part])], ends - sizes[part], dtype=np.int64)
         marked[own] = 0
-        shared = shared[np.searchsorted(held["ids"], left)]
-        return 100 * shared >= percent * (sizes[left] + sizes[y] - shared)
+        out[at] = 100 * shared >= percent * (sizes[part] + sizes[y] - shared)
+        return out
 
     _search(np.arange(n), forest, linked)
     return forest

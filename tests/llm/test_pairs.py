@@ -166,6 +166,31 @@ def test_large_lists_search():
     assert len({forest.root(i) for i in range(501)}) == 201
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_families_equal_all_pairs(seed):
+    rng = random.Random(seed)
+    rows = []
+    common = [f"c{i}" for i in range(rng.randint(0, 80))]
+    for _ in range(rng.randint(1, 8)):
+        base = common + [f"w{rng.randint(0, 60)}" for _ in range(rng.randint(0, 80))]
+        for _ in range(rng.randint(1, 12)):
+            w = list(base)
+            for _ in range(rng.randint(0, 6) if w else 0):
+                w[rng.randrange(len(w))] = f"x{rng.randint(0, 30)}"
+            rows.append(" ".join(w) or "one")
+    for n, percent in ((3, 85), (5, 80), (1, 60)):
+        values, cut = minhash.shingle_sets(pa.array(rows), n)
+        sets = [set(values[a:b].tolist()) for a, b in zip(cut[:-1], cut[1:])]
+        want = minhash.Forest(len(rows))
+        for i in range(len(rows)):
+            for j in range(i):
+                k = len(sets[i] & sets[j])
+                if k and 100 * k >= percent * (len(sets[i]) + len(sets[j]) - k):
+                    want.join(i, j)
+        got = minhash.family_links(pa.array(rows), n, percent)
+        assert [got.root(i) for i in range(len(rows))] == [want.root(i) for i in range(len(rows))]
+
+
 def test_rare_values_meet_without_the_common_ones(spark):
     """Pages that share a quarter of their shingles enter no common list; near copies among them do."""
     rng = random.Random(8)
