@@ -5,7 +5,8 @@ from __future__ import annotations
 from hopline.llm import license_scan as lic
 from hopline.llm import source_mixing as mix
 
-MIXING = rf"""
+def mixing() -> str:
+    return rf"""
 with sizes as (
   select row_number() over () as rid, doc_id, source,
     len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
@@ -23,25 +24,28 @@ levels as (
 full_ones as (select *, cap / weight <= level as is_full from levels),
 set_levels as (select *, max(case when not is_full then level end) over () as lam from full_ones),
 goals as (select source, rank, source_size, total, case when is_full then cap else lam * weight end as target from set_levels),
+fines as (select *, greatest(1, least({mix.BLOCK}, floor(min(case when target > 0 then target end) over () / {mix.FINE})))::bigint as fine from goals),
 blocks as (
-  select *, greatest(1, ceil(total / {mix.SLOTS}), least({mix.BLOCK}, floor(min(case when target > 0 then target end) over () / {mix.FINE})))::bigint as block,
+  select *, greatest(fine, ceil(total / {mix.SLOTS}))::bigint as block, greatest(fine, ceil(total / {mix.SLOTS})) > fine and target < {mix.FINE} * greatest(fine, ceil(total / {mix.SLOTS})) as exact,
     sum(target) over (order by rank rows unbounded preceding) / sum(target) over () as high,
-    (sum(target) over (order by rank rows unbounded preceding) - target) / sum(target) over () as low, sum(target) over () as all_targets from goals),
+    (sum(target) over (order by rank rows unbounded preceding) - target) / sum(target) over () as low, sum(target) over () as all_targets from fines),
 slots as (select unnest(range(round(max(all_targets) / max(block))::bigint)) as slot from blocks),
 points as (select slot, (slot + 0.5::double) * 0.6180339887498949::double - floor((slot + 0.5::double) * 0.6180339887498949::double) as u from slots),
 mapped as (
   select slot, rank, ceil(source_size / block)::bigint as n, row_number() over (partition by rank order by slot) - 1 as r
-  from points join blocks on u >= low and u < high where target > 0),
+  from points join blocks on u >= low and u < high where target > 0 and not exact),
 times as (select rank, r % n as block_no, count(*) as times from mapped where r // n < {mix.CAP} group by all),
 placed as (
-  select s.*, b.rank, b.source_size, b.target, b.block,
+  select s.*, b.rank, b.source_size, b.target, b.block, b.exact,
     coalesce(sum(size) over (partition by b.rank order by h, doc_id, size, rid rows between unbounded preceding and 1 preceding), 0)::bigint as start
   from sizes s join blocks b on s.source is not distinct from b.source),
 pieces as (select *, unnest(range(start // block, (start + size - 1) // block + 1)) as block_no from placed where size > 0),
 taken as (
   select rid, sum((least(start + size, (p.block_no + 1) * block) - greatest(start, p.block_no * block)) * times)::bigint as taken
   from pieces p join times t on p.rank = t.rank and p.block_no = t.block_no group by rid)
-select doc_id, size, source_size, target, coalesce(taken, 0)::bigint as taken from placed left join taken using (rid)
+select doc_id, size, source_size, target,
+  case when exact and size > 0 then (round(target)::bigint // source_size) * size + greatest(0, least(size, round(target)::bigint % source_size - start)) else coalesce(taken, 0) end::bigint as taken
+from placed left join taken using (rid)
 """
 
 

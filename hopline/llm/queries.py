@@ -70,4 +70,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_source_mixing": oracles.MIXING, "op5_sharding": oracles.sharding(SHARD_BYTES), "op6_license_scan": oracles.licenses()}
+    return {"op4_source_mixing": oracles.mixing(), "op5_sharding": oracles.sharding(SHARD_BYTES), "op6_license_scan": oracles.licenses()}

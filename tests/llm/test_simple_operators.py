@@ -141,6 +141,15 @@ def test_sql(spark, name):
     assert rows_of(queries.queries()[name](spark, SF).toPandas()) == rows_of(con.execute(queries.oracle_sql()[name]).df())
 
 
+def test_mixing_sql_with_sources_taken_exactly(spark, monkeypatch):
+    monkeypatch.setattr(source_mixing, "SLOTS", 1 << 11)
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    got = queries.op4_source_mixing(spark, SF).toPandas()
+    assert rows_of(got) == rows_of(con.execute(oracles.mixing()).df())
+    assert source_mixing.targets(source_mixing.mix(table(spark)).selectExpr("source", "size")).where("exact").count() > 0
+
+
 EDGES = [(None, None), (1, ""), (2, "a b c"), (2, "a b c"), (2, "other"), (3, "word " * 3000), (4, "x")]
 
 
