@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -13,24 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hopline.storage import shared_dir
+
 #: At most so many bits, 8 MB, are broadcast for a Bloom filter. A fuller filter lets more rows through; none is lost.
 BLOOM_BITS = 1 << 26
 _made: list[str] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir. Where it is unset, a local session gets a folder of its own."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
-        own = tempfile.mkdtemp(prefix="hopline-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        at = f"file://{own}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; clean() takes it away."""
     at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"

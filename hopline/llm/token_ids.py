@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from hopline.llm._shared import blank, partitions, scratch
 from hopline.llm.textvec import KEPT, release_memory
+from hopline.storage import store as store_of
 
 END_ID = 2
 LENGTH = 2048
@@ -127,14 +128,6 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def _store(path: str):
-    """(file system, path in it) by pyarrow, for any store that it knows."""
-    from pyarrow import fs
-
-    path = path.replace("s3a://", "s3://", 1)
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-
-
 def _texts(batch: pa.RecordBatch, size: int = CHARS) -> Iterator[tuple[list, list[str]]]:
     """doc_ids and texts, about ``size`` characters at a time."""
     ids, texts, held = [], [], 0
@@ -171,7 +164,7 @@ def write(docs: DataFrame, out: str, tokenizer: str, end_id: int = END_ID, lengt
         ids_type, mask_type = pa.list_(kind, length), pa.list_(pa.bool_(), length)
         schema = pa.schema([("ids", ids_type), ("mask", mask_type)])
         where = pa.schema([("doc_id", pa.int64()), ("offset", pa.int64()), ("n_tokens", pa.int64())])
-        store, root = _store(out)
+        store, root = store_of(out)
         names = [f"{root}/part-{k:06d}.{x}" for x in ("arrow", "docs.arrow")]
         own = [f"{x}.{uuid.uuid4().hex}" for x in names]
         end = np.array([end_id], enc.dtype).tobytes()
@@ -213,7 +206,7 @@ def write(docs: DataFrame, out: str, tokenizer: str, end_id: int = END_ID, lengt
 def _open(path: str) -> pa.ipc.RecordBatchFileReader:
     from pyarrow import fs
 
-    store, at = _store(path)
+    store, at = store_of(path)
     return pa.ipc.open_file(pa.memory_map(at) if isinstance(store, fs.LocalFileSystem) else store.open_input_file(at))
 
 
