@@ -57,7 +57,7 @@ def test_mixing_stage(stages, tmp_path):
     rows = stages["decontamination"].toPandas()
     con = duckdb.connect()
     con.register("documents", rows)
-    taken = con.execute(oracles.MIXING).df()
+    taken = con.execute(oracles.mixing()).df()
     want = Counter({int(r.doc_id): math.floor(r.taken / r.size + 0.5) for r in taken.rename(columns={"size": "n"}).assign(size=taken["size"]).itertuples() if r.size})
     assert Counter(r.doc_id for r in stages["source_mixing"].collect()) == +want
 
