@@ -24,11 +24,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     return at
 
 
+def discard(spark: SparkSession, at: str) -> None:
+    """Delete a scratch table that nothing reads any more."""
+    _made.remove(at)
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clean(spark: SparkSession) -> None:
     """Delete the scratch tables that this driver has made. Results that still read them must be written before."""
     while _made:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        discard(spark, _made[-1])
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -98,3 +98,38 @@ select doc_id, len(w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base,
   coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0)::double as score
 from docs left join per using (rid)
 """
+
+
+def centroids(k: int = 40, rounds: int = 5, dims: int = 64, scale: int = 256, seed: int = 2) -> str:
+    """Full scans in whole numbers; for components that keep distances within 64 bits."""
+    steps = [
+        f"""
+vectors as (
+  select row_number() over () as rid, vec_id, list_transform(embedding, lambda x: floor({scale} * x::double)::bigint) as v
+  from embeddings where len(embedding) = {dims} and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+starts as (select v, row_number() over (order by sha256('{seed}:' || vec_id::varchar) nulls last, v) - 1 as cluster from vectors),
+at0 as (select cluster, v as place from starts where cluster < {k})"""
+    ]
+    for i in range(rounds + 1):
+        steps.append(
+            f"""
+near{i} as (
+  select rid, min(list_sum(list_transform(range(1, {dims + 1}), lambda j: (v[j] - place[j]) * (v[j] - place[j])))::hugeint * 1000000 + cluster) as best
+  from vectors, at{i} group by rid),
+own{i} as (select vec_id, v, (best % 1000000)::bigint as cluster, (best // 1000000)::bigint as distance from near{i} join vectors using (rid))"""
+        )
+        if i < rounds:
+            steps.append(
+                f"""
+parts{i} as (select cluster, j, sum(v[j])::hugeint as s, count(*)::hugeint as n from own{i}, range(1, {dims + 1}) r(j) group by cluster, j),
+moved{i} as (select cluster, list(((s - ((s % n) + n) % n) // n)::bigint order by j) as place from parts{i} group by cluster),
+at{i + 1} as (select cluster, coalesce(moved{i}.place, at{i}.place) as place from at{i} left join moved{i} using (cluster))"""
+            )
+    return (
+        "with "
+        + ",".join(steps)
+        + f"""
+select vec_id, cluster::int as cluster, distance, sum(distance) over (partition by cluster)::bigint as cluster_inertia, sum(distance) over ()::bigint as inertia,
+  sha256(array_to_string(place, ',')) as centroid_sha256
+from own{rounds} join at{rounds} using (cluster)"""
+    )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopline.llm import decontaminate, fingerprints, language_id, license_scan, line_dedup, minhash, oracles, sharding, source_mixing, substring_dedup, token_ids
+from hopline.llm import centroids, decontaminate, fingerprints, language_id, license_scan, line_dedup, minhash, oracles, sharding, source_mixing, substring_dedup, token_ids, whitening
 
 #: Bytes of text in a shard, at most.
 SHARD_BYTES = 1 << 20
@@ -65,9 +65,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.by_component(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.clusters(_table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", centroids.digest().alias("centroid_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_source_mixing": oracles.mixing(), "op5_sharding": oracles.sharding(SHARD_BYTES), "op6_license_scan": oracles.licenses()}
+    return {"op4_source_mixing": oracles.mixing(), "op5_sharding": oracles.sharding(SHARD_BYTES), "op6_license_scan": oracles.licenses(), "op13_centroids": oracles.centroids()}
