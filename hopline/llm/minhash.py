@@ -91,8 +91,9 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), "text")
 
 
-def sketches(docs: DataFrame, shingle: int = SHINGLE, k: int = K, p: int = P) -> DataFrame:
-    """id, n_shingles, print (128 bits of the whole set, null if empty), low (the p least values), sketch (32 bits of each of the k least, padded)."""
+def sketches(docs: DataFrame, shingle: int = SHINGLE, k: int = K, p: int = P, percent: int = PERCENT) -> DataFrame:
+    """id, n_shingles, print (128 bits of the whole set, null if empty), low (the p least values), take (how many of them are lists), sketch (32 bits of
+    each of the k least, padded)."""
 
     def sketch(batches):
         for batch in chunks(batches):
@@ -101,9 +102,10 @@ def sketches(docs: DataFrame, shingle: int = SHINGLE, k: int = K, p: int = P) ->
             prints = [xxhash.xxh3_128_digest(values[a:b].tobytes()) if b > a else None for a, b in spans]
             low = pa.array([values[a : min(b, a + p)].view(np.int64) for a, b in spans], pa.list_(pa.int64()))
             heads = (values >> np.uint64(32)).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(cut)), pa.array(prints, pa.binary()), low, pa.array([heads[a : min(b, a + k)].tobytes().ljust(4 * k, b"\xff") for a, b in spans], pa.binary())], ["id", "n_shingles", "print", "low", "sketch"])
+            take = prefix_length(np.minimum(np.diff(cut), p), percent, p)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(cut)), pa.array(prints, pa.binary()), low, pa.array(take, pa.int32()), pa.array([heads[a : min(b, a + k)].tobytes().ljust(4 * k, b"\xff") for a, b in spans], pa.binary())], ["id", "n_shingles", "print", "low", "take", "sketch"])
 
-    return _rows(docs).mapInArrow(sketch, "id long, n_shingles long, print binary, low array<long>, sketch binary")
+    return _rows(docs).mapInArrow(sketch, "id long, n_shingles long, print binary, low array<long>, take int, sketch binary")
 
 
 def _union_estimates(one: np.ndarray, many: np.ndarray, k: int) -> np.ndarray:
@@ -209,9 +211,22 @@ def _edges(ids: np.ndarray, forest: Forest) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays([pa.array([int(x) for x in c], pa.int64()) for c in zip(*pairs)], ["a", "b"]) if pairs else None
 
 
-def _list_edges(percent: int, k: int):
+class Estimates:
+    """Which sketches may belong to sets at the threshold: by the union sketch's estimate of Jaccard."""
+
+    def __init__(self, percent: int, k: int):
+        self.percent, self.k = percent, k
+
+    def pairs(self, sizes: np.ndarray, sketch: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return _union_estimates(sketch[a], sketch[b], self.k) >= _least_estimate(self.percent, self.k)
+
+    def clusters(self, sizes: np.ndarray, sketch: np.ndarray) -> Forest:
+        return list_candidates(sizes, sketch, self.percent, self.k)
+
+
+def _list_edges(percent: int, score):
     """Batches of list, id, n_shingles, sketch sorted by list: a, b for the stars of the candidate clusters of each list."""
-    least, ratio = _least_estimate(percent, k), percent / 100 - 1e-9
+    ratio = percent / 100 - 1e-9
 
     def solve(lists: np.ndarray, ids: np.ndarray, sizes: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
         cut = groups(lists)
@@ -219,12 +234,12 @@ def _list_edges(percent: int, k: int):
         one = cut[:-1][n == 2]  # most lists have two members
         near = np.minimum(sizes[one], sizes[one + 1]) >= ratio * np.maximum(sizes[one], sizes[one + 1])
         one = one[near & (ids[one] != ids[one + 1])]
-        one = one[_union_estimates(sketch[one], sketch[one + 1], k) >= least] if len(one) else one
+        one = one[score.pairs(sizes, sketch, one, one + 1)] if len(one) else one
         found = [np.stack([ids[one], ids[one + 1]])]
         for i in np.flatnonzero(n > 2).tolist():
             at = np.arange(cut[i], cut[i + 1])
             at = at[np.lexsort((ids[at], sizes[at]))]
-            forest = list_candidates(sizes[at], sketch[at], percent, k)
+            forest = score.clusters(sizes[at], sketch[at])
             roots = np.array([forest.root(j) for j in range(len(at))])
             found.append(np.stack([ids[at], ids[at[roots]]]))
         both = np.concatenate(found, 1)
@@ -238,7 +253,7 @@ def _list_edges(percent: int, k: int):
             if not batch.num_rows:
                 continue
             data, _ = flatten_binary(batch.column("sketch"))
-            rows = (batch.column("list").to_numpy(), batch.column("id").to_numpy(), batch.column("n_shingles").to_numpy(), data.view(np.uint32).reshape(-1, k))
+            rows = (batch.column("list").to_numpy(), batch.column("id").to_numpy(), batch.column("n_shingles").to_numpy(), data.view(np.uint32).reshape(batch.num_rows, -1))
             last = int(np.searchsorted(rows[0], rows[0][-1]))
             if kept and (last or kept[0][0][0] != rows[0][-1]):
                 yield solve(*[np.concatenate(x) for x in zip(*kept, tuple(c[:last] for c in rows))])
@@ -254,19 +269,18 @@ def _list_edges(percent: int, k: int):
     return run
 
 
-def _entries(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(list, id, n_shingles, sketch for the lists of each node's rarest values, those in one node alone left out; long lists: list, n)."""
+def _entries(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(list, id, n_shingles, sketch for the lists of each node's ``take`` rarest values, those in one node alone left out; long lists: list, n)."""
     spark = nodes.sparkSession
     counts = written(nodes.select(F.explode("low").alias("list")).groupBy("list").agg(F.count("*").alias("n")).where("n > 1"), "list-sizes")
     hot = counts.where(F.col("n") > HOT)
     n_hot, repeated, long_lists = counts.agg(F.count_if(F.col("n") > HOT), F.count("*"), F.count_if(F.col("n") > LIST)).first()
     long_lists = hot.where(F.col("n") > LIST) if long_lists else None
     if n_hot > FEW_HOT or repeated > MANY:
-        values = nodes.select("id", F.size("low").alias("of"), F.explode("low").alias("list")).join(counts, "list", "left")
-        order = Window.partitionBy("id").orderBy(F.when(F.col("n") > HOT, F.col("n")).otherwise(0), "list")
-        need = F.least(F.lit(_overlap(percent, P)), F.ceil(F.col("of") * percent / 100))
-        rare = values.withColumn("place", F.row_number().over(order)).where((F.col("place") <= F.col("of") - need + 1) & F.col("n").isNotNull())
-        return rare.select("list", "id").join(nodes.select("id", "n_shingles", "sketch"), "id").select("list", "id", "n_shingles", "sketch"), long_lists
+        values = nodes.select("id", "part", "take", F.explode("low").alias("list")).join(counts, "list", "left")
+        order = Window.partitionBy("id", "part").orderBy(F.when(F.col("n") > HOT, F.col("n")).otherwise(0), "list")
+        rare = values.withColumn("place", F.row_number().over(order)).where((F.col("place") <= F.col("take")) & F.col("n").isNotNull())
+        return rare.select("list", "id").join(_payload(nodes), "id").select("list", "id", "n_shingles", "sketch"), long_lists
     table = hot.toArrow().sort_by("list")
     sent = spark.sparkContext.broadcast((table.column("list").to_numpy(), table.column("n").to_numpy(), bloom(counts.select("list"), repeated)))
 
@@ -282,12 +296,16 @@ def _entries(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
             weight = np.where(values[at] == lists, numbers[at], 0) if len(values) else np.zeros(len(lists), np.int64)
             order = np.lexsort((lists, weight, owner))
             place = np.arange(len(lists)) - np.repeat(np.cumsum(n) - n, n)
-            take = order[place < np.repeat(prefix_length(n, percent, P), n)]
+            take = order[place < np.repeat(batch.column("take").to_numpy(), n)]
             take = take[in_bloom(again, lists[take])]
             rows = pa.array(owner[take])
             yield pa.RecordBatch.from_arrays([pa.array(lists[take]), *[batch.column(c).take(rows) for c in ("id", "n_shingles", "sketch")]], ["list", "id", "n_shingles", "sketch"])
 
-    return nodes.select("low", "id", "n_shingles", "sketch").mapInArrow(rarest, "list long, id long, n_shingles long, sketch binary"), long_lists
+    return nodes.select("low", "take", "id", "n_shingles", "sketch").mapInArrow(rarest, "list long, id long, n_shingles long, sketch binary"), long_lists
+
+
+def _payload(nodes: DataFrame) -> DataFrame:
+    return nodes.where("part = 0").select("id", "n_shingles", "sketch")
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -324,13 +342,17 @@ def _across(members: DataFrame, components: DataFrame, bound: int) -> DataFrame:
     return rows.join(tasks, "cell")
 
 
-def candidates(nodes: DataFrame, percent: int, k: int) -> DataFrame:
-    """Edges a, b between candidates: stars of the candidate clusters of each list."""
+def candidates(nodes: DataFrame, percent: int, score) -> DataFrame:
+    """Edges a, b between candidates: stars of the candidate clusters of each list.
+
+    Nodes have id, part (0 in one row of each id), n_shingles, low (their values), take (how many of them, rarest first, are lists of the
+    node) and sketch, by which ``score`` tells candidates.
+    """
     n = partitions(nodes)
-    entries, long_lists = _entries(nodes, percent)
+    entries, long_lists = _entries(nodes)
 
     def edges(rows: DataFrame) -> DataFrame:
-        return rows.repartition(n, "list").sortWithinPartitions("list").mapInArrow(_list_edges(percent, k), "a long, b long").distinct()
+        return rows.repartition(n, "list").sortWithinPartitions("list").mapInArrow(_list_edges(percent, score), "a long, b long").distinct()
 
     if long_lists is None:
         return edges(entries)
@@ -341,7 +363,7 @@ def candidates(nodes: DataFrame, percent: int, k: int) -> DataFrame:
     cut = entries.join(long_lists, "list", "left_semi").select("id", F.explode(F.array(F.xxhash64("list", size_class), F.xxhash64("list", size_class + 1))).alias("group"))
     cut = written(cut.withColumn("weight", F.lit(1)), "long-lists")
     sizes = written(cut.groupBy("group").agg(F.count("*").alias("total"), F.min("id").alias("least")), "list-sizes")
-    payload = nodes.select("id", "n_shingles", "sketch")
+    payload = _payload(nodes)
 
     def searched(tasks: DataFrame) -> DataFrame:
         return edges(tasks.select(F.col("task").alias("list"), "id").distinct().join(payload, "id").select("list", "id", "n_shingles", "sketch"))
@@ -441,23 +463,37 @@ def _families(docs: DataFrame, families: DataFrame, shingle: int, percent: int)
     return first.unionByName(links(_across(large, connected(first), FAMILY), False))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, k: int = K) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text)."""
-    rows = written(sketches(docs, shingle, k), "sketches")
-    some = rows.where("n_shingles > 0")
-    nodes = written(some.groupBy("print").agg(F.min(F.struct("id", "n_shingles", "low", "sketch")).alias("r"), F.count("*").alias("copies")).select("print", "copies", "r.*"), "distinct-sets")
-    families = connected(candidates(nodes, percent, k))
+def resolved(docs: DataFrame, rows: DataFrame, nodes: DataFrame, edges: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """id, n_shingles, component for each of ``rows`` (id, n_shingles, print): exact links inside the families that the candidate ``edges`` form.
+
+    Nodes (id, print, n_shingles, copies) are the distinct sets, each with its least id.
+    """
+    families = connected(edges)
     inside = families.select(F.col("node").alias("id"), "root").unionByName(families.select(F.col("root").alias("id"), "root")).distinct()
     inside = written(inside.join(nodes.select("id", "print", "n_shingles"), "id").select("id", "print", F.col("root").alias("group"), F.col("n_shingles").alias("weight")), "family-members")
     links = _families(docs, inside, shingle, percent)
+    some = rows.where("n_shingles > 0")
     twice = some.groupBy("id").agg(F.min("print").alias("x"), F.max("print").alias("y")).where("x <> y").select("id")
     of = some.join(twice, "id", "left_semi").select(F.col("id").alias("row"), "print").distinct().join(nodes.select("print", "id"), "print")
     links = links.unionByName(of.groupBy("row").agg(F.collect_set("id").alias("ids")).select(F.explode("ids").alias("a"), F.array_min("ids").alias("b")))
     roots = written(connected(links), "components")
     linked = nodes.join(roots, F.col("id") == F.col("node"), "left").select("print", F.coalesce("root", "id").alias("component"), (F.col("root").isNotNull() | (F.col("copies") > 1)).alias("many"))
     linked = linked.where("many").drop("many")
-    found = rows.select("id", "n_shingles", "print").join(linked, "print", "left").withColumn("component", F.coalesce("component", "id"))
-    real = lambda c: F.when(F.col(c) < LAST_ID, F.col(c))
+    return rows.select("id", "n_shingles", "print").join(linked, "print", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component"))
+
+
+def real(c: str):
+    """The doc_id of an id."""
+    return F.when(F.col(c) < LAST_ID, F.col(c))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, k: int = K) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text)."""
+    rows = written(sketches(docs, shingle, k, percent=percent), "sketches")
+    some = rows.where("n_shingles > 0")
+    nodes = written(some.groupBy("print").agg(F.min(F.struct("id", "n_shingles", "low", "take", "sketch")).alias("r"), F.count("*").alias("copies")).select("print", "copies", "r.*"), "distinct-sets")
+    edges = candidates(nodes.withColumn("part", F.lit(0)), percent, Estimates(percent, k))
+    found = resolved(docs, rows, nodes, edges, shingle, percent)
     return found.select(real("id").alias("doc_id"), "n_shingles", real("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopline.llm import centroids, decontaminate, fingerprints, language_id, license_scan, line_dedup, minhash, oracles, sharding, source_mixing, substring_dedup, token_ids, whitening
+from hopline.llm import centroids, decontaminate, fingerprints, language_id, license_scan, line_dedup, minhash, oracles, parity_join, sharding, source_mixing, substring_dedup, token_ids, whitening
 
 #: Bytes of text in a shard, at most.
 SHARD_BYTES = 1 << 20
@@ -69,6 +69,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.by_component(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.joined(_table(spark, sf_dir, "documents"), shingle=5, percent=80)
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = centroids.clusters(_table(spark, sf_dir, "embeddings"))
     return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", centroids.digest().alias("centroid_sha256"))

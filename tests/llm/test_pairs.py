@@ -197,10 +197,10 @@ def test_rare_values_meet_without_the_common_ones(spark):
     template = [f"t{i}" for i in range(250)]
     own = [[f"o{i}x{j}" for j in range(750)] for i in range(120)]
     rows = [(i, " ".join(template + w)) for i, w in enumerate(own)] + [(1000 + i, " ".join(template + own[i] + [f"z{rng.random()}"])) for i in range(0, 120, 2)]
-    nodes = minhash.sketches(minhash._rows(frame(spark, rows)).withColumnRenamed("id", "doc_id"), 3).drop("print").cache()
-    entries, _ = minhash._entries(nodes, 85)
+    nodes = minhash.sketches(minhash._rows(frame(spark, rows)).withColumnRenamed("id", "doc_id"), 3, percent=85).drop("print").selectExpr("*", "0 as part").cache()
+    entries, _ = minhash._entries(nodes)
     assert entries.groupBy("list").count().agg({"count": "max"}).first()[0] <= 40
-    got = {(r.a, r.b) for r in minhash.candidates(nodes, 85, minhash.K).collect()}
+    got = {(r.a, r.b) for r in minhash.candidates(nodes, 85, minhash.Estimates(85, minhash.K)).collect()}
     assert got == {(1000 + i, i) for i in range(0, 120, 2)}
 
 
