@@ -35,7 +35,7 @@ from hopline.llm.components import connected
 from hopline.llm.textvec import LOWER, Words, chunks, flatten, flatten_binary, gather, groups, release_memory
 
 SHINGLE, PERCENT = 5, 80
-K, P = 64, 32
+K, P = 64, 256
 LAST_ID = 2**63 - 1
 #: Members of a list in one task, at most.
 LIST = 4096
@@ -59,8 +59,10 @@ def _overlap(percent: int, p: int) -> int:
 
 
 def prefix_length(n: np.ndarray, percent: int, p: int) -> np.ndarray:
-    """How many of a sketch's n rarest values (n at most p) meet every set at the threshold."""
-    return n - np.minimum(_overlap(percent, p), -(-n * percent // 100)) + 1
+    """How many of a set's n least values (n at most p), the rarest, meet every set at the threshold. Sets that are too small for a partner of
+    more than p values are whole there, as their partners are."""
+    shared = -(-n * percent // 100)
+    return n - np.where(n <= p * percent // 100, shared, np.minimum(_overlap(percent, p), shared)) + 1
 
 
 def _least_estimate(percent: int, k: int) -> float:
@@ -92,7 +94,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def sketches(docs: DataFrame, shingle: int = SHINGLE, k: int = K, p: int = P, percent: int = PERCENT) -> DataFrame:
-    """id, n_shingles, print (128 bits of the whole set, null if empty), low (the p least values), take (how many of them are lists), sketch (32 bits of
+    """row, id, n_shingles, print (128 bits of the whole set, null if empty), low (the p least values), take (how many of them are lists), sketch (32 bits of
     each of the k least, padded)."""
 
     def sketch(batches):
@@ -103,9 +105,9 @@ def sketches(docs: DataFrame, shingle: int = SHINGLE, k: int = K, p: int = P, pe
             low = pa.array([values[a : min(b, a + p)].view(np.int64) for a, b in spans], pa.list_(pa.int64()))
             heads = (values >> np.uint64(32)).astype(np.uint32)
             take = prefix_length(np.minimum(np.diff(cut), p), percent, p)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(cut)), pa.array(prints, pa.binary()), low, pa.array(take, pa.int32()), pa.array([heads[a : min(b, a + k)].tobytes().ljust(4 * k, b"\xff") for a, b in spans], pa.binary())], ["id", "n_shingles", "print", "low", "take", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), pa.array(np.diff(cut)), pa.array(prints, pa.binary()), low, pa.array(take, pa.int32()), pa.array([heads[a : min(b, a + k)].tobytes().ljust(4 * k, b"\xff") for a, b in spans], pa.binary())], ["row", "id", "n_shingles", "print", "low", "take", "sketch"])
 
-    return _rows(docs).mapInArrow(sketch, "id long, n_shingles long, print binary, low array<long>, take int, sketch binary")
+    return _rows(docs).withColumn("row", F.monotonically_increasing_id()).mapInArrow(sketch, "row long, id long, n_shingles long, print binary, low array<long>, take int, sketch binary")
 
 
 def _union_estimates(one: np.ndarray, many: np.ndarray, k: int) -> np.ndarray:
@@ -482,6 +484,15 @@ def resolved(docs: DataFrame, rows: DataFrame, nodes: DataFrame, edges: DataFram
     return rows.select("id", "n_shingles", "print").join(linked, "print", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component"))
 
 
+def distinct_sets(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(print, copies, id, row, n_shingles for each distinct set, with its least id; the sketches of those rows) of written sketches."""
+    own = rows.where("part = 0 and n_shingles > 0").select("row", "id", "n_shingles", "print")
+    nodes = own.groupBy("print").agg(F.min(F.struct("id", "row", "n_shingles")).alias("r"), F.count("*").alias("copies"))
+    nodes = written(nodes.select("print", "copies", "r.*"), "distinct-sets")
+    copies = own.join(nodes.where("copies > 1").select("print", F.col("row").alias("first")), "print").where("row <> first").select("row")
+    return nodes, rows.where("n_shingles > 0").join(_few(written(copies, "copies")), "row", "left_anti")
+
+
 def real(c: str):
     """The doc_id of an id."""
     return F.when(F.col(c) < LAST_ID, F.col(c))
@@ -489,11 +500,9 @@ def real(c: str):
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, k: int = K) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text)."""
-    rows = written(sketches(docs, shingle, k, percent=percent), "sketches")
-    some = rows.where("n_shingles > 0")
-    nodes = written(some.groupBy("print").agg(F.min(F.struct("id", "n_shingles", "low", "take", "sketch")).alias("r"), F.count("*").alias("copies")).select("print", "copies", "r.*"), "distinct-sets")
-    edges = candidates(nodes.withColumn("part", F.lit(0)), percent, Estimates(percent, k))
-    found = resolved(docs, rows, nodes, edges, shingle, percent)
+    rows = written(sketches(docs, shingle, k, percent=percent), "sketches").withColumn("part", F.lit(0))
+    nodes, lists = distinct_sets(rows)
+    found = resolved(docs, rows, nodes, candidates(lists, percent, Estimates(percent, k)), shingle, percent)
     return found.select(real("id").alias("doc_id"), "n_shingles", real("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
 
 

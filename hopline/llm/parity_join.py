@@ -31,11 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hopline.llm._shared import written
-from hopline.llm.minhash import Forest, _few, _rows, _search, candidates, real, resolved, shingle_sets
+from hopline.llm.minhash import Forest, _rows, _search, candidates, distinct_sets, real, resolved, shingle_sets
 from hopline.llm.textvec import chunks, mix
 
 #: Parts of a band's sketch for each token of its smallest set, and at least.
-PARTS_PER, LEAST_PARTS = 5 / 8, 32
+PARTS_PER, LEAST_PARTS = 1, 32
 #: Bits of a folded sketch; sets of fewer than twice FULL tokens have all of them in it.
 BITS, FULL = 1024, 128
 #: minus the logarithm of the chance that a sample of two linked sets differs in more bits than allowed.
@@ -159,10 +159,6 @@ def sketches(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
 def joined(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable by links) for each row of ``docs`` (doc_id, text)."""
     rows = written(sketches(docs, shingle, percent), "parity-sketches")
-    own = rows.where("part = 0").select("row", "id", "n_shingles", "print")
-    nodes = own.where("n_shingles > 0").groupBy("print").agg(F.min(F.struct("id", "row", "n_shingles")).alias("r"), F.count("*").alias("copies"))
-    nodes = written(nodes.select("print", "copies", "r.*"), "distinct-sets")
-    copies = own.join(nodes.where("copies > 1").select("print", F.col("row").alias("first")), "print").where("row <> first").select("row")
-    lists = rows.where("n_shingles > 0").join(_few(written(copies, "copies")), "row", "left_anti")
-    found = resolved(docs, own, nodes, candidates(lists, percent, Parity(percent)), shingle, percent)
+    nodes, lists = distinct_sets(rows)
+    found = resolved(docs, rows.where("part = 0"), nodes, candidates(lists, percent, Parity(percent)), shingle, percent)
     return found.select(real("id").alias("doc_id"), "n_shingles", real("component").alias("component_id"))

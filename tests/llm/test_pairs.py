@@ -204,9 +204,22 @@ def test_rare_values_meet_without_the_common_ones(spark):
     assert got == {(1000 + i, i) for i in range(0, 120, 2)}
 
 
+def test_template_pages_meet_in_few_lists(spark):
+    """Pages that share half of their shingles and do not link: the pairs that are scored grow with the pages, not with their square."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(2)
+    template = [f"t{i}" for i in range(200)]
+    rows = [(i, " ".join(template + [f"o{rng.random()}" for _ in range(100)])) for i in range(1200)]
+    nodes = minhash.sketches(minhash._rows(frame(spark, rows)).withColumnRenamed("id", "doc_id"), 3, percent=85).selectExpr("*", "0 as part").cache()
+    entries, _ = minhash._entries(nodes)
+    assert (entries.groupBy("list").count().agg(F.sum(F.expr("count * (count - 1) / 2"))).first()[0] or 0) < 3 * len(rows)
+
+
 def test_prefix_of_rare_values():
     assert minhash._overlap(85, 32) == 12 and minhash._overlap(80, 32) == 10
     assert minhash.prefix_length(np.array([1, 2, 10, 32]), 85, 32).tolist() == [1, 1, 2, 21]
+    assert minhash.prefix_length(np.array([100, 217, 218, 256]), 85, 256).tolist() == [16, 33, 218 - minhash._overlap(85, 256) + 1, 256 - minhash._overlap(85, 256) + 1]
 
 
 def test_components(spark):
