@@ -202,6 +202,11 @@ def acceptance(samples: DataFrame, by: list[str], at: str = "observed_at_ns", la
         F.max("pending_windows").alias("maximum_pending_windows"), F.min(F.when(F.col("active"), F.col("ready_buffer_seconds"))).alias("minimum_active_buffer_seconds"), F.bool_or(F.col("active") & F.col("device_recovering")).alias("recovering_seen"), replay.alias("replay_samples"))
     r = totals.join(deltas, by, "left").join(adjusted_latency(s, by, at, "mixer_updates", "last_mixer_control_latency_ms"), by)
     r = r.na.fill(0, [f"active_{c}_delta" for c in counters]).na.fill(False, [f"{c}_reset" for c in counters[:3]])
+    return requirements(r, latency_limit_ms)
+
+
+def requirements(r: DataFrame, latency_limit_ms: float = 50.0) -> DataFrame:
+    """r, which has a session's figures, with the nine requirements and the state (AG7)."""
     need = {
         "stream_received": "streaming_samples > 0 and captured_sequence_delta > 0",
         "gpu_first_play": "cache_misses_delta > 0 and gpu_sequence_delta > 0",

@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 from hopline.functions import binary, identity, numeric, rules, text
 from hopline.model import mid_side, separated
 from hopline.operators import cache, framing, joins, lyrics, publication, signal, telemetry, timeline
-from hopline.plans import decisions, files, songs
-from hopline.plans.bindings import NUMBERED, PCM, SAMPLES, blocks, numbered_events, positions
+from hopline.plans import decisions, files, live, songs
+from hopline.plans.bindings import ACCEPTANCE, ACCEPTANCE_REPORT, NUMBERED, PCM, SAMPLES, blocks, numbered_events, positions, session_samples
 from hopline.plans.registry import oracle_sql, queries, query
 from hopline.sources.tables import table
 
-__all__ = ["decisions", "files", "oracle_sql", "queries", "songs"]
+__all__ = ["decisions", "files", "live", "oracle_sql", "queries", "songs"]
 
 
 # --- windows and order
@@ -442,41 +442,10 @@ def snapshot_join(spark, d):
     return telemetry.joined_snapshot([part("error", F.count("*").alias("errors")), part("purchase", F.max("value").alias("best")), part("absent", F.max("event_id").alias("absent"))])
 
 
-def _telemetry(spark, d) -> DataFrame:
-    e = table(spark, d, "events")
-    n = F.col("event_id")
-    return e.select(
-        "user_id", n.alias("observed_at_ns"), (F.col("event_type") == "view").alias("streaming"), F.when(F.col("event_type") == "click", "playing").otherwise("idle").alias("playback_state"),
-        (n % 97).alias("captured_sequence"), (n % 89).alias("gpu_sequence"), F.floor(n / 5000).alias("skipped_sequence"), F.floor(n / 4000).alias("underruns"), F.floor(n / 3000).alias("device_recoveries"), (n % 1013 == 0).alias("device_recovering"),
-        (n % 53).alias("mixer_updates"), F.col("value").alias("last_mixer_control_latency_ms"), (n % 83).alias("cache_hits"), (n % 79).alias("cache_misses"), (n % 3 == 0).alias("cache_hit"), F.when(n % 2 == 0, "song").otherwise("window").alias("cache_scope"),
-        (n % 7).alias("songs_cached"), (n % 5).alias("pending_windows"), F.col("value").alias("ready_buffer_seconds"), F.col("event_type").alias("track_title"), F.lit(" x ").alias("track_artist"), F.round("value").alias("track_duration_seconds"))
-
-
-_T = """
-with t as (select user_id, event_id as pos, event_type = 'view' as streaming, event_type = 'click' as playing, event_id % 97 as cap, event_id % 89 as gpu, event_id // 5000 as skp, event_id // 4000 as und, event_id // 3000 as dev,
-  event_id % 1013 = 0 as recovering, event_id % 53 as mix, value as lat, event_id % 83 as hits, event_id % 79 as miss, event_id % 3 = 0 as hit, event_id % 2 = 0 as song, event_id % 7 as songs, event_id % 5 as pend, value as buf from events),
-a as (select *, streaming or playing as active from t),
-b as (select *, coalesce(lag(active) over w, false) as before, lag(skp) over w as pskp, lag(und) over w as pund, lag(dev) over w as pdev, lag(mix) over w as pmix, first(hits) over w as hits0 from a window w as (partition by user_id order by pos)),
-c as (select *, active and before as cont, sum((active and not before)::int) over (partition by user_id order by pos) as seg from b),
-g as (select user_id, seg, greatest(0, max(und) - arg_min(und, pos)) as du, greatest(0, max(dev) - arg_min(dev, pos)) as dd, greatest(0, max(skp) - arg_min(skp, pos)) as ds, greatest(0, max(mix) - arg_min(mix, pos)) as dm,
-  bool_or(coalesce(cont and und < pund, false)) as ru, bool_or(coalesce(cont and dev < pdev, false)) as rd, bool_or(coalesce(cont and skp < pskp, false)) as rs from c where active group by all),
-h as (select user_id, sum(du) as du, sum(dd) as dd, sum(ds) as ds, sum(dm) as dm, bool_or(ru) as ru, bool_or(rd) as rd, bool_or(rs) as rs from g group by user_id),
-q as (select user_id, count(*) as samples, count(*) filter (streaming) as st, count(*) filter (active) as act, max(cap) - arg_min(cap, pos) as dcap, max(gpu) - arg_min(gpu, pos) as dgpu, max(miss) - arg_min(miss, pos) as dmiss, arg_max(songs, pos) as songs,
-  max(pend) as pend, min(buf) filter (active) as buf, bool_or(active and recovering) as rec, count(*) filter (hit and song and hits > hits0) as rep, coalesce(max(case when cont and mix > pmix then lat end), 0) as lat from c group by user_id),
-r as (select q.*, coalesce(du, 0) as du, coalesce(dd, 0) as dd, coalesce(ds, 0) as ds, coalesce(dm, 0) as dm, coalesce(ru, false) as ru, coalesce(rd, false) as rd, coalesce(rs, false) as rs from q left join h using (user_id)),
-k as (select *, st > 0 and dcap > 0 as k1, dmiss > 0 and dgpu > 0 as k2, songs > 0 as k3, rep > 0 as k4, act > 0 and du = 0 and not ru as k5, act > 0 and dd = 0 and not rec and not rd as k6, act > 0 and ds = 0 and not rs as k7, dm > 0 as k8, dm > 0 and lat <= 50 as k9 from r)
-"""
-
-
-@query(_T + """
-select user_id, samples, st as streaming_samples, act as active_samples, pend as maximum_pending_windows, buf as minimum_active_buffer_seconds, dm::bigint as active_mixer_updates_delta, lat as max_latency_ms, k1 as stream_received, k4 as song_cache_replayed, k5 as zero_active_underruns,
-  k6 as zero_active_device_recoveries, k7 as zero_active_skipped_sequences, k9 as mixer_latency_below_limit,
-  case when k1 and k2 and k3 and k4 and k5 and k6 and k7 and k8 and k9 then 'passed' when k4 and (not (k5 and k6 and k7) or (k8 and not k9)) then 'failed' when not k1 then 'waiting_for_phone' else 'in_progress' end as state
-from k
-""")
+@query(ACCEPTANCE + ACCEPTANCE_REPORT)
 def acceptance_report(spark, d):
     """AG6, AG7, WN5, WN6, ST15: a session's requirements and state."""
-    r = telemetry.acceptance(_telemetry(spark, d), ["user_id"])
+    r = telemetry.acceptance(session_samples(spark, d), ["user_id"])
     return r.select("user_id", "samples", "streaming_samples", "active_samples", "maximum_pending_windows", "minimum_active_buffer_seconds", "active_mixer_updates_delta", "max_latency_ms", "stream_received", "song_cache_replayed", *telemetry.ZERO, "mixer_latency_below_limit", "state")
 
 
@@ -486,7 +455,7 @@ select *, row_number() over (partition by user_id order by first_seen, title, du
 """)
 def tracks_seen(spark, d):
     """AG10: distinct tracks in the order they were first seen."""
-    s = _telemetry(spark, d)
+    s = session_samples(spark, d)
     return telemetry.tracks_seen(s, ["user_id"], "observed_at_ns", F.col("streaming") | (F.col("playback_state") == "playing")).select("user_id", "title", "duration_seconds", "first_seen", F.col("ordinal").cast("long").alias("ordinal"))
 
 

@@ -77,6 +77,14 @@ def collected(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{at}/rows")
 
 
+def in_parts(df: DataFrame, name: str, parts: int, part) -> str:
+    """df as files of a folder that a file stream takes one after the other: those with part 0 first, and so on."""
+    at = scratch(df.sparkSession, name)
+    for i in range(parts):
+        df.where(part == i).write.mode("append").parquet(at)
+    return at
+
+
 def complete_windows(events: DataFrame, at: str, by: list[str], size: str, hop: str, late: str, aggs: list) -> DataFrame:
     """Event-time windows under a watermark; a window comes out once nothing of it can follow."""
     return events.withWatermark(at, late).groupBy(*by, F.window(at, size, hop)).agg(*aggs)
