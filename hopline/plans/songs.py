@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hopline.functions import numeric
-from hopline.operators import cache, framing, signal, telemetry, timeline
+from hopline.operators import alignment, cache, framing, signal, telemetry, timeline
 from hopline.plans.bindings import NUMBERED, PCM, blocks, numbered_events, session_anchors
 from hopline.plans.registry import query
 from hopline.sources.tables import table
@@ -276,3 +276,47 @@ def song_assembly(spark, d):
         return F.when(F.col("pcm").isNotNull(), F.aggregate(places, F.lit(0).cast("long"), lambda s, v: s + v))
 
     return assembled(spark, d).select("label", "epoch", "start_rtp", "revision", "title", "duration_frames", "first_track_start_frame", "frame_count", "recoveries", "misses", "reason", weighted(0).alias("weighted"), weighted(1).alias("half_weighted"))
+
+
+#: Frames of a vector's block, of an envelope's block, of a probe, of its segment, and of the search to either side.
+BLOCK, ENVELOPE, PROBE, SEGMENT, RADIUS = 32, 8, 128, 32, 300
+
+
+@query(f"""
+with {PCM}, b as (select label as song, row_number() over (partition by label order by vec_id) - 1 as block, vec_id, pcm from blocks),
+f as (select song, block * {BLOCK} + i as frame, pcm[2 * i + 1] as l, pcm[2 * i + 2] as r from (select *, unnest(range(0, {BLOCK})) as i from b)),
+m as (select song, max(frame) + 1 as frames from f group by song),
+p0 as (select vec_id as id, song, block * {BLOCK} + {ENVELOPE} * (vec_id % 4) as truth, frames, case when vec_id % 5 = 0 then 0.5 else 0.95 end as scale, vec_id % 7 = 0 as wild from b join m using (song)),
+p as (select *, greatest(0, truth - 40 + vec_off) as approx from (select *, id % 90 as vec_off from p0) where truth + {PROBE} <= frames),
+v as (select p.id, k, round(l * scale + (case when wild then (k * 7919 + p.id * 31) % 20011 - 10005 else (k * 13 + p.id) % 9 - 4 end))::int as l, round(r * scale + (case when wild then (k * 7907 + p.id * 37) % 20011 - 10005 else (k * 11 + p.id) % 9 - 4 end))::int as r
+  from (select p.*, unnest(range(0, {PROBE})) as k from p) p join f on f.song = p.song and f.frame = truth + k),
+c as (select id, greatest(-32768, least(32767, l)) as l, greatest(-32768, least(32767, r)) as r, k from v),
+s as (select id, (sum(r::double * r) > sum(l::double * l)) as right_side from c group by id),
+x as (select id, k, case when right_side then r else l end::double as x, k // {SEGMENT} as seg from c join s using (id)),
+g as (select id, arg_max(seg, (e, -seg)) as seg from (select id, seg, sum(x * x) as e from x group by all) group by id),
+y as (select x.id, k, x from x join g using (id, seg)),
+o as (select p.id, p.song, p.approx, unnest(range(greatest(0, approx - {RADIUS}), least(frames - {PROBE}, approx + {RADIUS}) + 1)) as off from p),
+r as (select o.id, off, approx, corr(y.x, case when right_side then f.r else f.l end) as correlation, regr_slope(y.x, case when right_side then f.r else f.l end::double) as gain
+  from o join y on y.id = o.id join s on s.id = o.id join f on f.song = o.song and f.frame = off + y.k group by all),
+t as (select id, arg_max(off, (round(correlation, 9), -abs(off - approx), -off)) as off, max(correlation) as correlation, arg_max(gain, (round(correlation, 9), -abs(off - approx), -off)) as gain from r group by id)
+select id, case when correlation >= 0.985 and gain between 0.9 and 1.1 then off else -1 end as found, case when correlation >= 0.985 then round(correlation, 6) else 0 end as correlation from t
+""")
+def noisy_probes(spark, d):
+    """JN5, WN11: probes that are quieter and noisy are found where a search of every place finds them; some are too quiet or all noise."""
+    w = Window.partitionBy("label").orderBy("vec_id")
+    b = blocks(spark, d).select("vec_id", F.col("label").alias("song"), (F.row_number().over(w) - 1).cast("long").alias("block"), "pcm")
+    track = alignment.channels(b)
+    n, truth = F.col("vec_id"), F.col("block") * BLOCK + ENVELOPE * (F.col("vec_id") % 4)
+    wanted = b.select(n.alias("id"), "song", F.lit(0).alias("channel"), truth.alias("start"), F.lit(PROBE).alias("count"))
+    sound = [alignment.excerpts(track, wanted.withColumn("channel", F.lit(c)), BLOCK).select("id", "song", "start", F.col("found").alias(f"side{c}")) for c in (0, 1)]
+    p = sound[0].join(sound[1].select("id", "side1"), "id").where(F.size("side0") == PROBE)
+    scale, i = F.when(F.col("id") % 5 == 0, 0.5).otherwise(0.95), F.col("id")
+
+    def played(side: str, far: int, near: int, turn: int):
+        noise = lambda k: F.when(i % 7 == 0, (k * far + i * turn) % 20011 - 10005).otherwise((k * near + i) % 9 - 4)
+        return F.transform(side, lambda v, k: F.greatest(F.lit(-32768), F.least(F.lit(32767), F.round(v * scale + noise(k)).cast("int"))))
+
+    both = F.flatten(F.zip_with(played("side0", 7919, 13, 31), played("side1", 7907, 11, 37), lambda x, y: F.array(x, y)))
+    probes = p.select("id", "song", both.alias("pcm"), F.greatest(F.lit(0), F.col("start") - 40 + i % 90).alias("approx"))
+    found = alignment.aligned(track, probes, BLOCK, RADIUS, ENVELOPE, SEGMENT)
+    return found.select("id", F.coalesce("offset", F.lit(-1)).alias("found"), F.when(F.col("correlation") >= 0.985, F.round("correlation", 6)).otherwise(0.0).alias("correlation"))
