@@ -35,7 +35,7 @@ from hopline.llm.components import connected
 from hopline.llm.textvec import LOWER, Words, chunks, flatten, flatten_binary, gather, groups, release_memory
 
 SHINGLE, PERCENT = 5, 80
-K, P = 64, 256
+K, P = 64, 192
 LAST_ID = 2**63 - 1
 #: Members of a list in one task, at most.
 LIST = 4096
