@@ -31,6 +31,17 @@ def discard(spark: SparkSession, at: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def discard_since(spark: SparkSession, before: int) -> None:
+    """Delete the scratch tables made since there were ``before`` of them, but for the last."""
+    for at in _made[before:-1]:
+        discard(spark, at)
+
+
+def made() -> int:
+    """How many scratch tables there are."""
+    return len(_made)
+
+
 def clean(spark: SparkSession) -> None:
     """Delete the scratch tables that this driver has made. Results that still read them must be written before."""
     while _made:

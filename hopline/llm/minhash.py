@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hopline.llm._shared import bloom, in_bloom, partitions, written
+from hopline.llm._shared import bloom, discard_since, in_bloom, made, partitions, written
 from hopline.llm.components import connected
 from hopline.llm.textvec import LOWER, Words, chunks, flatten, flatten_binary, gather, groups, release_memory
 
@@ -508,7 +508,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, all columns, without those that have a near duplicate of smaller doc_id; of rows that repeat a doc_id the one of least text stays."""
+    before = made()
     found = written(near_duplicates(docs, **options), "near-duplicates")
+    discard_since(docs.sparkSession, before)
     gone = found.where("not kept").select(F.col("doc_id").alias("_hl_gone")).distinct()
     gone = F.broadcast(gone) if gone.count() <= FEW else gone
     rest = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_hl_gone")), "left_anti")
