@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hopline.functions import identity, rules, text
+from hopline.functions import identity, numeric, rules, text
 from hopline.operators import cache, joins, publication, signal, timeline
 from hopline.plans.bindings import PCM, blocks
 from hopline.plans.registry import query
 from hopline.schemas import ANCHOR
 from hopline.sources import documents, wav
 from hopline.sources.tables import table
+from hopline.storage import scratch
 from hopline.streaming import run
 
 # --- listings
@@ -282,3 +283,49 @@ def repeated_sources(spark, d):
     """SO3: values that stand in a group more than once."""
     l = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey").distinct()
     return joins.repeated_values(l, ["l_orderkey"], "l_suppkey")
+
+
+_SONGS = f"with {PCM}, songs as (select vec_id // 64 as song, flatten(list(pcm order by vec_id)) as pcm from blocks where pcm is not null group by 1)"
+
+
+def _songs(spark, d):
+    """Mono files of 64 blocks each, as rows that the WAV sink takes."""
+    b = blocks(spark, d).where("pcm is not null").groupBy(F.floor(F.col("vec_id") / 64).alias("song"))
+    pcm = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "pcm"))), lambda x: x["pcm"]))
+    name = F.concat(text.sequence_name("capture", F.col("song")), F.lit(".wav"))
+    return b.agg(pcm.alias("pcm")).select(name.alias("path"), F.lit(8000).alias("sample_rate"), F.lit(1).alias("channels"), "pcm")
+
+
+def _read_back(df):
+    name = F.element_at(F.split("path", "/"), -1)
+    places = F.transform("pcm", lambda v, i: v.cast("long") * (F.col("start_frame") + i + 1))
+    return df.select(F.regexp_extract(name, r"(\d{8})", 1).cast("long").alias("song"), "start_frame", F.size("pcm").cast("long").alias("frames"), F.aggregate(places, F.lit(0).cast("long"), lambda s, v: s + v).alias("weighted"))
+
+
+@query(f"""
+{_SONGS}, v as (select song, unnest(pcm) as v, generate_subscripts(pcm, 1) - 1 as i from songs)
+select song, i // 300 * 300 as start_frame, count(*) as frames, sum(v * (i + 1))::bigint as weighted from v where i // 300 * 300 >= 1000 group by all
+""")
+def wav_blocks(spark, d):
+    """SC1, SC2, SK1: blocks written as WAV files and read in ranges; the source seeks to those from frame 1,000 on."""
+    wav.register(spark)
+    at = scratch(spark, "wav-blocks")
+    _songs(spark, d).write.format("wav_pcm16").mode("append").save(at)
+    return _read_back(spark.read.format("wav_pcm16").option("blockFrames", 300).load(at).where("start_frame >= 1000"))
+
+
+@query(f"""
+{_SONGS}, v as (select song, unnest(pcm) as v, generate_subscripts(pcm, 1) - 1 as i from songs)
+select song, 0::bigint as start_frame, count(*) as frames, sum(greatest(-32768, least(32767, round(v * 1.5::double)))::bigint * (i + 1))::bigint as weighted from v group by song
+""")
+def wav_stream(spark, d):
+    """ST1, SC3, SK3: captured files as a stream by sequence, made louder, published by the stream's sink as results of the same sequence."""
+    wav.register(spark)
+    at = scratch(spark, "wav-stream")
+    _songs(spark, d).write.format("wav_pcm16").mode("append").save(f"{at}/in")
+    louder = F.transform("pcm", lambda v: numeric.pcm16(v.cast("double") * 1.5))
+    name = F.replace(F.element_at(F.split("path", "/"), -1), F.lit("capture"), F.lit("result"))
+    captured = spark.readStream.format("wav_pcm16").load(f"{at}/in")
+    running = captured.select(name.alias("path"), "sample_rate", "channels", louder.alias("pcm")).writeStream.format("wav_pcm16").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start(f"{at}/out")
+    running.awaitTermination()
+    return _read_back(spark.read.format("wav_pcm16").load(f"{at}/out"))

@@ -1,25 +1,54 @@
-"""WAV files of 16-bit PCM as a Python data source: ``spark.read.format("wav_pcm16")`` and ``df.write.format("wav_pcm16")``.
+"""WAV files of 16-bit PCM as a Python data source: ``read``, ``write``, ``readStream`` and ``writeStream`` with ``format("wav_pcm16")``.
 
-Reading gives path, sample_rate, channels, start_frame and pcm, a row for each ``blockFrames`` frames (65,536 unless set);
-``firstFrame`` and ``frames`` read that range only, by seeking. Writing takes path (a file name), sample_rate, channels
-and pcm; each file is written under another name and renamed at commit. Paths are local or URIs of stores that pyarrow knows
-(file, hdfs, s3, gs), so a cluster reads and writes its shared store. For one that only Spark's own readers know, ``decoded``
-takes a ``binaryFile`` frame.
+Reading gives path, sample_rate, channels, start_frame and pcm, a row for each ``blockFrames`` frames (65,536 unless set).
+``firstFrame`` and ``frames`` read that range only; comparisons of ``path`` and ``start_frame`` with constants are pushed into the
+source, which then lists no other files and seeks to the blocks that are left. A file above ``splitBytes`` (128 MB) is read by
+several tasks, small files share one. Writing takes path (a file name), sample_rate, channels and pcm; each file is written under
+another name and renamed at commit.
+
+A stream takes files by the number in their names (``capture-00000012.wav``; another pattern with one group as option ``name``):
+its offset is the highest number read, so a producer publishes in ascending order. A file without a number is passed over. A
+stream's sink renames a micro-batch's files in the order of their names and then notes the batch under ``_batches``; a batch that
+is run again after that changes nothing.
+
+Paths are local or URIs of stores that pyarrow knows (file, hdfs, s3, gs), so a cluster reads and writes its shared store. For one
+that only Spark's own readers know, ``decoded`` takes a ``binaryFile`` frame.
 """
 
 from __future__ import annotations
 
+import json
+import operator
 import os
+import re
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
-
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceArrowWriter,
+    DataSourceReader,
+    DataSourceStreamArrowWriter,
+    DataSourceStreamReader,
+    EqualTo,
+    GreaterThan,
+    GreaterThanOrEqual,
+    In,
+    InputPartition,
+    IsNotNull,
+    LessThan,
+    LessThanOrEqual,
+    StringEndsWith,
+    StringStartsWith,
+    WriterCommitMessage,
+)
+
+from hopline.functions.rules import CAPTURE
 from hopline.storage import store
 
 SCHEMA = "path string, sample_rate int, channels int, start_frame long, pcm array<smallint>"
@@ -29,25 +58,27 @@ class WavError(ValueError):
     pass
 
 
-def parse_header(data: bytes) -> tuple[int, int, int, int]:
-    """(sample_rate, channels, offset of the samples, their bytes) of a RIFF/WAVE file (SC1).
+def read_header(read: Callable[[int, int], bytes], total: int) -> tuple[int, int, int, int]:
+    """(sample_rate, channels, offset of the samples, their bytes) of a RIFF/WAVE file of ``total`` bytes (SC1); ``read`` gives the bytes at a place.
 
-    Chunks are padded to even sizes. Truncated files, repeated ``fmt `` or ``data`` chunks, other encodings than 16-bit
-    PCM and wrong block sizes are refused.
+    Chunks are padded to even sizes; only their heads and the format are read. Truncated files, repeated ``fmt `` or ``data``
+    chunks, other encodings than 16-bit PCM and wrong block sizes are refused.
     """
-    if len(data) < 12 or data[:4] != b"RIFF" or data[8:12] != b"WAVE":
+    head = read(0, 12)
+    if total < 12 or head[:4] != b"RIFF" or head[8:12] != b"WAVE":
         raise WavError("not a RIFF/WAVE file")
-    if int.from_bytes(data[4:8], "little") + 8 > len(data):
+    if int.from_bytes(head[4:8], "little") + 8 > total:
         raise WavError("truncated file")
     at, form, sound = 12, None, None
-    while at + 8 <= len(data):
-        name, size = data[at : at + 4], int.from_bytes(data[at + 4 : at + 8], "little")
-        if at + 8 + size > len(data):
+    while at + 8 <= total:
+        head = read(at, 8)
+        name, size = head[:4], int.from_bytes(head[4:], "little")
+        if at + 8 + size > total:
             raise WavError("truncated chunk")
         if name == b"fmt ":
             if form is not None or size < 16:
                 raise WavError("bad or repeated format chunk")
-            form = struct.unpack_from("<HHIIHH", data, at + 8)
+            form = struct.unpack("<HHIIHH", read(at + 8, 16))
         elif name == b"data":
             if sound is not None:
                 raise WavError("repeated data chunk")
@@ -63,6 +94,11 @@ def parse_header(data: bytes) -> tuple[int, int, int, int]:
     return rate, channels, *sound
 
 
+def parse_header(data: bytes) -> tuple[int, int, int, int]:
+    """``read_header`` of bytes in memory."""
+    return read_header(lambda at, n: data[at : at + n], len(data))
+
+
 def wav_bytes(pcm: np.ndarray, sample_rate: int, channels: int) -> bytes:
     """A file with a 44-byte header (SK1)."""
     sound = np.asarray(pcm, "<i2").tobytes()
@@ -70,10 +106,12 @@ def wav_bytes(pcm: np.ndarray, sample_rate: int, channels: int) -> bytes:
     return head + sound
 
 
-class File(InputPartition):
-    def __init__(self, path: str):
-        super().__init__(path)
-        self.path = path
+class Files(InputPartition):
+    """Parts of files: (path, k, n) is the k-th of n equal ranges of a file's blocks."""
+
+    def __init__(self, parts: list[tuple[str, int, int]]):
+        super().__init__(parts)
+        self.parts = parts
 
 
 def _listed(path: str) -> list[tuple[str, int]]:
@@ -92,39 +130,129 @@ def _listed(path: str) -> list[tuple[str, int]]:
     return sorted((f.path, f.size) for f in found if f.type == fs.FileType.File)
 
 
+SPLIT, OPEN = 128 << 20, 4 << 20
+
+
+def _tasks(listed: list[tuple[str, int]], split: int) -> list[Files]:
+    """Long files in ranges of at most ``split`` bytes, small ones together; a file counts 4 MB more than it has, as for Spark's own files."""
+    tasks, held, size = [], [], 0
+    for path, n in listed:
+        if n > split:
+            ranges = -(-n // split)
+            tasks += [Files([(path, k, ranges)]) for k in range(ranges)]
+            continue
+        if held and size + n + OPEN > split:
+            tasks.append(Files(held))
+            held, size = [], 0
+        held.append((path, 0, 1))
+        size += n + OPEN
+    return tasks + [Files(held)] if held else tasks
+
+
+ORDER = {GreaterThan: operator.gt, GreaterThanOrEqual: operator.ge, LessThan: operator.lt, LessThanOrEqual: operator.le, EqualTo: operator.eq}
+ON_PATH = {EqualTo: operator.eq, In: lambda path, all_of: path in all_of, StringStartsWith: str.startswith, StringEndsWith: str.endswith}
+
+
+class Blocks:
+    """Reads the blocks of files, all of them or those that pushed comparisons leave."""
+
+    def __init__(self, options: dict):
+        option = lambda name, default: options.get(name, options.get(name.lower(), default))
+        self.path, self.skip = options["path"], option("onError", "") == "skip"
+        self.first, self.frames = int(option("firstFrame", 0)), option("frames", None)
+        self.step, self.split = int(option("blockFrames", 1 << 16)), int(option("splitBytes", SPLIT))
+        self.paths: list = []
+        self.starts: list = []
+
+    def take(self, f) -> bool:
+        """Whether the source itself does what the filter says."""
+        column = ".".join(f.attribute) if hasattr(f, "attribute") else None
+        if isinstance(f, IsNotNull) and column in ("path", "start_frame"):
+            return True  # they never are
+        if getattr(f, "value", None) is None and not isinstance(f, In):
+            return False
+        if column == "path" and type(f) in ON_PATH:
+            self.paths.append((ON_PATH[type(f)], f.value))
+            return True
+        if column == "start_frame" and type(f) in ORDER:
+            self.starts.append((type(f), f.value))
+            return True
+        return False
+
+    def listed(self) -> list[tuple[str, int]]:
+        return [(p, n) for p, n in _listed(self.path) if all(holds(p, v) for holds, v in self.paths)]
+
+    def _range(self, blocks: int, k: int, n: int) -> range:
+        """Numbers of the k-th part's blocks whose first frame passes."""
+        low, high = blocks * k // n, blocks * (k + 1) // n
+        for kind, v in self.starts:
+            at, exact = divmod(v - self.first, self.step)
+            if kind is EqualTo and exact:
+                return range(0)
+            if kind in (EqualTo, GreaterThanOrEqual, GreaterThan):
+                low = max(low, at + 1 if exact or kind is GreaterThan else at)
+            if kind in (EqualTo, LessThanOrEqual, LessThan):
+                high = min(high, at if kind is LessThan and not exact else at + 1)
+        return range(low, high)
+
+    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
+        files, _ = store(self.path)
+        for path, k, n in partition.parts:
+            with files.open_input_file(path) as f:
+                try:
+                    rate, channels, offset, length = read_header(lambda at, size, f=f: f.read_at(size, at), f.size())
+                    there = length // (2 * channels)
+                    wanted = there - self.first if self.frames is None else int(self.frames)
+                    if self.first < 0 or wanted < 0 or self.first + wanted > there:
+                        raise WavError(f"no frames {self.first} to {self.first + wanted}")
+                except WavError as e:
+                    if self.skip:
+                        continue
+                    raise WavError(f"{path}: {e}") from None
+                for i in self._range(-(-wanted // self.step), k, n):
+                    a = self.first + i * self.step
+                    size = 2 * channels * min(self.step, self.first + wanted - a)
+                    pcm = np.frombuffer(f.read_at(size, offset + 2 * channels * a), "<i2")
+                    pcm = pa.ListArray.from_arrays(pa.array([0, len(pcm)], pa.int32()), pa.array(pcm))
+                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([rate], pa.int32()), pa.array([channels], pa.int32()), pa.array([a], pa.int64()), pcm], ["path", "sample_rate", "channels", "start_frame", "pcm"])
+
+
 class Reader(DataSourceReader):
     def __init__(self, options: dict):
-        self.options = options
+        self.blocks = Blocks(options)
+
+    def pushFilters(self, filters):
+        return [f for f in filters if not self.blocks.take(f)]
 
     def partitions(self):
-        return [File(p) for p, _ in _listed(self.options["path"])]
-
-    def read(self, partition: File) -> Iterator[tuple]:
-        files, _ = store(self.options["path"])
-        with files.open_input_file(partition.path) as f:
-            size = f.size()
-            head = f.read(min(size, 1 << 16))
-            try:
-                rate, channels, offset, length = parse_header(head if len(head) == size else _with_size(f, size))
-            except WavError as e:
-                if self.options.get("onError") == "skip":
-                    return
-                raise WavError(f"{partition.path}: {e}") from None
-            frames = length // (2 * channels)
-            first = int(self.options.get("firstframe", self.options.get("firstFrame", 0)))
-            wanted = int(self.options.get("frames", frames - first))
-            if first < 0 or wanted < 0 or first + wanted > frames:
-                raise WavError(f"{partition.path}: no frames {first} to {first + wanted}")
-            step = int(self.options.get("blockframes", self.options.get("blockFrames", 1 << 16)))
-            f.seek(offset + 2 * channels * first)
-            for a in range(first, first + wanted, step):
-                n = min(step, first + wanted - a)
-                yield partition.path, rate, channels, a, np.frombuffer(f.read(2 * channels * n), "<i2").tolist()
-
-
-def _with_size(f, size: int) -> bytes:
-    f.seek(0)
-    return f.read(size)
+        return _tasks(self.blocks.listed(), self.blocks.split)
+
+    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
+        return self.blocks.read(partition)
+
+
+class StreamReader(DataSourceStreamReader):
+    """Files by the numbers in their names (SC3); a micro-batch has all that were published since the last."""
+
+    def __init__(self, options: dict):
+        self.blocks = Blocks(options)
+        self.name = re.compile(options.get("name", CAPTURE))
+
+    def _numbered(self) -> list[tuple[int, str, int]]:
+        found = [(self.name.search(os.path.basename(p)), p, n) for p, n in self.blocks.listed()]
+        return sorted((int(m[1]), p, n) for m, p, n in found if m)
+
+    def initialOffset(self) -> dict:
+        return {"sequence": -1}
+
+    def latestOffset(self) -> dict:
+        return {"sequence": max((k for k, _, _ in self._numbered()), default=-1)}
+
+    def partitions(self, start: dict, end: dict):
+        return _tasks([(p, n) for k, p, n in self._numbered() if start["sequence"] < k <= end["sequence"]], self.blocks.split)
+
+    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
+        return self.blocks.read(partition)
 
 
 class Written(WriterCommitMessage):
@@ -132,31 +260,38 @@ class Written(WriterCommitMessage):
         self.pairs = pairs
 
 
-class Writer(DataSourceWriter):
+class Sink:
+    """Files under names of their own, which are renamed or dropped when a job ends."""
+
     def __init__(self, options: dict):
         self.path = options["path"]
 
-    def write(self, rows) -> Written:
+    def write(self, batches) -> Written:
         files, at = store(self.path)
         files.create_dir(at, recursive=True)
         pairs = []
-        for r in rows:
-            if os.path.basename(r.path) != r.path or not r.path:
-                raise WavError(f"not a plain file name: {r.path}")
-            final = f"{at.rstrip('/')}/{r.path}"
-            own = f"{final}.{uuid.uuid4().hex}.part"
-            with files.open_output_stream(own) as f:
-                f.write(wav_bytes(np.asarray(r.pcm, np.int16), r.sample_rate, r.channels))
-            pairs.append((own, final))
+        for b in batches:
+            for i, (name, rate, channels) in enumerate(zip(*[b.column(c).to_pylist() for c in ("path", "sample_rate", "channels")])):
+                pcm = b.column("pcm")[i].values
+                if not name or os.path.basename(name) != name:
+                    raise WavError(f"not a plain file name: {name}")
+                if rate is None or channels is None or pcm is None or pcm.null_count:
+                    raise WavError(f"{name}: sample_rate, channels or samples are null")
+                final = f"{at.rstrip('/')}/{name}"
+                own = f"{final}.{uuid.uuid4().hex}.part"
+                with files.open_output_stream(own) as f:
+                    f.write(wav_bytes(pcm.to_numpy(zero_copy_only=False), rate, channels))
+                pairs.append((own, final))
         return Written(pairs)
 
-    def commit(self, messages) -> None:
+    def publish(self, messages) -> list[str]:
         files, _ = store(self.path)
-        for m in messages:
-            for own, final in m.pairs if m else []:
-                files.move(own, final)
+        pairs = sorted((p for m in messages if m for p in m.pairs), key=lambda p: p[1])
+        for own, final in pairs:
+            files.move(own, final)
+        return [os.path.basename(final) for _, final in pairs]
 
-    def abort(self, messages) -> None:
+    def drop(self, messages) -> None:
         from pyarrow import fs
 
         files, _ = store(self.path)
@@ -166,6 +301,47 @@ class Writer(DataSourceWriter):
                     files.delete_file(own)
 
 
+class Writer(DataSourceArrowWriter):
+    def __init__(self, options: dict):
+        self.sink = Sink(options)
+
+    def write(self, iterator) -> Written:
+        return self.sink.write(iterator)
+
+    def commit(self, messages) -> None:
+        self.sink.publish(messages)
+
+    def abort(self, messages) -> None:
+        self.sink.drop(messages)
+
+
+class StreamWriter(DataSourceStreamArrowWriter):
+    """Micro-batches that are published once (SK3): a batch that has its note was renamed in whole, one without is renamed again."""
+
+    def __init__(self, options: dict):
+        self.sink = Sink(options)
+
+    def write(self, iterator) -> Written:
+        return self.sink.write(iterator)
+
+    def commit(self, messages, batchId: int) -> None:
+        from pyarrow import fs
+
+        files, at = store(self.sink.path)
+        note = f"{at.rstrip('/')}/_batches/{batchId}.json"
+        if files.get_file_info(note).type == fs.FileType.File:
+            self.sink.drop(messages)
+            return
+        names = self.sink.publish(messages)
+        files.create_dir(os.path.dirname(note), recursive=True)
+        with files.open_output_stream(f"{note}.part") as f:
+            f.write(json.dumps({"batch": batchId, "files": names}).encode())
+        files.move(f"{note}.part", note)
+
+    def abort(self, messages, batchId: int) -> None:
+        self.sink.drop(messages)
+
+
 class WavSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -180,8 +356,16 @@ class WavSource(DataSource):
     def writer(self, schema, overwrite: bool) -> Writer:
         return Writer(self.options)
 
+    def streamReader(self, schema) -> StreamReader:
+        return StreamReader(self.options)
+
+    def streamWriter(self, schema, overwrite: bool) -> StreamWriter:
+        return StreamWriter(self.options)
+
 
 def register(spark: SparkSession) -> None:
+    """Makes the source known to a session, and lets its filters reach it."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WavSource)
 
 
