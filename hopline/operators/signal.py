@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hopline.functions import rules
 from hopline.functions.numeric import channel, pcm16
 
 #: What counts as an alignment.
@@ -110,6 +112,61 @@ def ramped(pcm: Column, current: Column, target: Column, frames: Column, first_f
     return F.transform(pcm, lambda v, i: pcm16(v.cast("double") * ramp(current, target, frames, first_frame + F.floor(i / channels))))
 
 
+def gain_changes(controls: DataFrame, by: list[str], at: str, gain: str, order: str, frames: int, initial: float = 1.0) -> DataFrame:
+    """by, at, start_gain, target_gain: where each control finds the gain, also inside the ramp of the one before (WN8).
+
+    ``at`` is the frame that a control precedes; of several at one frame the last by ``order`` counts (ties: the largest gain). Controls
+    without a frame or with a gain outside [0, 1] change nothing. A gain depends on all controls before it, so a stream's are read
+    in order, batch by batch, with the last one as state.
+    """
+    types = dict(controls.dtypes)
+    valid = controls.where(F.col(at).isNotNull() & rules.valid_gain(F.col(gain)))
+    last = valid.groupBy(*by, at).agg(F.max_by(F.col(gain).cast("double"), F.struct(F.col(order), F.col(gain))).alias("target_gain"))
+
+    def follow(batches):
+        key, place, start, target = None, 0, initial, initial
+        for b in batches:
+            starts = []
+            for *k, a, t in zip(*[b.column(c).to_pylist() for c in (*by, at, "target_gain")]):
+                if k != key:
+                    key, start, target = k, initial, initial
+                elif frames:
+                    start += (target - start) * min(1.0, (a - place) / frames)
+                else:
+                    start = target
+                place, target = a, t
+                starts.append(start)
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in (*by, at)], pa.array(starts, pa.float64()), b.column("target_gain")], [*by, at, "start_gain", "target_gain"])
+
+    ddl = ", ".join(f"`{c}` {types[c]}" for c in (*by, at))
+    return last.repartition(*by).sortWithinPartitions(*by, at).mapInArrow(follow, f"{ddl}, start_gain double, target_gain double")
+
+
+def gained(blocks: DataFrame, changes: DataFrame, by: list[str], first_frame: str, at: str, frames: int, channels: int = 2, initial: float = 1.0) -> DataFrame:
+    """blocks with ``pcm`` times the gains of ``changes`` (WN8), rounded and saturated; samples are not taken apart into rows.
+
+    Blocks of a stream do not overlap; by and first_frame name a block, one without first_frame has no samples in the result. A block takes the last change before it and those inside it, found by one
+    window over block places and changes; samples join with the result once.
+    """
+    place = blocks.where((F.size("pcm") > 0) & F.col(first_frame).isNotNull()).select(*by, F.col(first_frame).cast("long").alias("_hl_f"), F.lit(0).alias("_hl_kind"), (F.col(first_frame) + F.ceil(F.size("pcm") / channels)).cast("long").alias("_hl_end"))
+    change = changes.select(*by, F.col(at).cast("long").alias("_hl_f"), F.lit(1).alias("_hl_kind"), F.struct(F.col(at).cast("long").alias("at"), "start_gain", "target_gain").alias("_hl_c"))
+    w = Window.partitionBy(*by).orderBy("_hl_f", "_hl_kind")
+    block = F.when(F.col("_hl_kind") == 0, F.struct(F.col("_hl_f").alias("first"), F.col("_hl_end").alias("end")))
+    both = place.unionByName(change, allowMissingColumns=True).withColumns({"_hl_b": F.last(block, True).over(w), "_hl_before": F.last("_hl_c", True).over(w)})
+    inside = both.where("_hl_kind = 0 or _hl_f < _hl_b.end").groupBy(*by, F.col("_hl_b.first").alias("_hl_first")).agg(
+        F.max(F.when(F.col("_hl_kind") == 0, F.col("_hl_before"))).alias("_hl_before"), F.array_sort(F.collect_list("_hl_c")).alias("_hl_in"))
+    inside = inside.select(*[F.col(c).alias(f"_hl_k{i}") for i, c in enumerate(by)], "_hl_first", "_hl_before", "_hl_in")
+    found = [F.col(c).eqNullSafe(F.col(f"_hl_k{i}")) for i, c in enumerate(by)] + [F.col(first_frame).cast("long") == F.col("_hl_first")]
+    first, n = F.col("_hl_first"), F.ceil(F.size("pcm") / channels).cast("long")
+    none = F.struct(first.alias("at"), F.lit(initial).alias("start_gain"), F.lit(initial).alias("target_gain"))
+    parts = F.concat(F.array(F.coalesce("_hl_before", none)), "_hl_in")
+    until = lambda i: F.coalesce(F.get("_hl_in", i)["at"], first + n)
+    gains = lambda c, i: F.when(F.greatest(c["at"], first) < until(i), F.transform(F.sequence(F.greatest(c["at"], first), until(i) - 1), lambda f: ramp(c["start_gain"], c["target_gain"], F.lit(frames), f - c["at"]))).otherwise(F.array().cast("array<double>"))
+    joined = blocks.join(inside, found, "left").withColumn("_hl_g", F.flatten(F.transform(parts, gains)))
+    louder = F.transform("pcm", lambda v, i: pcm16(v.cast("double") * F.get("_hl_g", F.floor(i / channels).cast("int"))))
+    return joined.withColumn("pcm", F.when(F.col("_hl_g").isNotNull(), louder).when(F.size("pcm") == 0, F.col("pcm"))).select(*blocks.columns)
+
+
 BLOCK = 64
 
 

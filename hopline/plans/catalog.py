@@ -248,6 +248,25 @@ def gain_ramp(spark, d):
     return positions(b.select("vec_id", signal.ramped(F.col("pcm"), F.lit(1.0), F.col("target"), F.lit(10), F.lit(0)).alias("pcm")), ["vec_id"])
 
 
+@query(f"""
+with recursive {PCM}, s as (select vec_id, vec_id // 50 as stream, unnest(pcm) as v, generate_subscripts(pcm, 1) - 1 as i from blocks),
+g as (select user_id, event_id * 7 % 1600 as place, arg_max((event_id % 6 / 4.0)::double, event_id) as target from events where event_type = 'click' and event_id % 6 < 5 group by all),
+n as (select *, row_number() over (partition by user_id order by place) as k from g),
+c as (select user_id, k, place, 1.0::double as start, target from n where k = 1 union all
+  select n.user_id, n.k, n.place, c.start + (c.target - c.start) * least(1.0::double, (n.place - c.place) / 60.0::double), n.target from c join n on n.user_id = c.user_id and n.k = c.k + 1),
+f as (select *, vec_id % 50 * 32 + i // 2 as frame from s)
+select vec_id, i, greatest(-32768, least(32767, round(v * coalesce(start + (target - start) * least(1.0::double, (frame - place + 1) / 60.0::double), 1.0::double))))::int as v
+from f asof left join c on c.user_id = f.stream and f.frame >= c.place
+""")
+def gain_retargets(spark, d):
+    """WN8: gains that are changed while they still move; a stream is 50 blocks, its controls are a user's clicks, refused above gain 1."""
+    b = blocks(spark, d).select("vec_id", F.floor(F.col("vec_id") / 50).alias("stream"), (F.col("vec_id") % 50 * 32).alias("first_frame"), "pcm")
+    n = F.col("event_id")
+    e = table(spark, d, "events").where("event_type = 'click'").select(F.col("user_id").cast("long").alias("stream"), (n * 7 % 1600).alias("at"), (n % 6 / 4).alias("gain"), "event_id")
+    changes = signal.gain_changes(e, ["stream"], "at", "gain", "event_id", 60)
+    return positions(signal.gained(b, changes, ["stream"], "first_frame", "at", 60), ["vec_id"])
+
+
 @query(SAMPLES + " select vec_id, i // 8 as block, round(avg(abs(v)), 6) as mean_abs from s group by vec_id, i // 8 having count(*) = 8")
 def block_envelope(spark, d):
     """WN10."""
