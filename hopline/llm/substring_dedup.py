@@ -14,7 +14,9 @@ counts as larger than all others. Rows that share a doc_id are one document to t
 the other); each gets its own result. A very long text is one chunk of a worker. An empty table gives an empty result. Columns
 other than doc_id and text are not read, whatever their names.
 
-A bucket's packed strings are held in one worker; its windows are sorted in as many passes over them as keep WINDOWS at once.
+A bucket's packed strings are read in one worker; its windows are sorted in as many passes over them as keep WINDOWS at once. Each
+time FOLD bytes have come together, and twice of what was left before, strings all of whose windows are marked are let go: the
+copies of a passage that each chunk holds leave one of them in memory. What is held is the bucket's distinct text.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +39,8 @@ CHUNK = 4 << 20
 LAST_ID = 2**63 - 1
 #: Windows that are sorted at once, about; 40 bytes each.
 WINDOWS = 4 << 20
+#: Bytes of a bucket's strings that are sorted before more are read.
+FOLD = 32 << 20
 
 
 def _squeeze(data: bytes) -> bytes:
@@ -91,7 +97,7 @@ def _blob(bucket: int, kind: int, ids, prints, a, b, body: bytes = b"") -> tuple
 
 def _pack(window: int, m: int, buckets: int):
     def run(batches):
-        turn = 0
+        turn = TaskContext.get().partitionId() << 32
         for batch in chunks(batches, limit=CHUNK):
             ids = batch.column("id").to_numpy()
             order = np.argsort(ids, kind="stable")
@@ -99,9 +105,10 @@ def _pack(window: int, m: int, buckets: int):
             w = Words(*flatten(batch.column("text")))
             prints = w.prints()
             turn += 1
+            own_bucket = xxhash.xxh3_64_intdigest(turn.to_bytes(8, "little")) % buckets  # tasks number their chunks alike, so the number alone would pile them up
             rows = []
             shas = b"".join(hashlib.sha256(w.text(d)).digest() for d in range(len(ids)))
-            rows.append(_blob(turn % buckets, 1, ids, prints, w.counts, np.zeros(len(ids)), shas))
+            rows.append(_blob(own_bucket, 1, ids, prints, w.counts, np.zeros(len(ids)), shas))
             at = w.windows(window)
             if len(at):
                 doc = np.searchsorted(w.pointer, at, "right") - 1
@@ -111,7 +118,7 @@ def _pack(window: int, m: int, buckets: int):
                     own, of = at[known], doc[known]
                     cut = _breaks(own[1:] != own[:-1] + 1, of[1:] != of[:-1])
                     d = of[cut[:-1]]
-                    rows.append(_blob(turn % buckets, 2, ids[d], prints[d], own[cut[:-1]] - w.pointer[d], own[cut[1:] - 1] + window - w.pointer[d]))
+                    rows.append(_blob(own_bucket, 2, ids[d], prints[d], own[cut[:-1]] - w.pointer[d], own[cut[1:] - 1] + window - w.pointer[d]))
                 least = np.zeros(len(w.starts), np.uint64)
                 least[: len(w.starts) - m + 1] = w.runs(np.arange(len(w.starts) - m + 1), m)
                 least = _sliding_min(least, window - m + 1)
@@ -144,8 +151,8 @@ def _marks(ids, prints, kind: int, a, b, sha=None) -> pa.RecordBatch:
 def _sorted_windows(window: int):
     """Marks of a partition's bucket."""
 
-    def one_pass(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, k: int, passes: int) -> np.ndarray:
-        """(run, place in it) of the repeated windows whose hash falls to pass k: equal windows fall to the same."""
+    def one_pass(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, k: int, passes: int, total: np.ndarray) -> np.ndarray:
+        """(run, place in it) of the repeated windows whose hash falls to pass k: equal windows fall to the same. ``total`` gets the windows of each run."""
         parts = []
         i = 0
         while i < len(ids):  # hashes need 24 bytes for each byte of text, so they are made slice by slice
@@ -154,6 +161,7 @@ def _sorted_windows(window: int):
             part = data[base : offsets[j]]
             starts, ends, pointer = words(part, offsets[i : j + 1] - base)
             counts = np.diff(pointer) - window + 1
+            total[i:j] = counts
             at = np.arange(int(counts.sum())) + np.repeat(pointer[:-1] - (np.cumsum(counts) - counts), counts)
             run = np.repeat(np.arange(i, j), counts)
             h = Prefix(part)(starts[at], ends[at + window - 1])
@@ -165,15 +173,20 @@ def _sorted_windows(window: int):
         dup = np.flatnonzero(repeated(data, hashes, ids[run], starts, ends))
         return np.stack([run[dup], place[dup]])
 
-    def resolve(held: list) -> pa.RecordBatch | None:
+    def resolve(held: list, more: bool) -> pa.RecordBatch | None:
+        """Marks of the strings held; if more of the bucket follow, those with an unmarked window stay."""
         ids, prints, a, n = (np.concatenate(x) for x in list(zip(*held))[:4])
         data = np.frombuffer(b"".join(x[4] for x in held), np.uint8)
         held.clear()
         offsets = np.concatenate(([0], np.cumsum(n)))
         passes = max(1, -(-len(data) // (8 * WINDOWS)))  # words have some eight bytes
-        dup = np.concatenate([one_pass(data, offsets, ids, k, passes) for k in range(passes)], 1)
+        total = np.zeros(len(ids), np.int64)
+        dup = np.concatenate([one_pass(data, offsets, ids, k, passes, total) for k in range(passes)], 1)
         dup = dup[:, np.lexsort((dup[1], dup[0]))]
         run, place = dup
+        if more:
+            stay = np.bincount(run, minlength=len(ids)) < total
+            held.append((ids[stay], prints[stay], a[stay], n[stay], gather(data, offsets[:-1][stay], n[stay]).tobytes()))
         if not len(run):
             return None
         cut = _breaks((run[1:] != run[:-1]) | (place[1:] != place[:-1] + 1))
@@ -182,7 +195,7 @@ def _sorted_windows(window: int):
         return _marks(ids[r], prints[r], 2, a[r] + place[x], a[r] + place[y] + window)
 
     def run(batches):
-        bucket, held = None, []
+        bucket, held, size, bound = None, [], 0, FOLD
         for batch in batches:
             for k, kind, *blobs in zip(*[batch.column(c).to_pylist() for c in ("bucket", "kind", "ids", "prints", "a", "b", "body")]):
                 ids, prints, a, b, body = (np.frombuffer(_expand(x), t) if t else _expand(x) for x, t in zip(blobs, (np.int64, np.int64, np.int64, np.int64, None)))
@@ -191,11 +204,15 @@ def _sorted_windows(window: int):
                 elif kind == 2:
                     yield _marks(ids, prints, 2, a, b)
                 else:
-                    if k != bucket and held and (out := resolve(held)):
-                        yield out
+                    if (k != bucket or size > bound) and held:
+                        if out := resolve(held, k == bucket):
+                            yield out
+                        size = sum(len(x[4]) for x in held)
+                        bound = max(FOLD, 2 * size)
                     bucket = k
                     held.append((ids, prints, a, b, body))
-        if held and (out := resolve(held)):
+                    size += len(body)
+        if held and (out := resolve(held, False)):
             yield out
         release_memory()
 

@@ -35,8 +35,9 @@ def got(spark, rows, **o):
     return sorted((tuple(r) for r in sd.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), **o).collect()), key=str)
 
 
-@pytest.mark.parametrize("chunk", [4 << 20, 300])
-def test_brute_force(spark, monkeypatch, chunk):
+@pytest.mark.parametrize("chunk, fold", [(4 << 20, 32 << 20), (300, 32 << 20), (300, 0), (300, 400)])
+def test_brute_force(spark, monkeypatch, chunk, fold):
+    monkeypatch.setattr(sd, "FOLD", fold)
     rng = random.Random(5)
     vocab = ["é", "a", "bb", "ccc", "dddd", "日本"] + [f"w{i}" for i in range(40)]
     passages = [[rng.choice(vocab) for _ in range(n)] for n in (13, 14, 30, 60)]
@@ -62,6 +63,27 @@ def test_empty_and_text(spark):
     assert {(r.doc_id, r.n_removed, r.kept) for r in rows} == {(1, 0, None), (2, 20, "x y")}
 
 
+def test_chunks_spread_over_the_buckets(spark, monkeypatch):
+    """Rows for each document go to as many buckets as there are chunks, whatever the number of tasks."""
+    monkeypatch.setattr(sd, "CHUNK", 60)
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(15))) for i in range(64)], "id long, text string").repartition(16)
+    blobs = docs.mapInArrow(sd._pack(13, 3, 4096), sd.BLOBS).where("kind = 1").groupBy("bucket").count().collect()
+    assert sum(r["count"] for r in blobs) == 64 and len(blobs) > 55 and max(r["count"] for r in blobs) < 4
+
+
+def test_a_passage_of_each_chunk_is_let_go(monkeypatch):
+    """10,000 copies of a passage in one bucket: the largest sort has those that came since the last, not all."""
+    monkeypatch.setattr(sd, "FOLD", 4000)
+    text = " ".join(f"w{i}" for i in range(13)).encode()
+    blobs = [sd._blob(1, 0, [i], [i], [0], [len(text)], text) for i in reversed(range(10_000))]
+    batch = sd.pa.RecordBatch.from_arrays([sd.pa.array(c) for c in zip(*blobs)], ["bucket", "kind", "ids", "prints", "a", "b", "body"])
+    sizes = []
+    known = sd.repeated
+    monkeypatch.setattr(sd, "repeated", lambda data, *x: (sizes.append(len(data)), known(data, *x))[1])
+    marked = sorted(i for out in sd._sorted_windows(13)([batch]) for i in set(out.column("id").to_pylist()))
+    assert marked == list(range(1, 10_000)) and max(sizes) < 5000
+
+
 def test_unlike_windows_with_equal_hashes():
     data = np.frombuffer(b"aabbaa", np.uint8)
     at = np.array([0, 2, 4])
