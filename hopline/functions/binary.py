@@ -118,8 +118,8 @@ def valid_mask(mask: Column) -> Column:
 
 
 def control_error(packet: Column) -> Column:
-    """The first rule that a mixer control packet breaks, or none (SC18)."""
-    return _ladder(
+    """The first rule that a mixer control packet breaks, or none (SC18); null for null."""
+    error = _ladder(
         (F.length(packet) < CONTROL_BYTES, "too_short"),
         (F.length(packet) != CONTROL_BYTES, "invalid_length"),
         *_common(packet, CONTROL, CONTROL_BYTES),
@@ -127,6 +127,7 @@ def control_error(packet: Column) -> Column:
         (unsigned(packet, CONTROL_SUM, 4) != checksum(packet, CONTROL_SUM), "checksum_mismatch"),
         (~valid_mask(unsigned(packet, 24, 1)) | F.exists(gains(packet), lambda g: g > UNITY), "invalid_control"),
     )
+    return F.when(packet.isNotNull(), error)
 
 
 def control_fields(packet: Column) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from hopline.schemas import schema
 
@@ -32,3 +33,29 @@ def separated(windows: DataFrame, keys: list[str], load: Callable[[], Separator]
             yield pd.DataFrame(rows, columns=[*keys, "stem", "pcm"])
 
     return windows.select(*keys, "pcm").mapInPandas(run, schema(", ".join([*(f"{k} {types[k]}" for k in keys), OUT])))
+
+
+def table_function(load: Callable[[], Separator], keys: str):
+    """The model as a function of tables in SQL: ``stems(TABLE(windows) PARTITION BY stream ORDER BY sequence)``.
+
+    ``keys`` is the DDL of the columns that name a window, of which the rows carry all; ``pcm`` holds its samples. After a
+    partition's stems comes a row for each stem without keys or pcm: the windows it had and its peak, held as state meanwhile.
+    """
+    names = schema(keys).fieldNames()
+
+    class Stems:
+        def __init__(self):
+            self.model = load()
+            self.seen: dict[str, tuple[int, int]] = {}
+
+        def eval(self, row):
+            for stem, pcm in self.model(np.asarray(row["pcm"], np.int16)).items():
+                windows, peak = self.seen.get(stem, (0, 0))
+                self.seen[stem] = windows + 1, max(peak, int(np.abs(pcm.astype(np.int32)).max(initial=0)))
+                yield (*[row[k] for k in names], stem, pcm.tolist(), None, None)
+
+        def terminate(self):
+            for stem, (windows, peak) in self.seen.items():
+                yield (*[None] * len(names), stem, None, windows, peak)
+
+    return F.udtf(Stems, returnType=schema(f"{keys}, {OUT}, windows long, peak int"), useArrow=True)

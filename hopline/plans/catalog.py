@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hopline.functions import binary, identity, numeric, rules, text
-from hopline.model import mid_side, separated
+from hopline.model import mid_side, separated, table_function
 from hopline.operators import cache, framing, joins, lyrics, publication, signal, telemetry, timeline
 from hopline.plans import decisions, files, live, songs
 from hopline.plans.bindings import ACCEPTANCE, ACCEPTANCE_REPORT, NUMBERED, PCM, SAMPLES, blocks, numbered_events, positions, session_samples
 from hopline.plans.registry import oracle_sql, queries, query
+from hopline.sources import documents
 from hopline.sources.tables import table
 
 __all__ = ["decisions", "files", "live", "oracle_sql", "queries", "songs"]
@@ -324,6 +325,21 @@ def stems_pipeline(spark, d):
     return out.select("vec_id", "stem", F.aggregate("pcm", F.lit(0).cast("long"), lambda s, v: s + v).alias("total"))
 
 
+@query(f"""
+with {PCM}, f as (select vec_id, vec_id // 50 as stream, unnest(range(0, len(pcm) // 2)) as f, pcm from blocks),
+m as (select vec_id, stream, pcm[2 * f + 1] as l, pcm[2 * f + 2] as r, (pcm[2 * f + 1] + pcm[2 * f + 2] - ((pcm[2 * f + 1] + pcm[2 * f + 2]) % 2 + 2) % 2) // 2 as c from f),
+s as (select vec_id, stream, 'vocals' as stem, c as x, c as y from m union all select vec_id, stream, 'instrumental', greatest(-32768, least(32767, l - c)), greatest(-32768, least(32767, r - c)) from m)
+select vec_id, stem, sum(x + y)::bigint as total, null::bigint as windows, null::int as peak from s group by vec_id, stem
+union all select null, stem, null, count(distinct vec_id), max(greatest(abs(x), abs(y)))::int from s group by stream, stem
+""")
+def stems_in_sql(spark, d):
+    """UD1: the same model called in SQL, once for each stream's blocks in order, with what each call has seen."""
+    spark.udtf.register("hl_stems", table_function(lambda: mid_side, "vec_id long"))
+    blocks(spark, d).select("vec_id", "pcm", F.floor(F.col("vec_id") / 50).alias("stream")).createOrReplaceTempView("hl_windows")
+    out = spark.sql("select * from hl_stems(table(hl_windows) partition by stream order by vec_id)")
+    return out.select("vec_id", "stem", F.aggregate("pcm", F.lit(0).cast("long"), lambda s, v: s + v).alias("total"), "windows", "peak")
+
+
 @query("select event_id, greatest(-32768, least(32767, round(value * 321.5)))::int as pcm, round_even(greatest(-1, least(1, (value - 20) / 40)) * 32767, 0)::int as from_float from events")
 def pcm_rounding(spark, d):
     """SF10, SF12: the two roundings."""
@@ -712,6 +728,48 @@ def packet_roundtrip(spark, d):
     return out.select("event_id", "f.sequence", "f.presentation_frame", "f.frame_count", "error", "broken", (F.col("f.pcm") == F.col("pcm")).alias("same"))
 
 
+_LITTLE = "list_aggregate(list_transform(range(0, {w}), lambda i: printf('%02X', ({v}) >> (8 * i) & 255)), 'string_agg', '')"
+
+
+@query(f"""
+with e as (select event_id, event_id % 200 as mask, list_transform(range(0, 7), lambda i: event_id * (i + 3) % (32769 + (event_id % 5 = 0)::int * 9)) as gains from events),
+g as (select *, mask < 128 and list_max(gains) <= 32768 as fine, list_filter(['vocals', 'instrumental', 'drums', 'bass', 'other', 'guitar', 'piano'], lambda x, i: mask >> (i - 1) & 1 = 1) as stems from e),
+k as (select *, case when not fine then 0 else event_id % 8 end as damage, list_sum(list_transform(gains, lambda x, i: case when mask >> (i - 1) & 1 = 1 then x end))::double / 32768 as total from g)
+select event_id, case when fine then '53534E5001023000' || {_LITTLE.format(w=4, v="event_id % 7")} || {_LITTLE.format(w=4, v="event_id")} || {_LITTLE.format(w=8, v="event_id * 1000")} || {_LITTLE.format(w=1, v="mask")} || '000000'
+    || list_aggregate(list_transform(gains, lambda x: printf('%02X%02X', x & 255, x >> 8 & 255)), 'string_agg', '') || '0000' end as body,
+  case when fine then ['none', 'too_short', 'invalid_length', 'wrong_magic', 'wrong_packet_type', 'invalid_header', 'checksum_mismatch', 'invalid_control'][damage + 1] end as error,
+  case when fine and damage = 0 then event_id end as sequence, case when fine and damage = 0 then event_id * 1000 end as issued_at_ms, case when fine and damage = 0 then len(stems) end as stems, case when fine and damage = 0 then coalesce(round(total, 6), 0) end as total_gain from k
+""")
+def control_packets(spark, d):
+    """SC18, SK18, FL10: mixer control packets built byte by byte, refused by the first rule that a damaged one breaks, read by stem; none is built for masks beyond the stems or gains beyond unity."""
+    n = F.col("event_id")
+    gains = F.transform(F.sequence(F.lit(3), F.lit(9)), lambda i: (n * i % (32769 + F.when(n % 5 == 0, 9).otherwise(0))).cast("int"))
+    p = table(spark, d, "events").select("event_id", binary.control_packet(n % 7, n, n * 1000, n % 200, gains).alias("p"))
+    cut = lambda a, b=None: F.substring("p", a, 48 if b is None else b)
+    resealed = binary._sealed(F.concat(cut(1, 24), F.lit(b"\x80"), cut(26)), binary.CONTROL_SUM)
+    damaged = (
+        F.when(n % 8 == 1, cut(1, 47)).when(n % 8 == 2, F.concat(F.col("p"), F.lit(b"\0"))).when(n % 8 == 3, F.concat(F.lit(b"s"), cut(2))).when(n % 8 == 4, F.concat(cut(1, 5), F.lit(b"\1"), cut(7)))
+        .when(n % 8 == 5, F.concat(cut(1, 25), F.lit(b"\1"), cut(27))).when(n % 8 == 6, F.concat(cut(1, 44), F.lit(b"\x01\x02\x03\x04"))).when(n % 8 == 7, resealed).otherwise(F.col("p"))
+    )
+    r = p.withColumn("q", damaged).withColumns({"error": F.when(F.col("p").isNotNull(), binary.control_error(F.col("q"))), "f": binary.control_fields(F.col("q"))})
+    total = F.aggregate(F.map_values("f.gains"), F.lit(0.0), lambda a, v: a + v)
+    return r.select("event_id", F.substring(F.hex("p"), 1, 88).alias("body"), "error", "f.sequence", "f.issued_at_ms", F.when(F.col("f").isNotNull(), F.size("f.gains").cast("long")).alias("stems"), F.round(total, 6).alias("total_gain"))
+
+
+@query("""
+with c as (select user_id as stream, event_id * 37 % 10007 as sequence, event_type as kind, ts, event_id from events where event_type in ('signup', 'click', 'error')),
+m as (select *, max(sequence) over (partition by stream order by ts, event_id rows between unbounded preceding and 1 preceding) as before from c)
+select stream, sequence, case when kind = 'signup' then 'start' else kind end as action from m where sequence > coalesce(before, -1) and (kind <> 'signup' or sequence % 3 = 0)
+""")
+def effective_commands(spark, d):
+    """SC10, SK10: commands whose sequence is above all that arrived before; a start takes effect only if its capture session is there."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("stream"), (F.col("event_id") * 37 % 10007).alias("sequence"), "event_type", F.struct("ts", "event_id").alias("arrived_at"))
+    action = F.when(F.col("event_type") == "signup", "start").otherwise(F.col("event_type"))
+    rows = e.where("event_type in ('signup', 'click', 'error')").select("stream", "sequence", action.alias("action"), "arrived_at")
+    sessions = e.where("sequence % 3 = 0").select("stream", "sequence").distinct()
+    return documents.commands(rows, sessions).select("stream", "sequence", "action")
+
+
 @query("""
 select event_id, case when event_id >= 3600 then event_id // 3600 || ':' || lpad((event_id // 60 % 60)::varchar, 2, '0') else lpad((event_id // 60)::varchar, 2, '0') end || ':' || lpad((event_id % 60)::varchar, 2, '0') as clock, 'capture-' || lpad(event_id::varchar, 8, '0') as name from events
 """)
