@@ -738,7 +738,7 @@ k as (select *, case when not fine then 0 else event_id % 8 end as damage, list_
 select event_id, case when fine then '53534E5001023000' || {_LITTLE.format(w=4, v="event_id % 7")} || {_LITTLE.format(w=4, v="event_id")} || {_LITTLE.format(w=8, v="event_id * 1000")} || {_LITTLE.format(w=1, v="mask")} || '000000'
     || list_aggregate(list_transform(gains, lambda x: printf('%02X%02X', x & 255, x >> 8 & 255)), 'string_agg', '') || '0000' end as body,
   case when fine then ['none', 'too_short', 'invalid_length', 'wrong_magic', 'wrong_packet_type', 'invalid_header', 'checksum_mismatch', 'invalid_control'][damage + 1] end as error,
-  case when fine and damage = 0 then event_id end as sequence, case when fine and damage = 0 then event_id * 1000 end as issued_at_ms, case when fine and damage = 0 then len(stems) end as stems, case when fine and damage = 0 then coalesce(round(total, 6), 0) end as total_gain from k
+  case when fine and damage = 0 then event_id else -1 end as sequence, case when fine and damage = 0 then event_id * 1000 else -1 end as issued_at_ms, case when fine and damage = 0 then len(stems) else -1 end as stems, case when fine and damage = 0 then coalesce(round(total, 6), 0) end as total_gain from k
 """)
 def control_packets(spark, d):
     """SC18, SK18, FL10: mixer control packets built byte by byte, refused by the first rule that a damaged one breaks, read by stem; none is built for masks beyond the stems or gains beyond unity."""
@@ -753,7 +753,7 @@ def control_packets(spark, d):
     )
     r = p.withColumn("q", damaged).withColumns({"error": F.when(F.col("p").isNotNull(), binary.control_error(F.col("q"))), "f": binary.control_fields(F.col("q"))})
     total = F.aggregate(F.map_values("f.gains"), F.lit(0.0), lambda a, v: a + v)
-    return r.select("event_id", F.substring(F.hex("p"), 1, 88).alias("body"), "error", "f.sequence", "f.issued_at_ms", F.when(F.col("f").isNotNull(), F.size("f.gains").cast("long")).alias("stems"), F.round(total, 6).alias("total_gain"))
+    return r.select("event_id", F.substring(F.hex("p"), 1, 88).alias("body"), "error", *[F.coalesce(v, F.lit(-1).cast("long")).alias(c) for c, v in (("sequence", F.col("f.sequence")), ("issued_at_ms", F.col("f.issued_at_ms")), ("stems", F.when(F.col("f").isNotNull(), F.size("f.gains").cast("long"))))], F.round(total, 6).alias("total_gain"))
 
 
 @query("""
