@@ -722,7 +722,8 @@ def packet_roundtrip(spark, d):
     n = F.col("event_id")
     pcm = F.transform(F.array(n, -n, n * 3, F.lit(-32768), F.lit(32767), F.lit(0)), lambda v: (v % 32768).cast("smallint"))
     p = table(spark, d, "events").select("event_id", pcm.alias("pcm")).withColumn("p", binary.audio_packet(F.lit(9), n % 1000, n * 7, F.lit(44100), F.col("pcm")))
-    damaged = F.when(n % 2 == 0, F.concat(F.substring("p", 1, 41), F.lit(b"\x55"), F.substring("p", 43, 2000))).otherwise(F.concat(F.lit(b"X"), F.substring("p", 2, 2000)))
+    flipped = binary.little_endian(binary.unsigned(F.col("p"), 41, 1).bitwiseXOR(F.lit(0x55)), 1)  # a fixed byte would leave packets whole that hold it there
+    damaged = F.when(n % 2 == 0, F.concat(F.substring("p", 1, 41), flipped, F.substring("p", 43, 2000))).otherwise(F.concat(F.lit(b"X"), F.substring("p", 2, 2000)))
     p = p.withColumn("q", damaged).repartition("event_id")  # sent and received: the packet is not built again for each of its fields
     out = p.select("event_id", binary.audio_fields(F.col("p")).alias("f"), binary.audio_error(F.col("p")).alias("error"), binary.audio_error(F.col("q")).alias("broken"), "pcm").repartition("event_id")
     return out.select("event_id", "f.sequence", "f.presentation_frame", "f.frame_count", "error", "broken", (F.col("f.pcm") == F.col("pcm")).alias("same"))

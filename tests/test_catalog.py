@@ -69,3 +69,13 @@ def test_entry_runs_without_the_llm_package(spark):
     root = Path(__file__).resolve().parent.parent
     code = "import sys; sys.modules['hopline.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert 'sliding_full_windows' in e.queries() and not any(k.startswith('op') for k in e.queries()); assert set(e.oracle_sql()) <= set(e.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
+
+
+def test_every_damaged_packet_is_refused(spark, tmp_path):
+    """Even ids from 21760 to 22014, of every 32768, give packets that hold 0x55 where the damage is done."""
+    ids = [*range(21750, 22030), *range(32768 * 9 + 21750, 32768 * 9 + 21780)]
+    spark.createDataFrame([(i,) for i in ids], "event_id long").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    want = c.execute(catalog.oracle_sql()["packet_roundtrip"]).df()
+    assert rows_of(catalog.queries()["packet_roundtrip"](spark, str(tmp_path)).toPandas()) == rows_of(want)
