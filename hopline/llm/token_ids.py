@@ -21,10 +21,11 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,15 +35,16 @@ from hopline.storage import store as store_of
 
 END_ID = 2
 LENGTH = 2048
-#: Bytes of pieces and their ids that a worker keeps; beyond, it starts anew. Longer pieces than PIECE characters are not kept.
-MEMO, PIECE = 64 << 20, 64
-#: Characters that are split into pieces at once, and pieces of one text.
-CHARS, PIECES = 1 << 18, 1 << 16
+#: Bytes of words and their ids that a worker keeps; beyond, it starts anew from the words at hand.
+MEMO = 32 << 20
+#: Characters of texts that are cut into words at once; new words, or pieces of a very long one, that are encoded at once.
+CHARS, PIECES = 1 << 22, 1 << 16
 ROWS = 64
 
 # Letters, digits and white space up to U+024F, for the splitting pattern of byte-level BPE. Other texts go to the library whole.
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", "\\t\\n\\r \\xa0"
 _PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+_RUNS = re.compile(f" (?![^{_S}])(?<=[{_S}] )")  # spaces inside or at the end of longer white space
 _OTHER = re.compile("[^\\t\\n\\r -~\\xa0-ɏ‐-‧€]")
 
 
@@ -59,8 +61,9 @@ _BYTES = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
 class Encoder:
     """Ids of whole texts by the tokenizers library with its default settings.
 
-    For byte-level BPE without a normaliser, a text's ids are those of its pieces, so each distinct piece goes
-    through the library's model once and is remembered (up to MEMO bytes). All else is encoded as it is, and so are texts
+    For byte-level BPE without a normaliser, a text's ids are those of its pieces, and a piece starts at each space that stands alone
+    or last before a word. So texts are cut there in Arrow, each distinct word is split into pieces and goes through the
+    library's model once, and is remembered in Arrow (up to MEMO bytes). All else is encoded as it is, and so are texts
     that hold an added token such as an end mark, which the library gives its own id.
     """
 
@@ -72,49 +75,72 @@ class Encoder:
         spec = json.loads(self.tokenizer.to_str())
         pre = spec.get("pre_tokenizer") or {}
         self.by_piece = not spec.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
-        added = "|".join(re.escape(t["content"]) for t in spec.get("added_tokens") or [])
-        self.other = re.compile(f"{_OTHER.pattern}|{added}" if added else _OTHER.pattern)
+        self.added = [t["content"] for t in spec.get("added_tokens") or []]
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() < 1 << 16 else np.uint32
-        self.memo: dict[str, bytes] = {}
-        self.held = 0
+        self.forget()
+
+    def forget(self) -> None:
+        self.words, self.ids = pa.array([], pa.string()), pa.array([], pa.large_binary())
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, pieces: set[str]) -> dict[str, bytes]:
-        """The ids of new pieces. Python's objects for a piece take some 190 bytes beside its letters."""
+    def joined(self, words: list[list[str]]) -> list[bytes]:
+        """The ids of words given as pieces; the model is asked once for each distinct piece."""
+        own = list(dict.fromkeys(chain.from_iterable(words)))
+        # no piece holds a zero byte, so its letter stands between them
+        letters = "\0".join(own).encode("utf-8", "surrogatepass").decode("latin-1").translate(_BYTES).split(_BYTES[0])
         tokenize, kind = self.tokenizer.model.tokenize, self.dtype().dtype.char
-        found = {p: array(kind, [t.id for t in tokenize(p.encode("utf-8", "surrogatepass").decode("latin-1").translate(_BYTES))]).tobytes() for p in pieces}
-        short = {p: x for p, x in found.items() if len(p) <= PIECE}
-        if self.held > MEMO:
-            self.memo.clear()
-            self.held = 0
-        self.memo.update(short)
-        self.held += sum(190 + len(p) + len(x) for p, x in short.items())
-        return found
-
-    def joined(self, texts: list[list[str]]) -> list[bytes]:
-        """The ids of texts given as pieces."""
-        found = [list(map(self.memo.get, p)) for p in texts]
-        new = self.learn({p for ps, fs in zip(texts, found) if None in fs for p, f in zip(ps, fs) if f is None})
-        return [b"".join([new[p] if f is None else f for p, f in zip(ps, fs)]) if None in fs else b"".join(fs) for ps, fs in zip(texts, found)]
+        found = {p: array(kind, [t.id for t in tokenize(x)]).tobytes() for p, x in zip(own, letters)}
+        return [b"".join(map(found.__getitem__, p)) for p in words]
+
+    def learned(self, words: pa.Array) -> pa.Array:
+        """The ids of new words. A zero byte marks a text's first word, which has no space before it; \\1 is a space that was not cut at."""
+        pieces, long = [], {}
+        for w in words.to_numpy(zero_copy_only=False).tolist():
+            if w.isalpha():
+                pieces.append([" " + w])
+                continue
+            w = (w[1:] if w[:1] == "\0" else " " + w).replace("\1", " ")
+            if len(w) > CHARS:  # so many at a time, so that its pieces are never held together
+                each = (m.group() for m in _PIECES.finditer(w))
+                long[len(pieces)] = b"".join(self.joined([some])[0] for some in iter(lambda: list(islice(each, PIECES)), []))
+                pieces.append([])
+            else:
+                pieces.append(_PIECES.findall(w))
+        coded = self.joined(pieces)
+        for i, ids in long.items():
+            coded[i] = ids
+        return pa.array(coded, pa.large_binary())
+
+    def by_word(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts without zero bytes and \\1."""
+        cut = pc.split_pattern(pa.array(["\0" + _RUNS.sub("\1", t) for t in texts], pa.string()), " ")
+        found = cut.flatten().dictionary_encode()
+        place = pc.index_in(found.dictionary, value_set=self.words)
+        fresh = place.is_null()
+        new = found.dictionary.filter(fresh)
+        known = pa.concat_arrays([self.ids, *[self.learned(new.slice(i, PIECES)) for i in range(0, len(new), PIECES)]])
+        fresh = fresh.to_numpy(zero_copy_only=False)
+        place = np.where(fresh, len(self.ids) + np.cumsum(fresh) - 1, place.fill_null(0).to_numpy())
+        ids = known.take(pa.array(place[found.indices.to_numpy()]))
+        if known.nbytes + self.words.nbytes + new.nbytes <= MEMO:
+            self.words, self.ids = pa.concat_arrays([self.words, new]), known
+        else:
+            self.words, self.ids = found.dictionary, known.take(pa.array(place))
+            if self.words.nbytes + self.ids.nbytes > MEMO:
+                self.forget()
+        _, ends, data = ids.buffers()
+        at = np.frombuffer(ends, np.int64)[cut.offsets.to_numpy()].tolist()
+        whole = memoryview(data or b"")
+        return [bytes(whole[a:b]) for a, b in zip(at, at[1:])]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.by_piece:
             return self.whole(texts)
-        out: list[bytes | None] = [None] * len(texts)
-        known = []
-        for i, t in enumerate(texts):
-            if self.other.search(t):
-                out[i] = self.whole([t])[0]
-            elif len(t) > CHARS:  # a long text goes piece by piece, so that its pieces are never held together
-                pieces = (m.group() for m in _PIECES.finditer(t))
-                out[i] = b"".join(self.joined([some])[0] for some in iter(lambda: list(islice(pieces, PIECES)), []))
-            else:
-                known.append(i)
-        for i, ids in zip(known, self.joined([_PIECES.findall(texts[i]) for i in known])):
-            out[i] = ids
-        return out
+        other = [bool(_OTHER.search(t)) or any(a in t for a in self.added) for t in texts]
+        coded = iter(self.by_word([t for t, o in zip(texts, other) if not o]))
+        return [self.whole([t])[0] if o else next(coded) for t, o in zip(texts, other)]
 
 
 _encoders: dict[str, Encoder] = {}

@@ -58,6 +58,28 @@ def test_encoder_by_piece_and_whole(monkeypatch, name, memo):
     assert enc.by_piece == (name == "byte_bpe_50k.json")
 
 
+def test_encoder_keeps_many_words_in_little_memory(monkeypatch):
+    """20,000 words fit into a megabyte, so the model is not asked for them again; runs of white space and long words are cut like the library cuts them."""
+    from types import SimpleNamespace
+
+    monkeypatch.setattr(token_ids, "MEMO", 1 << 20)
+    enc = token_ids.Encoder(queries.vocabulary())
+    library, asked = enc.tokenizer, []
+    enc.tokenizer = SimpleNamespace(model=SimpleNamespace(tokenize=lambda p: asked.append(p) or library.model.tokenize(p)), encode_batch_fast=library.encode_batch_fast)
+    rng = np.random.default_rng(2)
+    words = sorted({"".join(rng.choice(list("abcdefgé"), 7)) for _ in range(20_000)})
+    texts = [" ".join(words[i::10]) for i in range(10)]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    for again in (False, True):
+        asked.clear()
+        assert [np.frombuffer(enc([t])[0], enc.dtype).tolist() for t in texts] == want
+        assert len(asked) == (0 if again else len(words))
+    monkeypatch.setattr(token_ids, "CHARS", 70)
+    monkeypatch.setattr(token_ids, "PIECES", 7)
+    texts = ["if x:\n    y = 1 \n\n  \t z  ", "   a    b\xa0  c \xa0d", " ", "  ", "a,b;" * 60 + " end " + "é1" * 90, "\n \n", "\0 \1 a"]
+    assert [np.frombuffer(x, enc.dtype).tolist() for x in enc(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_language_held_out_accuracy(spark):
     got = queries.op3_language_id(spark, "/root/testdata/sf0.01").toPandas().merge(pd.read_parquet("/root/testdata/sf0.01/documents.parquet")[["doc_id", "lang"]])
     assert len(got) == 1000 and got.score.between(0, 1).all()
