@@ -36,9 +36,9 @@ from hopline.storage import store as store_of
 END_ID = 2
 LENGTH = 2048
 #: Bytes of words and their ids that a worker keeps; beyond, it starts anew from the words at hand.
-MEMO = 32 << 20
+MEMO = 20 << 20
 #: Characters of texts that are cut into words at once; new words, or pieces of a very long one, that are encoded at once.
-CHARS, PIECES = 1 << 22, 1 << 16
+CHARS, PIECES = 1 << 21, 1 << 13
 ROWS = 64
 
 # Letters, digits and white space up to U+024F, for the splitting pattern of byte-level BPE. Other texts go to the library whole.
